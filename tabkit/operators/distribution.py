@@ -85,9 +85,10 @@ def distribution(
     """Rows (keys..., field, count, min, max, mean, quantiles) over non-null numeric values.
 
     ``quantiles`` follows the order of ``probabilities``, linearly interpolated. Rows with a
-    null key and (group, field) pairs without any value give no row. Without keys the result
-    is lazy; with keys the cells found in step 1 are checkpointed once, because their number
-    decides whether step 2 may broadcast them.
+    null key and (group, field) pairs without any value give no row.
+
+    Step 1 runs at once and its picked cells are checkpointed: their number decides whether
+    step 2 may broadcast them, and the fullest one whether step 3 is needed.
     """
     probabilities = [float(p) for p in probabilities]
     group = [f"_k{i}" for i in range(len(keys))] + ["_field"]
@@ -115,11 +116,9 @@ def distribution(
         f"max(_high) {whole} as _max",
         f"sum(_sum) {whole} as _total",
     ).where(f"size({_wanted_ranks(probabilities, '_before', '_before + _cell_rows')}) > 0")
-    if keys:
-        picked = cut_lineage(picked)
-        small = picked.count() <= broadcast_rows
-    else:
-        small = 2 * len(probabilities) * len(fields) <= broadcast_rows
+    picked = cut_lineage(picked)
+    size = picked.agg(F.count("*").alias("cells"), F.max("_cell_rows").alias("fullest")).first()
+    small = size["cells"] <= broadcast_rows
 
     # Step 2: values of the picked cells with their counts.
     carried = ["_rows", "_min", "_max", "_total"]
@@ -143,23 +142,19 @@ def distribution(
     sparse = counted(picked.where(f"_cell_rows <= {dense_rows}"))
     found = ranked(sparse, [*group, "_cell"], "_before")
 
-    # Step 3: cells too full for one task. Without such cells adaptive execution drops this branch.
-    dense = counted(picked.where(f"_cell_rows > {dense_rows}"), ["_low", "_high"]).withColumn("_step", F.expr(_STEP))
-    steps = (
-        dense.groupBy(*place, "_step")
-        .agg(F.sum("_n").alias("_step_rows"))
-        .withColumn(
-            "_step_end",
-            F.expr(
-                "_before + sum(_step_rows) over "
-                f"(partition by {names}, _cell order by _step rows unbounded preceding)"
-            ),
+    if (size["fullest"] or 0) > dense_rows:
+        # Step 3: cells too full for one task.
+        dense = counted(picked.where(f"_cell_rows > {dense_rows}"), ["_low", "_high"]).withColumn("_step", F.expr(_STEP))
+        upto = f"over (partition by {names}, _cell order by _step rows unbounded preceding)"
+        steps = (
+            dense.groupBy(*place, "_step")
+            .agg(F.sum("_n").alias("_step_rows"))
+            .withColumn("_step_end", F.expr(f"_before + sum(_step_rows) {upto}"))
+            .where(f"size({_wanted_ranks(probabilities, '_step_end - _step_rows', '_step_end')}) > 0")
+            .selectExpr(*group, "_cell", "_step", "_step_end - _step_rows as _step_before")
         )
-        .where(f"size({_wanted_ranks(probabilities, '_step_end - _step_rows', '_step_end')}) > 0")
-        .selectExpr(*group, "_cell", "_step", "_step_end - _step_rows as _step_before")
-    )
-    in_steps = dense.join(F.broadcast(steps) if small else steps, [*group, "_cell", "_step"])
-    found = found.unionByName(ranked(in_steps, [*group, "_cell", "_step"], "_step_before"))
+        in_steps = dense.join(F.broadcast(steps) if small else steps, [*group, "_cell", "_step"])
+        found = found.unionByName(ranked(in_steps, [*group, "_cell", "_step"], "_step_before"))
 
     # At most two ranks per probability remain for each group and field.
     return (

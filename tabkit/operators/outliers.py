@@ -1,7 +1,8 @@
 """Interquartile-range fences, flags and filters.
 
-Fences reach the rows as a scalar subquery: one small row computed by its own job on the
-executors, without a join and without a trip through the driver program.
+Fences are computed once on the executors and reach the rows as literals, two numbers per
+field: no join, no second computation when a flagged frame is used several times, and a
+filter by fences can be pushed down to the files.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ from .flags import any_of
 def iqr_fences(df: DataFrame, fields: Sequence[str], k: float = 1.5, **limits: int) -> DataFrame:
     """Rows (field, q1, q3, iqr, lower, upper); absent fields and fields without values are skipped."""
     fields = [f for f in fields if f in df.columns]
+    if not fields:
+        return df.sparkSession.createDataFrame(
+            [], "field string, q1 double, q3 double, iqr double, lower double, upper double"
+        )
     stats = distribution(df, fields, [0.25, 0.75], **limits)
     quartiles = stats.select("field", F.col("quantiles")[0].alias("q1"), F.col("quantiles")[1].alias("q3"))
     return quartiles.withColumn("iqr", F.col("q3") - F.col("q1")).withColumns(
@@ -26,10 +31,9 @@ def iqr_fences(df: DataFrame, fields: Sequence[str], k: float = 1.5, **limits: i
     )
 
 
-def fence_lookup(fences: DataFrame) -> Column:
-    """The fences as one map value: field -> (lower, upper)."""
-    entries = F.collect_list(F.struct("field", F.struct("lower", "upper")))
-    return fences.agg(F.map_from_entries(entries)).scalar()
+def fence_bounds(fences: DataFrame) -> dict[str, tuple[float, float]]:
+    """field -> (lower, upper); one row per field comes to the driver."""
+    return {r["field"]: (r["lower"], r["upper"]) for r in fences.select("field", "lower", "upper").collect()}
 
 
 def outlier_flags(
@@ -37,23 +41,19 @@ def outlier_flags(
 ) -> DataFrame:
     """Adds ``<field>_outlier_flag``; all fences come from the whole frame and no row is removed.
 
-    A field without any value gets an all-false flag.
+    Absent fields and fields without any value get no flag.
     """
-    fields = [f for f in fields if f in df.columns]
-    if not fields:
-        return df
-    bounds = fence_lookup(iqr_fences(df, fields, k, **limits) if fences is None else fences)
+    bounds = fence_bounds(iqr_fences(df, fields, k, **limits) if fences is None else fences)
     return df.withColumns(
         {
-            f"{f}_outlier_flag": is_true(
-                (F.col(f) < bounds[f]["lower"]) | (F.col(f) > bounds[f]["upper"])
-            )
+            f"{f}_outlier_flag": is_true((F.col(f) < bounds[f][0]) | (F.col(f) > bounds[f][1]))
             for f in fields
+            if f in bounds
         }
     )
 
 
-def keep_inside(df: DataFrame, field: str, lower: Column, upper: Column) -> DataFrame:
+def keep_inside(df: DataFrame, field: str, lower: float, upper: float) -> DataFrame:
     """Rows inside the closed interval; null rows fall out."""
     return df.where(F.col(field).between(lower, upper))
 
@@ -61,8 +61,9 @@ def keep_inside(df: DataFrame, field: str, lower: Column, upper: Column) -> Data
 def iqr_filter_sequential(df: DataFrame, fields: Sequence[str], k: float = 1.5, **limits: int) -> DataFrame:
     """Remove outliers field by field: each fence is computed on the rows the previous fences left."""
     for field in fields:
-        bounds = fence_lookup(iqr_fences(df, [field], k, **limits))
-        df = keep_inside(df, field, bounds[field]["lower"], bounds[field]["upper"])
+        bounds = fence_bounds(iqr_fences(df, [field], k, **limits))
+        # A field without any value compares with nothing, and all its rows fall out.
+        df = keep_inside(df, field, *bounds[field]) if field in bounds else df.where(F.lit(False))
     return df
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,10 +36,9 @@ def combine(raw: DataFrame, cfg: PipelineConfig) -> DataFrame:
     return C.filter_category(raw, cfg.category, cfg.category_value)
 
 
-def clean(df: DataFrame, cfg: PipelineConfig, high_missing: list[str]) -> DataFrame:
+def clean(df: DataFrame, cfg: PipelineConfig) -> DataFrame:
     """Typed rows that pass the row rules, with quality flags."""
-    typed = C.coerce(prune(df, cfg, high_missing), TYPING)
-    return Q.quality_flags(C.apply_rules(typed, row_rules(cfg)))
+    return Q.quality_flags(C.apply_rules(C.coerce(df, TYPING), row_rules(cfg)))
 
 
 def prune(df: DataFrame, cfg: PipelineConfig, high_missing: list[str]) -> DataFrame:
@@ -113,14 +113,133 @@ QUALITY_FLAGS = [
 ]
 
 
-@dataclass
-class PipelineResult:
-    combined: DataFrame
-    enriched: DataFrame
-    cleaned: DataFrame
-    flagged: DataFrame
-    final: DataFrame
-    reports: dict[str, DataFrame] = field(default_factory=dict)
+class PipelineRun:
+    """The stages of one run, each prepared when first asked for, and reports on them.
+
+    With ``out`` a stage is written there and read back, so that it is computed once.
+    Without ``out`` every use of a stage computes it from the raw input.
+    """
+
+    def __init__(
+        self,
+        raw: DataFrame,
+        cfg: PipelineConfig,
+        rates: DataFrame | None = None,
+        out: str | None = None,
+        as_of: str | None = None,
+        stage_format: str = "parquet",
+    ):
+        self.raw, self.cfg, self.rates = raw, cfg, rates
+        self.out, self.as_of, self.stage_format = out, as_of, stage_format
+
+    def _stage(self, name: str, df: DataFrame) -> DataFrame:
+        if not self.out:
+            return df
+        periods = ["year_month", f"{self.cfg.time_prefix}_yrmo"]
+        options = {"period_columns": periods} if self.stage_format == "csv" else {}
+        path = f"{self.out}/{self.cfg.name}_{name}"
+        return checkpoint_stage(df.sparkSession, df, path, self.stage_format, **options)
+
+    @cached_property
+    def combined(self) -> DataFrame:
+        return self._stage("combined", combine(self.raw, self.cfg))
+
+    @cached_property
+    def missing(self) -> DataFrame:
+        return P.missing_report(self.combined)
+
+    @cached_property
+    def high_missing(self) -> list[str]:
+        """Measured before enrichment and typing."""
+        return C.high_missing_columns(self.combined, self.cfg.missing_threshold, self.missing)
+
+    @cached_property
+    def monthly(self) -> DataFrame | None:
+        return E.resample_monthly(self.rates) if self.rates is not None else None
+
+    @cached_property
+    def enriched(self) -> DataFrame:
+        return self._stage("enriched", E.enrich_or_null(self.combined, self.monthly, self.cfg.event_date))
+
+    @cached_property
+    def pruned(self) -> DataFrame:
+        return prune(self.enriched, self.cfg, self.high_missing)
+
+    @cached_property
+    def cleaned(self) -> DataFrame:
+        return self._stage("cleaned", clean(self.pruned, self.cfg))
+
+    @cached_property
+    def featured(self) -> DataFrame:
+        return add_features(self.cleaned, self.cfg)
+
+    @cached_property
+    def flagged(self) -> DataFrame:
+        return self._stage("flagged", flag_outliers(self.featured, self.cfg))
+
+    @cached_property
+    def final(self) -> DataFrame:
+        return self._stage("final", final_filter(self.flagged, self.cfg))
+
+    @cached_property
+    def typed(self) -> DataFrame:
+        return C.coerce(self.combined, TYPING)
+
+    def report(self, name: str) -> DataFrame:
+        return self.reports()[name]()
+
+    def reports(self) -> dict[str, Callable[[], DataFrame]]:
+        cfg = self.cfg
+        reports = {
+            "category_before": lambda: P.frequency_table(self.raw, cfg.category),
+            "category_after": lambda: P.frequency_table(self.combined, cfg.category),
+            "category_share": lambda: P.category_share(self.raw, cfg.category, cfg.category_value),
+            "other_categories": lambda: P.frequency_table(
+                C.complement_filter(self.raw, cfg.category, cfg.category_value), cfg.category
+            ),
+            "schema": lambda: P.describe_schema(self.combined),
+            "missing_values": lambda: self.missing,
+            "numeric_distribution": lambda: P.numeric_profile(self.combined, cfg.profile_fields),
+            "price_center": lambda: P.center_and_skew(self.combined, cfg.price),
+            "days_on_market": lambda: P.value_distribution(self.combined, "DaysOnMarket"),
+            "top_segments": lambda: G.top_k(
+                G.group_center(self.typed, cfg.segment, cfg.price, cfg.median_price_name, cfg.count_name),
+                cfg.median_price_name,
+                cfg.segment,
+            ),
+            "coercion": lambda: C.coercion_report(self.pruned, TYPING),
+            "row_ledger": lambda: C.row_ledger(C.coerce(self.pruned, TYPING), row_rules(cfg)),
+            "quality_flags": lambda: P.flag_summary(self.cleaned, QUALITY_FLAGS),
+            "rate_check": lambda: P.null_check(self.enriched, E.RATE),
+            "segment_summary": lambda: segment_report(self.featured, cfg),
+            "fences": lambda: O.iqr_fences(self.cleaned, cfg.outlier_fields, cfg.iqr_factor),
+            "outlier_flags": lambda: P.flag_summary(self.flagged, cfg.outlier_flags, 1),
+            "median_shift": lambda: O.median_shift(self.flagged, cfg.outlier_fields, cfg.outlier_flags),
+            "final_ledger": lambda: final_ledger(self.flagged, cfg),
+            "final_span": lambda: P.dataset_span(self.final, cfg.event_date),
+            "key_stats": lambda: P.key_stats(self.final, cfg.key_fields),
+        }
+        if cfg.closed_ratio:
+            reports |= {
+                "status": lambda: P.frequency_table(self.combined, "MlsStatus"),
+                "price_changes": lambda: P.price_change_buckets(self.typed, "OriginalListPrice", "ListPrice"),
+                "date_order": lambda: P.listing_date_issues(
+                    self.typed, "ListingContractDate", "CloseDate", self.as_of
+                ),
+            }
+        else:
+            reports |= {
+                "above_at_below": lambda: P.above_at_below(self.typed, "ClosePrice", "ListPrice"),
+                "date_order": lambda: P.date_order_counts(
+                    self.typed, "CloseDate", "ListingContractDate", "PurchaseContractDate"
+                ),
+            }
+        if self.rates is not None:
+            reports |= {
+                "rate_range": lambda: E.series_range(self.rates),
+                "last_rates": lambda: G.last_k(self.monthly, "year_month"),
+            }
+        return reports
 
 
 def run_pipeline(
@@ -130,78 +249,19 @@ def run_pipeline(
     out: str | None = None,
     as_of: str | None = None,
     stage_format: str = "parquet",
-) -> PipelineResult:
-    """All stages from raw text columns to the final table.
+) -> PipelineRun:
+    """All stages from raw text columns to the final table, and the three report files, under ``out``.
 
-    With ``out`` each stage is written there and read back, so that it is computed once, and the
-    reports are written too. Without ``out`` the frames stay lazy. ``rates`` is a dated series
-    (date, rate); without it the rate column is null.
+    ``rates`` is a dated series (date, rate); without it the rate column is null. Without ``out``
+    nothing is written and stages are prepared on demand.
     """
-    spark = raw.sparkSession
-
-    def stage(name: str, df: DataFrame) -> DataFrame:
-        if not out:
-            return df
-        periods = ["year_month", f"{cfg.time_prefix}_yrmo"]
-        options = {"period_columns": periods} if stage_format == "csv" else {}
-        return checkpoint_stage(spark, df, f"{out}/{cfg.name}_{name}", stage_format, **options)
-
-    combined = stage("combined", combine(raw, cfg))
-    missing = P.missing_report(combined)
-    # Measured before enrichment and typing: at most one row per column reaches the driver.
-    high_missing = C.high_missing_columns(combined, cfg.missing_threshold, missing)
-
-    monthly = E.resample_monthly(rates) if rates is not None else None
-    enriched = stage("enriched", E.enrich_or_null(combined, monthly, cfg.event_date))
-    pruned = prune(enriched, cfg, high_missing)
-    cleaned = stage("cleaned", clean(enriched, cfg, high_missing))
-    featured = add_features(cleaned, cfg)
-    flagged = stage("flagged", flag_outliers(featured, cfg))
-    final = stage("final", final_filter(flagged, cfg))
-
-    reports = {
-        "category_before": P.frequency_table(raw, cfg.category),
-        "category_after": P.frequency_table(combined, cfg.category),
-        "category_share": P.category_share(raw, cfg.category, cfg.category_value),
-        "other_categories": P.frequency_table(
-            C.complement_filter(raw, cfg.category, cfg.category_value), cfg.category
-        ),
-        "schema": P.describe_schema(combined),
-        "missing_values": missing,
-        "numeric_distribution": P.numeric_profile(combined, cfg.profile_fields),
-        "price_center": P.center_and_skew(combined, cfg.price),
-        "days_on_market": P.value_distribution(combined, "DaysOnMarket"),
-        "coercion": C.coercion_report(pruned, TYPING),
-        "row_ledger": C.row_ledger(C.coerce(pruned, TYPING), row_rules(cfg)),
-        "quality_flags": P.flag_summary(cleaned, QUALITY_FLAGS),
-        "rate_check": P.null_check(enriched, E.RATE),
-        "fences": O.iqr_fences(cleaned, cfg.outlier_fields, cfg.iqr_factor),
-        "outlier_flags": P.flag_summary(flagged, cfg.outlier_flags, 1),
-        "median_shift": O.median_shift(flagged, cfg.outlier_fields, cfg.outlier_flags),
-        "final_ledger": final_ledger(flagged, cfg),
-        "final_span": P.dataset_span(final, cfg.event_date),
-        "key_stats": P.key_stats(final, cfg.key_fields),
-    }
-    typed = C.coerce(combined, TYPING)
-    if cfg.closed_ratio:
-        reports["price_changes"] = P.price_change_buckets(typed, "OriginalListPrice", "ListPrice")
-        reports["date_order"] = P.listing_date_issues(typed, "ListingContractDate", "CloseDate", as_of)
-        reports["status"] = P.frequency_table(combined, "MlsStatus")
-    else:
-        reports["above_at_below"] = P.above_at_below(typed, "ClosePrice", "ListPrice")
-        reports["date_order"] = P.date_order_counts(
-            typed, "CloseDate", "ListingContractDate", "PurchaseContractDate"
-        )
-    if monthly is not None:
-        reports["rate_range"] = E.series_range(rates)
-        reports["last_rates"] = G.last_k(monthly, "year_month")
-    result = PipelineResult(combined, enriched, cleaned, flagged, final, reports)
+    run = PipelineRun(raw, cfg, rates, out, as_of, stage_format)
     if out:
-        write_report(missing, f"{out}/reports/{cfg.name}_missing_value_report", index="column")
-        write_report(reports["numeric_distribution"], f"{out}/reports/{cfg.name}_numeric_distribution")
-        reports["segment_summary"] = segment_report(featured, cfg)
-        write_report(reports["segment_summary"], f"{out}/reports/{cfg.name}_county_summary")
-    return result
+        _ = run.final
+        write_report(run.missing, f"{out}/reports/{cfg.name}_missing_value_report", index="column")
+        write_report(run.report("numeric_distribution"), f"{out}/reports/{cfg.name}_numeric_distribution")
+        write_report(run.report("segment_summary"), f"{out}/reports/{cfg.name}_county_summary")
+    return run
 
 
 def run_quick(raw: DataFrame, cfg: PipelineConfig, k: float | None = None) -> DataFrame:

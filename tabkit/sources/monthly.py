@@ -8,6 +8,7 @@ from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,11 +107,13 @@ def read_monthly_csv(
     if not paths:
         raise FileNotFoundError("no monthly export found")
     broken = files_with_line_breaks(spark, paths)
+    with ThreadPool(8) as pool:  # small jobs that Spark may run side by side
+        headers = pool.map(lambda p: header_of(spark, p), paths)
     groups: dict[tuple[tuple[str, ...], bool], list[str]] = defaultdict(list)
-    for path in paths:
+    for path, header in zip(paths, headers):
         bare = re.sub(r"^file:/*", "/", path)
         multiline = any(re.sub(r"^file:/*", "/", b).startswith(bare) for b in broken)
-        groups[header_of(spark, path), multiline].append(path)
+        groups[header, multiline].append(path)
     frames = [
         _read_group(spark, header, members, multiline, source)
         for (header, multiline), members in groups.items()

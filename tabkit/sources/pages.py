@@ -16,11 +16,16 @@ def page_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField("value", T.ArrayType(record))])
 
 
-def read_pages(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
-    """One row per record, text columns; an absent key is null. A corrupt page fails the job."""
+def read_pages(
+    spark: SparkSession, path: str, columns: Sequence[str], one_per_file: bool = True
+) -> DataFrame:
+    """One row per record, text columns; an absent key is null. A corrupt page fails the job.
+
+    A page is a file of its own, or a line of a larger file (which Spark can split).
+    """
     pages = (
         spark.read.schema(page_schema(columns))
-        .option("multiLine", True)
+        .option("multiLine", one_per_file)
         .option("mode", "FAILFAST")
         .json(path)
     )

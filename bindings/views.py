@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabkit.session import spread
+
 # column -> (expression, tables it needs besides lineitem)
 SALES = {
     "ListingKey": ("concat(cast(l_orderkey as string), '-', cast(l_linenumber as string))", ""),
@@ -103,7 +105,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _joined(spark: SparkSession, sf_dir: str, needs: set[str]) -> DataFrame:
-    df = table(spark, sf_dir, "lineitem")
+    df = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
     for name, condition in JOINS.items():
         if name in needs:
             df = df.join(table(spark, sf_dir, name), F.expr(condition))

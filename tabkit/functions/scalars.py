@@ -19,35 +19,41 @@ MISSING_TOKENS = [
 # Plain decimal or scientific notation. Java also accepts "12d" and "12f"; those are not numbers here.
 NUMBER_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
+DAY_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+MOMENT_PATTERN = (
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
+)
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
 def num(c: Column | str) -> Column:
-    """Text to double; anything that is not a number becomes null."""
+    """Text to double; anything that is not a number becomes null.
+
+    The input is named once, so that a filter on the result does not evaluate it twice.
+    """
     text = F.trim(_col(c).cast("string"))
-    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
+    return F.regexp_substr(text, F.lit(NUMBER_PATTERN)).try_cast("double")
+
 
+def to_day(c: Column | str) -> Column:
+    """Text ``yyyy-MM-dd`` to date; any other text, also a bare year, becomes null.
 
-def to_day(c: Column | str, pattern: str = "yyyy-MM-dd") -> Column:
-    """Text to date; text that is not a full date becomes null."""
-    return F.try_to_date(F.trim(_col(c)), pattern)
+    Casting texts of the right shape costs no exception per bad cell, as a format parser would.
+    """
+    return F.regexp_substr(F.trim(_col(c)), F.lit(DAY_PATTERN)).try_cast("date")
 
 
-def strict_day(c: Column | str, pattern: str = "yyyy-MM-dd") -> Column:
+def strict_day(c: Column | str) -> Column:
     """Text to date; a bad text fails the job (needs ANSI mode, the default)."""
-    return F.to_date(F.trim(_col(c)), pattern)
+    return F.to_date(F.trim(_col(c)), "yyyy-MM-dd")
 
 
 def to_moment(c: Column | str) -> Column:
     """Text with an optional time part to timestamp, bad text to null."""
-    text = F.trim(_col(c))
-    return F.coalesce(
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd")),
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss")),
-        F.try_to_timestamp(text, F.lit("yyyy-MM-dd'T'HH:mm:ss[.SSS][XXX]")),
-    )
+    return F.regexp_substr(F.trim(_col(c)), F.lit(MOMENT_PATTERN)).try_cast("timestamp")
 
 
 def null_if(c: Column | str, sentinel: str) -> Column:

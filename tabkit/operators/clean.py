@@ -8,14 +8,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import is_true, normalise_missing, num, strict_day, to_day, to_moment
+from ..functions import is_true, num, strict_day, to_day, to_moment
+from ..functions.scalars import MISSING_TOKENS
 from .profile import missing_report, unfold
 
 
 def normalise_tokens(df: DataFrame) -> DataFrame:
     """Null for missing-value texts in all text columns."""
-    return df.select(
-        *[(normalise_missing(F.col(f"`{c}`")).alias(c) if t == "string" else F.col(f"`{c}`")) for c, t in df.dtypes]
+    tokens = ", ".join(f"'{t}'" for t in MISSING_TOKENS)
+    return df.selectExpr(
+        *[
+            f"case when `{c}` not in ({tokens}) then `{c}` end as `{c}`" if kind == "string" else f"`{c}`"
+            for c, kind in df.dtypes
+        ]
     )
 
 
@@ -85,10 +90,8 @@ def coerce(df: DataFrame, typing: Typing) -> DataFrame:
 def coercion_report(df: DataFrame, typing: Typing) -> DataFrame:
     """Rows (column, new_nulls): values that typing turns into null, all columns in one pass."""
     typed = typing.expressions(df)
-    counted = df.agg(
-        *[F.count_if(F.col(c).isNotNull() & e.isNull()).alias(f"n{i}") for i, (c, e) in enumerate(typed.items())]
-    )
-    return unfold(counted, [[F.lit(c), F.col(f"n{i}")] for i, c in enumerate(typed)], ["column", "new_nulls"])
+    counted = df.agg(*[F.count_if(F.col(c).isNotNull() & e.isNull()).alias(c) for c, e in typed.items()])
+    return counted.unpivot([], list(typed), "column", "new_nulls")
 
 
 @dataclass(frozen=True)
@@ -105,11 +108,11 @@ def require_positive(column: str) -> Rule:
 
 
 def null_or_positive(column: str) -> Rule:
-    return Rule(f"{column} <= 0", column, f"`{column}` is null or `{column}` > 0")
+    return Rule(f"{column} <= 0", column, f"coalesce(`{column}` > 0, true)")
 
 
 def null_or_nonneg(column: str) -> Rule:
-    return Rule(f"{column} < 0", column, f"`{column}` is null or `{column}` >= 0")
+    return Rule(f"{column} < 0", column, f"coalesce(`{column}` >= 0, true)")
 
 
 def _present(df: DataFrame, rules: Sequence[Rule]) -> list[Rule]:

@@ -75,16 +75,11 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 def missing_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows (column, missing_count, missing_pct), worst first. The percentage is rounded to 2 digits."""
     columns = list(columns or df.columns)
-    counts = df.agg(
-        F.count("*").alias("n"),
-        *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"m{i}") for i, c in enumerate(columns)],
-    )
-    rows = [
-        [F.lit(c), F.col(f"m{i}"), round_even(percent_of(F.col(f"m{i}"), F.col("n")), 2)]
-        for i, c in enumerate(columns)
-    ]
-    report = unfold(counts, rows, ["column", "missing_count", "missing_pct"])
-    return report.orderBy(F.desc("missing_pct"), "column")
+    counts = df.agg(F.count("*").alias("_rows"), *[F.expr(f"count_if(`{c}` is null) as `{c}`") for c in columns])
+    report = counts.unpivot("_rows", [F.col(f"`{c}`") for c in columns], "column", "missing_count")
+    return report.select(
+        "column", "missing_count", round_even(percent_of("missing_count", "_rows"), 2).alias("missing_pct")
+    ).orderBy(F.desc("missing_pct"), "column")
 
 
 def numeric_profile(df: DataFrame, fields: Sequence[str], digits: int = 2, **limits: int) -> DataFrame:
@@ -244,11 +239,6 @@ def null_check(df: DataFrame, column: str) -> DataFrame:
 def flag_summary(df: DataFrame, flags: Sequence[str], digits: int = 2) -> DataFrame:
     """Rows (flag, rows, pct) for the flags that exist."""
     flags = [f for f in flags if f in df.columns]
-    counted = df.agg(
-        F.count("*").alias("n"), *[F.count_if(is_true(F.col(f))).alias(f"c{i}") for i, f in enumerate(flags)]
-    )
-    rows = [
-        [F.lit(f), F.col(f"c{i}"), round_even(percent_of(F.col(f"c{i}"), F.col("n")), digits)]
-        for i, f in enumerate(flags)
-    ]
-    return unfold(counted, rows, ["flag", "rows", "pct"])
+    counts = df.agg(F.count("*").alias("_rows"), *[F.expr(f"count_if(`{f}`) as `{f}`") for f in flags])
+    summary = counts.unpivot("_rows", [F.col(f"`{f}`") for f in flags], "flag", "rows")
+    return summary.select("flag", "rows", round_even(percent_of("rows", "_rows"), digits).alias("pct"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -60,13 +60,13 @@ def add_features(df: DataFrame, cfg: PipelineConfig) -> DataFrame:
     if cfg.closed_ratio and has(original):
         paid = prefer("ClosePrice", F.col("ClosePrice") > 0, "ListPrice") if has("ClosePrice") else "ListPrice"
         new["close_to_original_list_ratio"] = X.guarded_ratio(paid, original, 0, 4)
-    elif "price_ratio" in new:
-        new["close_to_original_list_ratio"] = new["price_ratio"]
     if has("PurchaseContractDate", "ListingContractDate"):
         new["listing_to_contract_days"] = days_between("PurchaseContractDate", "ListingContractDate")
     if has("CloseDate", "PurchaseContractDate"):
         new["contract_to_close_days"] = days_between("CloseDate", "PurchaseContractDate")
     df = df.withColumns(new)
+    if "price_ratio" in new and not cfg.closed_ratio:
+        df = df.withColumn("close_to_original_list_ratio", F.col("price_ratio"))
     if has(cfg.event_date):
         parts = [f"{cfg.time_prefix}_{p}" for p in ("year", "month", "yrmo")]
         df = X.time_parts(df, cfg.event_date, *parts)
@@ -113,11 +113,14 @@ QUALITY_FLAGS = [
 ]
 
 
+STAGES = ("combined", "enriched", "cleaned", "flagged", "final")
+
+
 class PipelineRun:
     """The stages of one run, each prepared when first asked for, and reports on them.
 
-    With ``out`` a stage is written there and read back, so that it is computed once.
-    Without ``out`` every use of a stage computes it from the raw input.
+    With ``out`` the stages named in ``stages`` are written there and read back, so that each is
+    computed once; all others are computed from the stage before at every use.
     """
 
     def __init__(
@@ -127,13 +130,14 @@ class PipelineRun:
         rates: DataFrame | None = None,
         out: str | None = None,
         as_of: str | None = None,
+        stages: Collection[str] = STAGES,
         stage_format: str = "parquet",
     ):
         self.raw, self.cfg, self.rates = raw, cfg, rates
-        self.out, self.as_of, self.stage_format = out, as_of, stage_format
+        self.out, self.as_of, self.stages, self.stage_format = out, as_of, stages, stage_format
 
     def _stage(self, name: str, df: DataFrame) -> DataFrame:
-        if not self.out:
+        if not self.out or name not in self.stages:
             return df
         periods = ["year_month", f"{self.cfg.time_prefix}_yrmo"]
         options = {"period_columns": periods} if self.stage_format == "csv" else {}
@@ -248,6 +252,7 @@ def run_pipeline(
     rates: DataFrame | None = None,
     out: str | None = None,
     as_of: str | None = None,
+    stages: Collection[str] = STAGES,
     stage_format: str = "parquet",
 ) -> PipelineRun:
     """All stages from raw text columns to the final table, and the three report files, under ``out``.
@@ -255,7 +260,7 @@ def run_pipeline(
     ``rates`` is a dated series (date, rate); without it the rate column is null. Without ``out``
     nothing is written and stages are prepared on demand.
     """
-    run = PipelineRun(raw, cfg, rates, out, as_of, stage_format)
+    run = PipelineRun(raw, cfg, rates, out, as_of, stages, stage_format)
     if out:
         _ = run.final
         write_report(run.missing, f"{out}/reports/{cfg.name}_missing_value_report", index="column")

@@ -1,0 +1,83 @@
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tabkit.operators.distribution import distribution
+
+PROBABILITIES = [0.0, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
+
+
+def brute(values):
+    values = np.array([v for v in values if v is not None and not math.isnan(v)])
+    return len(values), values.min(), values.max(), np.quantile(values, PROBABILITIES)
+
+
+def agrees(row, values):
+    count, low, high, quantiles = brute(values)
+    assert (row["count"], row["min"], row["max"]) == (count, low, high)
+    np.testing.assert_allclose(row["quantiles"], quantiles, rtol=1e-13, atol=0)
+
+
+@pytest.fixture(scope="module")
+def numbers():
+    rng = np.random.default_rng(7)
+    n = 3000
+    money = np.round(rng.lognormal(12, 1, n), 2)
+    money[: n // 3] = 500_000.0  # one value holds a third of the rows
+    mixed = rng.normal(0, 1e6, n)
+    mixed[::7] = 0.0
+    wild = np.sign(rng.normal(size=n)) * 10.0 ** rng.uniform(-300, 300, n)
+    close = 1e9 + rng.integers(0, 50, n) * 1e-6  # neighbours in one cell
+    days = rng.integers(-5, 400, n).astype(float)
+    columns = {"money": money, "mixed": mixed, "wild": wild, "close": close, "days": days}
+    key = np.where(np.arange(n) % 3 < 1, "hot", np.where(np.arange(n) % 10 == 1, None, "cold"))
+    rows = [
+        (key[i], *[None if i % 11 == 5 else float(c[i]) for c in columns.values()], float("nan"))
+        for i in range(n)
+    ]
+    return rows, list(columns)
+
+
+SCHEMA = "key string, money double, mixed double, wild double, close double, days double, empty double"
+# Ordinary limits, every cell split into steps, and joins without broadcast.
+LIMITS = [{}, {"dense_rows": 5}, {"dense_rows": 5, "broadcast_rows": 0}]
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+def test_global_quantiles_equal_brute_force(spark, numbers, limits):
+    rows, fields = numbers
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = {r["field"]: r for r in distribution(df, [*fields, "empty"], PROBABILITIES, **limits).collect()}
+    assert set(got) == set(fields)  # a field without values gives no row
+    for i, field in enumerate(fields):
+        agrees(got[field], [r[i + 1] for r in rows])
+
+
+@pytest.mark.parametrize("limits", LIMITS)
+def test_grouped_quantiles_equal_brute_force(spark, numbers, limits):
+    rows, fields = numbers
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = {(r["key"], r["field"]): r for r in distribution(df, fields, PROBABILITIES, ["key"], **limits).collect()}
+    assert set(got) == {(k, f) for k in ("hot", "cold") for f in fields}  # rows without a key are left out
+    for key in ("hot", "cold"):
+        for i, field in enumerate(fields):
+            agrees(got[key, field], [r[i + 1] for r in rows if r[0] == key])
+
+
+def test_single_value_and_constant_field(spark):
+    df = spark.createDataFrame([(5.0, None), (5.0, 3.0), (5.0, None)], "a double, b double")
+    got = {r["field"]: r for r in distribution(df, ["a", "b"], [0.25, 0.5], dense_rows=1).collect()}
+    assert (got["a"]["count"], got["a"]["quantiles"]) == (3, [5.0, 5.0])
+    assert (got["b"]["count"], got["b"]["quantiles"]) == (1, [3.0, 3.0])
+
+
+def test_equals_builtin_percentile_on_a_table(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").withColumn(
+        "ratio", F.col("l_extendedprice") / F.col("l_quantity")
+    )
+    fields = ["l_extendedprice", "l_quantity", "ratio"]
+    built_in = df.agg(*[F.percentile(f, F.array(*[F.lit(p) for p in PROBABILITIES])).alias(f) for f in fields]).first()
+    for row in distribution(df, fields, PROBABILITIES).collect():
+        np.testing.assert_allclose(row["quantiles"], built_in[row["field"]], rtol=1e-13)

@@ -22,6 +22,7 @@ from tabkit.plans import pipeline as L
 from tabkit.plans.config import LISTED, SOLD, PipelineConfig
 from tabkit.sources import monthly as M
 from tabkit.sources import pages as J
+from tabkit.sources import sinks as K
 from tabkit.sources.rates import typed_series
 from tabkit.session import shared_dir
 
@@ -523,9 +524,7 @@ def monthly_csv(spark, sf):
     named = sales(spark, sf, "ListingKey", "ClosePrice", "CountyOrParish", "CloseDate").withColumn(
         "export", F.concat(F.lit("Sales"), F.coalesce(F.date_format("CloseDate", "yyyyMM"), F.lit("190001")), F.lit(".csv"))
     )
-    # Salted, so that no single task writes a whole month.
-    spread = named.repartition("export", F.pmod(F.hash("ListingKey"), F.lit(8)))
-    spread.write.partitionBy("export").option("header", True).option("escape", '"').csv(folder)
+    K.write_stage(named, folder, "csv", partition_by=["export"])
     files = M.discover_monthly(spark, folder, "export=Sales")
     read = M.read_monthly_csv(spark, files, source="source_file")
     return read.groupBy(F.regexp_extract("source_file", "([0-9]{6})", 1).alias("month")).agg(
@@ -538,15 +537,14 @@ def monthly_csv(spark, sf):
 
 @query
 def closed_month_pages(spark, sf):
-    """Lands all sales as JSON pages of at most 1,000 records and extracts one closed month."""
+    """Lands all sales as JSON pages, one for each order, and extracts one closed month."""
     folder = _fresh(spark, "pages")
     columns = ["ListingKey", "MlsStatus", "CloseDate", "ClosePrice", "PropertyType"]
     rows = sales(spark, sf, *columns)
     cells = F.struct(*[F.col(c).cast("string").alias(c) for c in columns])
-    paged = rows.select(cells.alias("record")).withColumn(
-        "page", (F.monotonically_increasing_id() / 1000).cast("long")
-    )
-    pages = paged.groupBy("page").agg(F.collect_list("record").alias("value")).drop("page")
+    order = F.substring_index("ListingKey", "-", 1).alias("order")
+    pages = rows.select(order, cells.alias("record")).groupBy("order").agg(F.collect_list("record").alias("value"))
+    pages = pages.drop("order")
     pages.write.json(folder)
     records = J.read_pages(spark, folder, columns, one_per_file=False)
     return J.closed_month(records, "1995-03").select("ListingKey", num("ClosePrice").alias("ClosePrice"), "PropertyType")

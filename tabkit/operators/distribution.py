@@ -126,8 +126,12 @@ def distribution(
 
     def counted(side: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
         side = side.select(*place, *extra)
-        joined = values.join(F.broadcast(side) if small else side, [*group, "_cell"])
-        return joined.groupBy(*place, *extra, "_v").agg(F.count("*").alias("_n"))
+        if small:
+            joined = values.join(F.broadcast(side), [*group, "_cell"])
+            return joined.groupBy(*place, *extra, "_v").agg(F.count("*").alias("_n"))
+        # Counted before the shuffle join, so that a value held by many rows travels once per task.
+        once = values.groupBy(*group, "_cell", "_v").agg(F.count("*").alias("_n"))
+        return once.join(side, [*group, "_cell"]).select(*place, *extra, "_v", "_n")
 
     def ranked(rows: DataFrame, part: Sequence[str], start: str) -> DataFrame:
         """Rows (group, carried, value, rank) for the wanted ranks of each part."""

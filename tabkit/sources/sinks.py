@@ -17,13 +17,16 @@ def write_stage(
 ) -> None:
     """Write a stage. Parquet keeps types; ``fmt='csv'`` writes a header and quotes that read back.
 
-    ``period_columns`` are month keys whose null is written as ``NaT`` in CSV.
+    ``period_columns`` are month keys whose null is written as ``NaT`` in CSV. With
+    ``partition_by`` each task writes to few folders, and a folder with many rows is
+    written by many tasks.
     """
-    writer = df
     if fmt == "csv":
         present = [c for c in period_columns if c in df.columns]
-        writer = df.fillna("NaT", subset=present) if present else df
-    out = writer.write.mode("overwrite").format(fmt)
+        df = df.fillna("NaT", subset=present) if present else df
+    if partition_by:
+        df = df.repartitionByRange(*partition_by, F.xxhash64(*df.columns))
+    out = df.write.mode("overwrite").format(fmt)
     if partition_by:
         out = out.partitionBy(*partition_by)
     if fmt == "csv":

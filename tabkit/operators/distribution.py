@@ -33,11 +33,12 @@ DENSE_ROWS = 1 << 22
 BROADCAST_ROWS = 200_000
 
 
-# A number that never falls when the value rises: negatives, zero, positives.
-_CELL = f"""cast(case
+# A number that never falls when the value rises: negatives, zero, positives. Written so that it
+# cannot be null; else the join on it would compute it a second time to filter nulls.
+_CELL = f"""coalesce(cast(case
     when _v > 0 then floor(least(ln(_v), 710D) * {_CELLS_PER_E_FOLD}) + {_CELL_ORIGIN}
     when _v < 0 then -(floor(least(ln(-_v), 710D) * {_CELLS_PER_E_FOLD}) + {_CELL_ORIGIN})
-    else 0 end as int)"""
+    end as int), 0)"""
 _STEP = f"case when _high > _low then cast(floor((_v - _low) / (_high - _low) * {_STEPS}) as int) else 0 end"
 
 

@@ -14,9 +14,6 @@ def build_session(app: str = "tabkit", master: str | None = None, **conf: str) -
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.ui.enabled": "false",
-        # The JVM never compiles a method above 8,000 bytes; typing of 40 text columns in one
-        # generated method would run interpreted, at a third of the speed.
-        "spark.sql.codegen.hugeMethodLimit": "8000",
         **conf,
     }
     builder = SparkSession.builder.appName(app)
@@ -44,13 +41,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Spread rows by evenly distributed keys when the input has fewer files than cores.
+    """Spread rows by evenly distributed keys when the input has fewer splits than cores.
 
-    A single small file would keep all later work in one task. An input of many files,
+    A single small file would keep all later work in one task. An input of many splits,
     as on a cluster, is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .jaccard_join import jaccard_components
 from .line_dedup import dedup_lines
+from .quality_rules import judge_quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +48,22 @@ select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
 from judged group by doc_id
 """
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingle sets have a Jaccard similarity of 0.9 or more."""
+    return jaccard_components(_table(spark, sf_dir, "documents"), shingle=3, num=9, den=10)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict per document; cutoffs per language from all labelled documents."""
+    judged = judge_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), stratum="lang")
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select(*first, *[c for c in judged.columns if c not in first])
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_jaccard_join": op2_jaccard_join,
+    "op4_quality_rules": op4_quality_rules,
 }
 
 ORACLES = {

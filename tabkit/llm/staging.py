@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import shared_dir
+from .shipping import ship
 
 
 class Scratch:
@@ -18,6 +19,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
         self._fs(self.root)[0].deleteOnExit(self._fs(self.root)[1])

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_bpe import decode_documents, encode_documents
+from .importance import resample
 from .jaccard_join import jaccard_components
 from .line_dedup import dedup_lines
+from .packing import Limits, pack_documents
 from .quality_rules import judge_quality
+from .token_counts import count_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,10 +65,38 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(*first, *[c for c in judged.columns if c not in first])
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces and score of the best unigram segmentation of every text."""
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode every text, decode the ids, and give digests of both."""
+    where, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    decoded = decode_documents(encode_documents(_table(spark, sf_dir, "documents"), where, pattern), where, pattern)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pack every text into sequences of at most 4096 tokens, 256 segments and 4096 loss-bearing tokens."""
+    where = public_tokenizers.path("word_bpe_49k.json")
+    pieces = pack_documents(_table(spark, sf_dir, "documents"), where, end_id=2, limits=Limits(4096, 256, 4096))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, key and verdict of every document; the target is labelled good, non-toxic text."""
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op9_packing": op9_packing,
+    "op10_importance_resampling": op10_importance_resampling,
 }
 
 ORACLES = {

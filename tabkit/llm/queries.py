@@ -6,13 +6,25 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest_neighbours
 from .byte_bpe import decode_documents, encode_documents
 from .importance import resample
 from .jaccard_join import jaccard_components
 from .line_dedup import dedup_lines
 from .packing import Limits, pack_documents
 from .quality_rules import judge_quality
+from .sharding import shard_rows
 from .token_counts import count_tokens
+from .url_filter import judge_urls
+
+#: The rules of op5: host and path, and what becomes of urls that they fit.
+URL_RULES = [
+    ("com/", "allow"),
+    ("example.com/en/", "block"),
+    ("www.example.com/en/", "allow"),
+    ("net/es/", "block"),
+    ("net/fr/", "block"),
+]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +82,16 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page; urls without a rule follow their aliases, and are allowed without any."""
+    return judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found of every vector whose id is divisible by 20."""
+    return nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode every text, decode the ids, and give digests of both."""
     where, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -77,6 +99,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 40 shards of equal numbers of rows, equal texts together."""
+    return shard_rows(_table(spark, sf_dir, "documents"), shards=40).drop("group")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pack every text into sequences of at most 4096 tokens, 256 segments and 4096 loss-bearing tokens."""
     where = public_tokenizers.path("word_bpe_49k.json")
@@ -94,11 +121,99 @@ QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
+    "op5_url_filter": op5_url_filter,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_byte_bpe": op7_byte_bpe,
+    "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
     "op10_importance_resampling": op10_importance_resampling,
 }
 
+OP2_SQL = r"""
+with recursive words as (
+    select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                      '[^\x20\x09-\x0D]+') as w
+    from documents
+),
+shingles as materialized (
+    select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')]
+        else list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) end) as s
+    from words
+),
+sizes as materialized (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (
+    select a.doc_id as a, b.doc_id as b, count(*) as common
+    from shingles a join shingles b on a.s = b.s and a.doc_id <> b.doc_id group by all
+),
+links as materialized (
+    select a, b from shared join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+    where 100 * common >= 90 * (x.n + y.n - common)
+),
+reach(doc_id, other) as (
+    select doc_id, doc_id from documents
+    union
+    select reach.doc_id, links.b from reach join links on reach.other = links.a
+)
+select d.doc_id, coalesce(any_value(n), 0)::bigint as n_shingles, min(other) as component_id
+from documents d join reach on reach.doc_id = d.doc_id left join sizes on sizes.doc_id = d.doc_id
+group by d.doc_id
+"""
+
+_RULE_ROWS = ", ".join(f"('{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}', '{r}', '{a}')" for r, a in URL_RULES)
+
+OP5_SQL = rf"""
+with recursive tags as (
+    select url as from_url, unnest([
+        regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']([^"'']*)["'']', 1),
+        regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''>\s]+)', 1)
+    ]) as target
+    from pages
+),
+links as (
+    select from_url, case when contains(target, '://') then target
+        when starts_with(target, '/') then regexp_extract(from_url, '^.*?://[^/?#]*') || target end as to_url
+    from tags where target <> '' and from_url is not null
+),
+urls as (select url from pages union select from_url from links union select to_url from links),
+parsed as (
+    select url, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from urls where url is not null
+),
+split as (
+    select url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+           regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path,
+           regexp_replace(regexp_replace(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '(^|&)utm_[^&]*', '', 'g'), '^&', '') as query
+    from parsed
+),
+nodes as (
+    select *, case when contains(url, '://') then host || path || case when query <> '' then '?' || query else '' end else url end as node
+    from split
+),
+rules(rule_host, rule_path, rule, action) as (values {_RULE_ROWS}),
+matched as (
+    select url, arg_max(rule, length(rule)) as rule, arg_max(action, length(rule)) as action
+    from nodes join rules on (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)
+    where host <> '' group by url
+),
+edges as (
+    select f.node as a, t.node as b from links join nodes f on f.url = from_url join nodes t on t.url = to_url
+),
+both_ways as (select a, b from edges union select b, a from edges),
+reach(node, other) as (
+    select distinct node, node from nodes
+    union
+    select reach.node, both_ways.b from reach join both_ways on reach.other = both_ways.a
+),
+decided as (
+    select reach.node, count(*) filter (where action = 'block') > 0 and count(*) filter (where action = 'allow') = 0 as blocked
+    from reach join nodes on nodes.node = reach.other left join matched on matched.url = nodes.url group by reach.node
+)
+select p.page_id, coalesce(n.host, '') as host, coalesce(n.path, '') as path, m.rule,
+       coalesce(m.action, case when d.blocked then 'block' else 'allow' end) as verdict
+from pages p left join nodes n on n.url = p.url left join matched m on m.url = p.url left join decided d on d.node = n.node
+"""
+
 ORACLES = {
+    "op2_jaccard_join": OP2_SQL,
+    "op5_url_filter": OP5_SQL,
     "op1_line_dedup": OP1_SQL,
 }

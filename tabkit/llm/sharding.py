@@ -2,7 +2,8 @@
 
 Documents of a group are linked with each other. Linked documents are first dealt out evenly. In each round a group's documents
 move to the shard where most of their neighbours are, as far as quotas allow: between two shards as many may move
-one way as the other, and beyond that as many as the target has room. A round works on the number of documents per group and shard, so
+one way as the other, and beyond that as many as the target has room. Every other round looks only at shards with room, so that a
+group larger than a shard goes on in the next one. A round works on the number of documents per group and shard, so
 no pair of neighbours is ever listed. Documents without links fill what is left. In the end every shard has as many
 rows as any other, or one more.
 """
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 from .numbering import running_before, salted
 from .staging import Scratch
 
-ROUNDS = 8
+ROUNDS = 16
+#: Two rounds in a row that move less than this share of the linked documents end the propagation.
+LEAST_MOVED = 0.002
 #: Rows that one window of a numbering holds about.
 CELL_ROWS = 50_000
 
@@ -34,22 +37,28 @@ def _quotas(moves: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[in
 def _propagated(cells: DataFrame, capacity: list[int], n_cells: int, rounds: int, scratch: Scratch) -> DataFrame:
     """Move the documents of (group, shard, n) towards their neighbours. What comes to the driver is by shard or pair of shards."""
     spark = cells.sparkSession
-    for _ in range(rounds):
+    idle = 0
+    for turn in range(rounds):
         held = {row.shard: row.n for row in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         room = [size - held.get(shard, 0) for shard, size in enumerate(capacity)]
         rank = F.struct("n", F.xxhash64("group", "shard").alias("tie"), "shard")
-        # A full shard can still exchange documents, so it is a target too unless the group has filled it alone.
-        full = F.lit(False)
+        target = F.lit(False)
         for shard, size in enumerate(capacity):
-            full = full | ((F.col("shard") == shard) & (F.col("n") >= size))
-        best = cells.where(~full).groupBy("group").agg(F.max(rank).alias("best"))
-        moves = cells.join(best, "group").where(rank < F.col("best"))
+            open_to = (F.lit(room[shard]) > 0) if turn % 2 == 0 else (F.col("n") < size)
+            target = target | ((F.col("shard") == shard) & open_to)
+        best = cells.where(target).groupBy("group").agg(F.max(rank).alias("best"))
+        lower = (rank < F.col("best")) | (~target & (F.col("n") <= F.col("best.n")))
+        moves = cells.join(best, "group").where(lower & (F.col("shard") != F.col("best.shard")))
         moves = scratch.keep(moves.select("group", "shard", F.col("best.shard").alias("to"), "n"), "moves")
         wanted = {(r.shard, r.to): r.n for r in moves.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}
         quotas = [(a, b, n) for (a, b), n in _quotas(wanted, room).items() if n]
-        if not quotas:
+        idle = idle + 1 if sum(n for *_, n in quotas) <= LEAST_MOVED * sum(held.values()) else 0
+        if idle == 2:
             scratch.drop(moves)
             break
+        if not quotas:
+            scratch.drop(moves)
+            continue
         quota = spark.createDataFrame(quotas, "shard int, to int, quota long")
         before = running_before(moves, ["shard", "to"], F.col("group"), n_cells, [F.col("group")], F.col("n"), "before")
         taken = before.join(F.broadcast(quota), ["shard", "to"])

@@ -13,6 +13,7 @@ from .scalars import (  # noqa: F401
     quotient,
     round_even,
     strict_day,
+    strict_moment,
     to_day,
     to_moment,
     year_number,

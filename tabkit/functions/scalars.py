@@ -19,7 +19,6 @@ MISSING_TOKENS = [
 # Plain decimal or scientific notation. Java also accepts "12d" and "12f"; those are not numbers here.
 NUMBER_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
-DAY_PATTERN = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 MOMENT_PATTERN = (
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?$"
 )
@@ -30,30 +29,40 @@ def _col(c: Column | str) -> Column:
 
 
 def num(c: Column | str) -> Column:
-    """Text to double; anything that is not a number becomes null.
-
-    The input is named once, so that a filter on the result does not evaluate it twice.
-    """
+    """Text to double; anything that is not a number becomes null."""
     text = F.trim(_col(c).cast("string"))
-    return F.regexp_substr(text, F.lit(NUMBER_PATTERN)).try_cast("double")
+    return F.when(text.rlike(NUMBER_PATTERN), text.try_cast("double"))
 
 
 def to_day(c: Column | str) -> Column:
-    """Text ``yyyy-MM-dd`` to date; any other text, also a bare year, becomes null.
+    """Text ``yyyy-MM-dd``, with or without a time part, to its date; any other text, also a bare year, becomes null.
 
     Casting texts of the right shape costs no exception per bad cell, as a format parser would.
     """
-    return F.regexp_substr(F.trim(_col(c)), F.lit(DAY_PATTERN)).try_cast("date")
+    text = F.trim(_col(c))
+    return F.when(text.rlike(MOMENT_PATTERN), F.substring(text, 1, 10).try_cast("date"))
 
 
 def strict_day(c: Column | str) -> Column:
-    """Text to date; a bad text fails the job (needs ANSI mode, the default)."""
-    return F.to_date(F.trim(_col(c)), "yyyy-MM-dd")
+    """Text to date; a bad text fails the job."""
+    return _strict(c, to_day(c))
+
+
+def strict_moment(c: Column | str) -> Column:
+    """Text with an optional time part to timestamp; a bad text fails the job."""
+    return _strict(c, to_moment(c))
+
+
+def _strict(c: Column | str, parsed: Column) -> Column:
+    c = _col(c)
+    bad = F.raise_error(F.concat(F.lit("not a date: "), c))
+    return F.when(c.isNotNull() & parsed.isNull(), bad).otherwise(parsed)
 
 
 def to_moment(c: Column | str) -> Column:
     """Text with an optional time part to timestamp, bad text to null."""
-    return F.regexp_substr(F.trim(_col(c)), F.lit(MOMENT_PATTERN)).try_cast("timestamp")
+    text = F.trim(_col(c))
+    return F.when(text.rlike(MOMENT_PATTERN), text.try_cast("timestamp"))
 
 
 def null_if(c: Column | str, sentinel: str) -> Column:

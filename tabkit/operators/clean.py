@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import is_true, num, strict_day, to_day, to_moment
+from ..functions import is_true, num, strict_day, strict_moment, to_day, to_moment
 from ..functions.scalars import MISSING_TOKENS
 from .profile import missing_report, unfold
 
@@ -75,10 +75,10 @@ class Typing:
         def text(names: Sequence[str]) -> list[str]:
             return [n for n in names if kinds.get(n) == "string"]
 
-        day = strict_day if self.strict_dates else to_day
+        day, moment = (strict_day, strict_moment) if self.strict_dates else (to_day, to_moment)
         return {
             **{c: day(F.col(c)) for c in text(self.dates)},
-            **{c: to_moment(F.col(c)) for c in text(self.moments)},
+            **{c: moment(F.col(c)) for c in text(self.moments)},
             **{c: num(F.col(c)) for c in text(self.numbers)},
         }
 
@@ -90,6 +90,8 @@ def coerce(df: DataFrame, typing: Typing) -> DataFrame:
 def coercion_report(df: DataFrame, typing: Typing) -> DataFrame:
     """Rows (column, new_nulls): values that typing turns into null, all columns in one pass."""
     typed = typing.expressions(df)
+    if not typed:
+        return df.sparkSession.createDataFrame([], "column string, new_nulls long")
     counted = df.agg(*[F.count_if(F.col(c).isNotNull() & e.isNull()).alias(c) for c, e in typed.items()])
     return counted.unpivot([], list(typed), "column", "new_nulls")
 
@@ -131,6 +133,9 @@ def ledger(df: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFrame:
     Each row is counted under the first condition it fails, so one pass gives the same
     counts as applying the steps one after another.
     """
+    if not steps:
+        shape = "step int, name string, rows_before long, removed long, rows_after long"
+        return df.sparkSession.createDataFrame([], shape)
     failed = F.coalesce(*[F.when(~is_true(c), F.lit(i)) for i, (_, c) in enumerate(steps)], F.lit(len(steps)))
     counted = df.select(failed.alias("_failed")).agg(
         F.count("*").alias("n"), *[F.count_if(F.col("_failed") == i).alias(f"r{i}") for i in range(len(steps))]

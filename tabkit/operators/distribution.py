@@ -7,11 +7,14 @@ third of all rows breaks it. Here no task ever holds a group:
    so a cell spans 0.4% of the value). One aggregation, combined on the map side, counts the
    rows of each (group, field, cell). A running sum over the cells, at most a few
    hundred thousand per group and field, tells which cells hold the wanted ranks.
-2. Only rows of those cells are read again, counted by value and ranked inside the cell.
-3. A cell with more than ``dense_rows`` rows is first split into 2^22 equal steps
-   between its own smallest and largest value, and only the steps that hold a wanted
+2. A cell whose smallest and largest value are equal is resolved by the histogram alone. Rows of the
+   other wanted cells are read again, counted by value and ranked inside the cell.
+3. The counted values of a cell with more than ``dense_rows`` rows are held, and first split into 2^22 equal
+   steps between the cell's own smallest and largest value; only the steps that hold a wanted
    rank are ranked. A step is so narrow that it holds at most a few million different doubles.
 
+So the input is read twice at most, and once if every wanted cell holds one value.
+
 All counts are exact, so the ranks are exact for any distribution of values.
 """
 
@@ -39,7 +42,10 @@ _CELL = f"""coalesce(cast(case
     when _v > 0 then floor(least(ln(_v), 710D) * {_CELLS_PER_E_FOLD}) + {_CELL_ORIGIN}
     when _v < 0 then -(floor(least(ln(-_v), 710D) * {_CELLS_PER_E_FOLD}) + {_CELL_ORIGIN})
     end as int), 0)"""
-_STEP = f"case when _high > _low then cast(floor((_v - _low) / (_high - _low) * {_STEPS}) as int) else 0 end"
+_LARGEST = "1.7976931348623157E308D"
+# Infinite values stay on the outer steps.
+_STEP = f"""case when _high > _low then cast(floor(greatest(-1D, least(2D, (_v - greatest(_low, -{_LARGEST}))
+    / (least(_high, {_LARGEST}) - greatest(_low, -{_LARGEST})))) * {_STEPS}) as int) else 0 end"""
 
 
 def _wanted_ranks(probabilities: Sequence[float], start: str, end: str) -> str:
@@ -54,11 +60,12 @@ def _quantiles(probabilities: Sequence[float]) -> str:
     """Interpolation between the two ranked values that enclose each probability."""
     return f"""transform(
         transform(array({", ".join(f"{p!r}D" for p in probabilities)}), p -> p * (_rows - 1)),
-        x -> _at[cast(floor(x) as bigint)] * (1 - (x - floor(x))) + _at[cast(ceil(x) as bigint)] * (x - floor(x)))"""
+        x -> case when x = floor(x) then _at[cast(x as bigint)]
+            else _at[cast(floor(x) as bigint)] * (1 - (x - floor(x))) + _at[cast(ceil(x) as bigint)] * (x - floor(x)) end)"""
 
 
 def _long(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """One row per group, field and non-null value."""
+    """One row per group, field and value; the cell of a missing value is null."""
     key_names = [f"_k{i}" for i in range(len(keys))]
     values = df.select(
         *[F.col(k).alias(n) for k, n in zip(keys, key_names)],
@@ -67,12 +74,8 @@ def _long(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFram
     if key_names:
         values = values.dropna(subset=key_names)
     pairs = ", ".join(f"{i}, _f{i}" for i in range(len(fields)))
-    return (
-        values.selectExpr(*key_names, f"stack({len(fields)}, {pairs}) as (_field, _v)")
-        # NaN counts as missing, as a null does.
-        .where("_v is not null and not isnan(_v)")
-        .withColumn("_cell", F.expr(_CELL))
-    )
+    # NaN counts as missing, as a null does.
+    return values.selectExpr(*key_names, f"stack({len(fields)}, {pairs}) as (_field, _v)").withColumn("_v", F.expr("nullif(_v, double('NaN'))"))
 
 
 def distribution(
@@ -82,29 +85,37 @@ def distribution(
     keys: Sequence[str] = (),
     dense_rows: int = DENSE_ROWS,
     broadcast_rows: int = BROADCAST_ROWS,
+    keep_empty: bool = False,
 ) -> DataFrame:
     """Rows (keys..., field, count, min, max, mean, quantiles) over non-null numeric values.
 
     ``quantiles`` follows the order of ``probabilities``, linearly interpolated. Rows with a
-    null key and (group, field) pairs without any value give no row.
+    null key give no row. (Group, field) pairs without any value give no row or, with ``keep_empty``, one
+    with count 0. Without fields the result is empty.
 
     Step 1 runs at once and its picked cells are checkpointed: their number decides whether
     step 2 may broadcast them, and the fullest one whether step 3 is needed.
     """
+    if not fields:
+        shape = "field string, count long, min double, max double, mean double, quantiles array<double>"
+        columns = [f"cast(null as {c.split(' ', 1)[1]}) as {c.split(' ', 1)[0]}" for c in shape.split(", ")]
+        return df.where(F.lit(False)).selectExpr(*[f"`{k}`" for k in keys], *columns)
     probabilities = [float(p) for p in probabilities]
     group = [f"_k{i}" for i in range(len(keys))] + ["_field"]
     names = ", ".join(group)
-    values = _long(df, keys, fields)
+    everything = _long(df, keys, fields)
+    values = everything.where("_v is not null").withColumn("_cell", F.expr(_CELL))
 
     # Step 1: histogram and the cells that hold a wanted rank.
-    cells = values.groupBy(*group, "_cell").agg(
-        F.count("*").alias("_cell_rows"),
+    cells = everything.withColumn("_cell", F.expr(f"if(_v is null, null, {_CELL})")).groupBy(*group, "_cell").agg(
+        F.count("_v").alias("_cell_rows"),
         F.min("_v").alias("_low"),
         F.max("_v").alias("_high"),
         F.sum("_v").alias("_sum"),
     )
     whole = f"over (partition by {names})"
-    upto = f"over (partition by {names} order by _cell rows unbounded preceding)"
+    upto = f"over (partition by {names} order by _cell nulls first rows unbounded preceding)"
+    wanted = f"size({_wanted_ranks(probabilities, '_before', '_before + _cell_rows')}) > 0"
     picked = cells.selectExpr(
         *group,
         "_cell",
@@ -116,23 +127,17 @@ def distribution(
         f"min(_low) {whole} as _min",
         f"max(_high) {whole} as _max",
         f"sum(_sum) {whole} as _total",
-    ).where(f"size({_wanted_ranks(probabilities, '_before', '_before + _cell_rows')}) > 0")
+    ).where(f"(_cell is not null and {wanted})" + (" or _rows = 0" if keep_empty else ""))
     picked = cut_lineage(picked)
-    size = picked.agg(F.count("*").alias("cells"), F.max("_cell_rows").alias("fullest")).first()
+    mixed = picked.where("_low < _high")
+    size = mixed.agg(F.count("*").alias("cells"), F.max("_cell_rows").alias("fullest")).first()
     small = size["cells"] <= broadcast_rows
 
-    # Step 2: values of the picked cells with their counts.
     carried = ["_rows", "_min", "_max", "_total"]
     place = [*group, "_cell", "_before", *carried]
-
-    def counted(side: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-        side = side.select(*place, *extra)
-        if small:
-            joined = values.join(F.broadcast(side), [*group, "_cell"])
-            return joined.groupBy(*place, *extra, "_v").agg(F.count("*").alias("_n"))
-        # Counted before the shuffle join, so that a value held by many rows travels once per task.
-        once = values.groupBy(*group, "_cell", "_v").agg(F.count("*").alias("_n"))
-        return once.join(side, [*group, "_cell"]).select(*place, *extra, "_v", "_n")
+    found = picked.where("_low = _high").selectExpr(
+        *group, *carried, "_low as _v", f"explode({_wanted_ranks(probabilities, '_before', '_before + _cell_rows')}) as _rank"
+    )
 
     def ranked(rows: DataFrame, part: Sequence[str], start: str) -> DataFrame:
         """Rows (group, carried, value, rank) for the wanted ranks of each part."""
@@ -144,34 +149,45 @@ def distribution(
             f"explode({_wanted_ranks(probabilities, '_end - _n', '_end')}) as _rank",
         )
 
-    sparse = counted(picked.where(f"_cell_rows <= {dense_rows}"))
-    found = ranked(sparse, [*group, "_cell"], "_before")
-
-    if (size["fullest"] or 0) > dense_rows:
-        # Step 3: cells too full for one task.
-        dense = counted(picked.where(f"_cell_rows > {dense_rows}"), ["_low", "_high"]).withColumn("_step", F.expr(_STEP))
-        upto = f"over (partition by {names}, _cell order by _step rows unbounded preceding)"
-        steps = (
-            dense.groupBy(*place, "_step")
-            .agg(F.sum("_n").alias("_step_rows"))
-            .withColumn("_step_end", F.expr(f"_before + sum(_step_rows) {upto}"))
-            .where(f"size({_wanted_ranks(probabilities, '_step_end - _step_rows', '_step_end')}) > 0")
-            .selectExpr(*group, "_cell", "_step", "_step_end - _step_rows as _step_before")
-        )
-        in_steps = dense.join(F.broadcast(steps) if small else steps, [*group, "_cell", "_step"])
-        found = found.unionByName(ranked(in_steps, [*group, "_cell", "_step"], "_step_before"))
+    if size["cells"]:
+        # Step 2: values of the cells that hold several, with their counts.
+        extra = ["_cell_rows", "_low", "_high"]
+        side = mixed.select(*place, *extra)
+        if small:
+            joined = values.join(F.broadcast(side), [*group, "_cell"])
+            counted = joined.groupBy(*place, *extra, "_v").agg(F.count("*").alias("_n"))
+        else:
+            # Counted before the shuffle join, so that a value held by many rows travels once per task.
+            once = values.groupBy(*group, "_cell", "_v").agg(F.count("*").alias("_n"))
+            counted = once.join(side, [*group, "_cell"]).select(*place, *extra, "_v", "_n")
+        if size["fullest"] > dense_rows:
+            # Step 3: cells too full for one task. Held, as it is used three times.
+            counted = cut_lineage(counted)
+            dense = counted.where(f"_cell_rows > {dense_rows}").withColumn("_step", F.expr(_STEP))
+            counted = counted.where(f"_cell_rows <= {dense_rows}")
+            upto = f"over (partition by {names}, _cell order by _step rows unbounded preceding)"
+            steps = (
+                dense.groupBy(*place, "_step")
+                .agg(F.sum("_n").alias("_step_rows"))
+                .withColumn("_step_end", F.expr(f"_before + sum(_step_rows) {upto}"))
+                .where(f"size({_wanted_ranks(probabilities, '_step_end - _step_rows', '_step_end')}) > 0")
+                .selectExpr(*group, "_cell", "_step", "_step_end - _step_rows as _step_before")
+            )
+            in_steps = dense.join(steps, [*group, "_cell", "_step"])
+            found = found.unionByName(ranked(in_steps, [*group, "_cell", "_step"], "_step_before"))
+        found = found.unionByName(ranked(counted, [*group, "_cell"], "_before"))
 
     # At most two ranks per probability remain for each group and field.
-    return (
-        found.groupBy(*group, *carried)
-        .agg(F.expr("map_from_entries(collect_list(struct(_rank, _v))) as _at"))
-        .select(
-            *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)],
-            F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("_field") + 1).alias("field"),
-            F.expr("_rows as count"),
-            F.expr("_min as min"),
-            F.expr("_max as max"),
-            F.expr("_total / _rows as mean"),
-            F.expr(_quantiles(probabilities)).alias("quantiles"),
-        )
+    results = found.groupBy(*group, *carried).agg(F.expr("map_from_entries(collect_list(struct(_rank, _v))) as _at"))
+    if keep_empty:
+        empty = picked.where("_rows = 0").select(*group, *carried)
+        results = results.unionByName(empty.withColumn("_at", F.lit(None).cast("map<bigint, double>")))
+    return results.select(
+        *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)],
+        F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("_field") + 1).alias("field"),
+        F.expr("_rows as count"),
+        F.expr("_min as min"),
+        F.expr("_max as max"),
+        F.expr("_total / nullif(_rows, 0) as mean"),
+        F.expr(f"if(_rows = 0, null, {_quantiles(probabilities)}) as quantiles"),
     )

@@ -22,14 +22,21 @@ def series_range(series: DataFrame, date: str = "date", value: str = RATE) -> Da
     )
 
 
-def resample_monthly(series: DataFrame, date: str = "date", value: str = RATE, digits: int = 4) -> DataFrame:
+def resample_monthly(
+    series: DataFrame, date: str = "date", value: str = RATE, digits: int = 4, scale: int = 12
+) -> DataFrame:
     """Rows (year_month, value): monthly means; months without observation inside the range are null.
 
-    Values are summed as decimals: a mean that lands on a rounding tie must not depend on
-    the order in which partitions are added up.
+    Values are summed as decimals with ``scale`` places, which must be ``digits`` at least: a mean that lands on a
+    rounding tie must not depend on the order in which partitions are added up. A value with a bad date fails the job:
+    left out, it would change a month without a trace.
     """
+    if scale < digits:
+        raise ValueError(f"scale {scale} is less than digits {digits}")
+    bad = F.raise_error(F.lit(f"a {value} without a valid {date}"))
     observed = series.where(F.col(value).isNotNull()).select(
-        F.trunc(date, "MM").alias("_month"), F.col(value).cast("decimal(28,8)").alias("_value")
+        F.when(F.col(date).isNull(), bad).otherwise(F.trunc(date, "MM")).alias("_month"),
+        F.col(value).cast(f"decimal(38,{scale})").alias("_value"),
     )
     means = observed.groupBy("_month").agg(
         (F.sum("_value").cast("double") / F.count("*")).alias("_mean")

@@ -21,6 +21,11 @@ def select_existing(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(n) for n in names if n in df.columns])
 
 
+def padded(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The frame with a null column for each name it lacks."""
+    return df.withColumns({n: F.lit(None).cast("double") for n in names if n not in df.columns})
+
+
 def text_columns(df: DataFrame) -> list[str]:
     return [name for name, kind in df.dtypes if kind == "string"]
 
@@ -38,12 +43,14 @@ def as_numbers(df: DataFrame, fields: Sequence[str]) -> DataFrame:
 
 
 def as_day(df: DataFrame, name: str) -> Column:
-    """The column as a date, whether it still is text or already typed."""
+    """The column as a date, whether it still is text or already typed; null where the frame lacks it."""
+    if name not in df.columns:
+        return F.lit(None).cast("date")
     return to_day(F.col(name)) if dict(df.dtypes)[name] == "string" else F.to_date(F.col(name))
 
 
 def unfold(one_row: DataFrame, rows: Sequence[Sequence[Column]], names: Sequence[str]) -> DataFrame:
-    """Turn a one-row aggregate into report rows, one per entry of ``rows``."""
+    """Turn a one-row aggregate into report rows, one per entry of ``rows``, one at least."""
     entries = F.array(*[F.struct(*[c.alias(n) for c, n in zip(row, names)]) for row in rows])
     return one_row.select(F.inline(entries))
 
@@ -74,7 +81,9 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
 
 def missing_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows (column, missing_count, missing_pct), worst first. The percentage is rounded to 2 digits."""
-    columns = list(columns or df.columns)
+    columns = list(df.columns if columns is None else columns)
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, missing_count long, missing_pct double")
     counts = df.agg(F.count("*").alias("_rows"), *[F.expr(f"count_if(`{c}` is null) as `{c}`") for c in columns])
     report = counts.unpivot("_rows", [F.col(f"`{c}`") for c in columns], "column", "missing_count")
     return report.select(
@@ -109,7 +118,7 @@ def value_distribution(df: DataFrame, column: str, digits: int = 2) -> DataFrame
 def center_and_skew(df: DataFrame, column: str, digits: int = 2) -> DataFrame:
     """Median, mean and mean minus median of one column."""
     numbers = as_numbers(df, [column])
-    stats = distribution(numbers, [column], [0.5])
+    stats = distribution(numbers, numbers.columns, [0.5])
     median = F.col("quantiles")[0]
     return stats.select(
         round_even(median, digits).alias("median"),
@@ -155,7 +164,7 @@ def _three_way(df: DataFrame, value: Column, names: Sequence[str], digits: int,
 def above_at_below(df: DataFrame, a: str, b: str, digits: int = 1) -> DataFrame:
     """How often the unrounded ratio a / b is above, at and below one."""
     side = F.signum(quotient(a, b) - 1.0)
-    return _three_way(valid_pair(df, a, b), side, ["above", "at", "below"], digits)
+    return _three_way(valid_pair(padded(df, [a, b]), a, b), side, ["above", "at", "below"], digits)
 
 
 def price_change_buckets(df: DataFrame, original: str, current: str, digits: int = 1) -> DataFrame:
@@ -165,7 +174,7 @@ def price_change_buckets(df: DataFrame, original: str, current: str, digits: int
     """
     change = round_even(quotient(F.col(original) - F.col(current), F.col(original)) * 100.0, 2)
     buckets = _three_way(
-        valid_pair(df, current, original),
+        valid_pair(padded(df, [current, original]), current, original),
         change,
         ["reduced", "unchanged", "raised"],
         digits,
@@ -233,12 +242,14 @@ def key_stats(df: DataFrame, fields: Sequence[str], digits: int = 2) -> DataFram
 
 def null_check(df: DataFrame, column: str) -> DataFrame:
     """One row: rows and rows where the column is null, as a check after a join."""
-    return df.agg(F.count("*").alias("rows"), F.count_if(F.col(column).isNull()).alias("null_rows"))
+    return padded(df, [column]).agg(F.count("*").alias("rows"), F.count_if(F.col(column).isNull()).alias("null_rows"))
 
 
 def flag_summary(df: DataFrame, flags: Sequence[str], digits: int = 2) -> DataFrame:
     """Rows (flag, rows, pct) for the flags that exist."""
     flags = [f for f in flags if f in df.columns]
+    if not flags:
+        return df.sparkSession.createDataFrame([], "flag string, rows long, pct double")
     counts = df.agg(F.count("*").alias("_rows"), *[F.expr(f"count_if(`{f}`) as `{f}`") for f in flags])
     summary = counts.unpivot("_rows", [F.col(f"`{f}`") for f in flags], "flag", "rows")
     return summary.select("flag", "rows", round_even(percent_of("rows", "_rows"), digits).alias("pct"))

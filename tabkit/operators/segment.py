@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .distribution import distribution
+from .profile import padded
 
 
 def segment_summary(
@@ -21,14 +22,16 @@ def segment_summary(
     """Per segment: non-null count of ``count_of`` and the median of each given column.
 
     ``medians`` maps output names to columns; columns the frame lacks are left out. A segment
-    whose values are all null keeps its row; rows without a segment are dropped.
+    whose values are all null keeps its row; rows without a segment are dropped. Without the segment
+    column the report is empty; a ``count_of`` that the frame lacks counts as null.
     """
     medians = {name: c for name, c in medians.items() if c in df.columns}
+    if key not in df.columns:
+        empty = [f"cast(null as string) as `{key}`", f"cast(null as bigint) as `{count_name}`"]
+        return df.where(F.lit(False)).selectExpr(*empty, *[f"cast(null as double) as `{m}`" for m in medians])
     columns = list(dict.fromkeys([*medians.values(), count_of]))
-    # A field present in every row keeps segments that have no other value.
-    present = "__present"
-    narrow = df.select(key, *columns, F.lit(1.0).alias(present))
-    stats = distribution(narrow, [*columns, present], [0.5], keys=[key], **limits)
+    narrow = padded(df, [count_of]).select(key, *columns)
+    stats = distribution(narrow, columns, [0.5], keys=[key], keep_empty=True, **limits)
 
     def of(column: str, value):
         return F.max(F.when(F.col("field") == column, value))
@@ -48,9 +51,10 @@ def group_center(
 
 
 def order_by_desc(df: DataFrame, by: str, tie: str | Sequence[str]) -> DataFrame:
-    """Highest first, nulls last, ties in the order of the tie columns."""
+    """Highest first, nulls last, ties in the order of the tie columns; without ``by`` in their order only."""
     ties = [tie] if isinstance(tie, str) else list(tie)
-    return df.orderBy(F.col(by).desc_nulls_last(), *ties)
+    first = [F.col(by).desc_nulls_last()] if by in df.columns else []
+    return df.orderBy(*first, *ties)
 
 
 def top_k(df: DataFrame, by: str, tie: str | Sequence[str], k: int = 10) -> DataFrame:

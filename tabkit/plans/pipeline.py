@@ -17,11 +17,12 @@ from ..operators import outliers as O
 from ..operators import profile as P
 from ..operators import segment as G
 from ..sources import pages as J
-from ..sources.sinks import checkpoint_stage, write_month, write_report
+from ..sources.monthly import CSV_ENCODING
+from ..sources.sinks import checkpoint_stage, write_month, write_report, write_stage
 from .config import DATE_COLUMNS, MOMENT_COLUMNS, NUMERIC_COLUMNS, PipelineConfig
 
 TYPING = C.Typing(dates=DATE_COLUMNS, moments=MOMENT_COLUMNS, numbers=NUMERIC_COLUMNS)
-STRICT_TYPING = C.Typing(dates=[*DATE_COLUMNS, *MOMENT_COLUMNS], numbers=NUMERIC_COLUMNS, strict_dates=True)
+STRICT_TYPING = C.Typing(dates=DATE_COLUMNS, moments=MOMENT_COLUMNS, numbers=NUMERIC_COLUMNS, strict_dates=True)
 
 
 def row_rules(cfg: PipelineConfig) -> list[C.Rule]:
@@ -142,7 +143,9 @@ class PipelineRun:
         periods = ["year_month", f"{self.cfg.time_prefix}_yrmo"]
         options = {"period_columns": periods} if self.stage_format == "csv" else {}
         path = f"{self.out}/{self.cfg.name}_{name}"
-        return checkpoint_stage(df.sparkSession, df, path, self.stage_format, **options)
+        # The curated tables are laid out by month, so that a reader of one month opens one folder.
+        by = [periods[1]] if name in ("flagged", "final") and periods[1] in df.columns else []
+        return checkpoint_stage(df.sparkSession, df, path, self.stage_format, by, **options)
 
     @cached_property
     def combined(self) -> DataFrame:
@@ -269,8 +272,13 @@ def run_pipeline(
     return run
 
 
-def run_quick(raw: DataFrame, cfg: PipelineConfig, k: float | None = None) -> DataFrame:
-    """The quick variant: required columns, strict dates, fences on already trimmed rows, plain ratios."""
+def run_quick(
+    raw: DataFrame, cfg: PipelineConfig, k: float | None = None, out: str | None = None, encoding: str = CSV_ENCODING
+) -> DataFrame:
+    """The quick variant: required columns, strict dates, fences on already trimmed rows, plain ratios.
+
+    With ``out`` the result is also written there as CSV.
+    """
     quick = cfg.quick
     required = C.filter_category(raw, cfg.category, cfg.category_value).dropna(subset=[cfg.price, "LivingArea"])
     typed = C.coerce(C.drop_columns(required, quick.dropped, strict=quick.strict_drop), STRICT_TYPING)
@@ -281,7 +289,10 @@ def run_quick(raw: DataFrame, cfg: PipelineConfig, k: float | None = None) -> Da
             quick.ratio: quotient("ClosePrice", "ListPrice"),
         }
     )
-    return X.time_parts(priced, cfg.event_date, quick.year, quick.month, quick.yrmo)
+    result = X.time_parts(priced, cfg.event_date, quick.year, quick.month, quick.yrmo)
+    if out:
+        write_stage(result, out, "csv", encoding=encoding)
+    return result
 
 
 def quick_missing(raw: DataFrame, cfg: PipelineConfig) -> DataFrame:
@@ -290,10 +301,10 @@ def quick_missing(raw: DataFrame, cfg: PipelineConfig) -> DataFrame:
 
 
 def pages_to_monthly(
-    spark: SparkSession, pages: str, month: str, cfg: PipelineConfig, folder: str, prefix: str
+    spark: SparkSession, pages: str, month: str, cfg: PipelineConfig, folder: str, prefix: str, one_per_file: bool = True
 ) -> str:
     """Landed pages to one monthly export: projection, status and half-open month, CSV with header."""
-    records = J.read_pages(spark, pages, cfg.export_columns)
+    records = J.read_pages(spark, pages, cfg.export_columns, one_per_file)
     selected = (
         J.closed_month(records, month, cfg.status) if cfg.status else J.listing_month(records, month)
     )

@@ -8,9 +8,8 @@ from collections import defaultdict
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,26 +22,72 @@ class MonthlyFile:
     path: str
 
 
+#: Exports are written and read in this encoding unless told otherwise.
+CSV_ENCODING = "ISO-8859-1"
+
+
+def _glob_name(name: str) -> str:
+    """A name with the signs that mean something in a path pattern escaped."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", name)
+
+
 def discover_monthly(spark: SparkSession, folder: str, prefix: str) -> list[MonthlyFile]:
-    """The exports ``<prefix>YYYYMM.csv`` in month order; each a file or a folder of part files.
+    """The exports ``<prefix>YYYYMM.csv`` directly in the folder, in month order; each a file or a folder of part files.
 
-    Any other name, such as a derived ``<prefix>_Cleaned.csv``, is ignored: reading results
-    back as input would count rows twice. Only paths are listed, no content is read.
+    Any other name, such as a derived ``<prefix>_Cleaned.csv``, is ignored, and so are copies in deeper
+    folders: reading results or copies back as input would count rows twice. Only paths are listed, no content is read.
     """
-    listing = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
-    )
-    pattern = rf"^(.*/{re.escape(prefix)}([0-9]{{6}})\.csv)(/[^/]+)?$"
+    names = f"{folder.rstrip('/')}/{_glob_name(prefix)}{'[0-9]' * 6}.csv"
+    try:
+        listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(names).select("path")
+    except Exception as error:  # the class differs between classic and Connect sessions
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return []
+    pattern = rf"^(.*/{re.escape(prefix)}([0-9]{{6}})\.csv)(/part-[^/]+)?$"
     found = listing.select(
         F.regexp_extract("path", pattern, 2).alias("month"), F.regexp_extract("path", pattern, 1).alias("file")
     )
     return sorted(MonthlyFile(r["month"], r["file"]) for r in found.where("file <> ''").distinct().collect())
 
 
-def header_of(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """Header cells of one export; reads its first line only."""
-    first = spark.read.text(path).head(1)
-    return tuple(next(csv.reader([first[0][0].lstrip("﻿")]))) if first else ()
+def plain_path() -> Column:
+    """The path of a row's file as it was given: the metadata column holds it with signs encoded as in a URL."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def _bare(path: str) -> str:
+    """Without the scheme of local files, which is written in several ways."""
+    return re.sub(r"^file:/*", "/", path).rstrip("/")
+
+
+@dataclass(frozen=True)
+class FileLook:
+    """The header cells of an export, and whether a cell of it may span lines."""
+
+    header: tuple[str, ...]
+    open_quotes: bool
+
+
+def look_at_files(spark: SparkSession, paths: Sequence[str]) -> dict[str, FileLook]:
+    """One job over all files: header cells, and whether some line has an odd number of quotes.
+
+    Files without such a line can be split between tasks. Empty files are left out. One row per file comes to the driver.
+    """
+    wanted = {_bare(p): p for p in paths}
+    odd = F.expr("length(value) % 2 <> length(replace(value, '\"', '')) % 2")
+    place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    lines = spark.read.text(list(paths)).select(plain_path().alias("file"), "value", odd.alias("odd"), place.alias("place"))
+    found: dict[str, FileLook] = {}
+    for row in lines.groupBy("file").agg(F.min_by("value", "place").alias("first"), F.max("odd").alias("odd")).orderBy("file").collect():
+        file = _bare(row["file"])
+        path = wanted.get(file) or wanted.get(file.rsplit("/", 1)[0])
+        if path is None:
+            raise ValueError(f"a file that was not asked for: {row['file']}")
+        before = found.get(path)
+        header = before.header if before else tuple(next(csv.reader([row["first"].lstrip("\ufeff")]), ()))
+        found[path] = FileLook(header, row["odd"] or bool(before and before.open_quotes))
+    return found
 
 
 def unique_names(header: Sequence[str]) -> list[str]:
@@ -60,29 +105,20 @@ def drop_second_copies(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if not c.endswith(".1")])
 
 
-def files_with_line_breaks(spark: SparkSession, paths: Sequence[str]) -> set[str]:
-    """Files in which some line has an odd number of quotes, so that a cell may span lines.
-
-    All other files can be split between tasks. Returns file names only.
-    """
-    lines = spark.read.text(list(paths)).where("length(value) % 2 <> length(replace(value, '\"', '')) % 2")
-    return {r[0] for r in lines.select(F.col("_metadata.file_path")).distinct().collect()}
-
-
 def _read_group(
-    spark: SparkSession, header: Sequence[str], paths: Sequence[str], multiline: bool, source: str | None
+    spark: SparkSession, header: Sequence[str], paths: Sequence[str], multiline: bool, source: str | None, encoding: str
 ) -> DataFrame:
     schema = T.StructType([T.StructField(n, T.StringType()) for n in unique_names(header)])
     df = (
         spark.read.schema(schema)
         .option("header", True)
-        .option("encoding", "ISO-8859-1")
+        .option("encoding", encoding)
         .option("multiLine", multiline)
         .option("escape", '"')  # without it a doubled quote before a line break splits the row
         .csv(list(paths))
     )
     if source:
-        name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+[0-9]{6}\.csv)", 1)
+        name = F.regexp_extract(plain_path(), r"([^/]+[0-9]{6}\.csv)(/[^/]*)?$", 1)
         df = df.select("*", name.alias(source))
     return df
 
@@ -97,6 +133,7 @@ def read_monthly_csv(
     files: Sequence[MonthlyFile] | Sequence[str],
     source: str | None = None,
     drop_copies: bool = True,
+    encoding: str = CSV_ENCODING,
 ) -> DataFrame:
     """All exports as text columns, missing-value texts as null.
 
@@ -106,19 +143,12 @@ def read_monthly_csv(
     paths = [f.path if isinstance(f, MonthlyFile) else f for f in files]
     if not paths:
         raise FileNotFoundError("no monthly export found")
-    broken = files_with_line_breaks(spark, paths)
-    with ThreadPool(8) as pool:  # small jobs that Spark may run side by side
-        headers = pool.map(lambda p: header_of(spark, p), paths)
-    groups: dict[tuple[tuple[str, ...], bool], list[str]] = defaultdict(list)
-    for path, header in zip(paths, headers):
-        bare = re.sub(r"^file:/*", "/", path)
-        multiline = any(re.sub(r"^file:/*", "/", b).startswith(bare) for b in broken)
-        groups[header, multiline].append(path)
-    frames = [
-        _read_group(spark, header, members, multiline, source)
-        for (header, multiline), members in groups.items()
-        if header
-    ]
+    groups: dict[FileLook, list[str]] = defaultdict(list)
+    for path, look in look_at_files(spark, paths).items():
+        groups[look].append(path)
+    frames = [_read_group(spark, look.header, members, look.open_quotes, source, encoding) for look, members in groups.items() if look.header]
+    if not frames:
+        raise ValueError("no export has a header")
     if drop_copies:
         frames = [drop_second_copies(f) for f in frames]
     return normalise_tokens(union_monthly(frames))

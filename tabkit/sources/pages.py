@@ -16,10 +16,16 @@ def page_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([T.StructField("value", T.ArrayType(record))])
 
 
+def records() -> Column:
+    """The records of a page; a page without a ``value`` array, such as an error message, fails the job."""
+    bad = F.raise_error(F.lit("a page without a value array"))
+    return F.inline(F.when(F.col("value").isNull(), bad).otherwise(F.col("value")))
+
+
 def read_pages(
     spark: SparkSession, path: str, columns: Sequence[str], one_per_file: bool = True
 ) -> DataFrame:
-    """One row per record, text columns; an absent key is null. A corrupt page fails the job.
+    """One row per record, text columns; an absent key is null. A corrupt page fails the job, and so does an error page.
 
     A page is a file of its own, or a line of a larger file (which Spark can split).
     """
@@ -29,7 +35,7 @@ def read_pages(
         .option("mode", "FAILFAST")
         .json(path)
     )
-    return pages.select(F.inline("value"))
+    return pages.select(records())
 
 
 def in_month(date: str, month: str) -> Column:

@@ -7,6 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .monthly import CSV_ENCODING
+
+
+def _as_csv(df: DataFrame, encoding: str):
+    """A writer whose cells read back as they are: blanks kept, quotes doubled.
+
+    A character that the encoding lacks fails the job instead of becoming a question mark.
+    """
+    if encoding.upper() in ("ISO-8859-1", "LATIN1"):
+        checked = []
+        for name, kind in df.dtypes:
+            cell = F.col(f"`{name}`")
+            if kind == "string":
+                error = F.raise_error(F.concat(F.lit(f"not in {encoding}, column {name}: "), cell))
+                cell = F.when(cell.rlike(r"[^\x00-\xFF]"), error).otherwise(cell)
+            checked.append(cell.alias(name))
+        df = df.select(*checked)
+    options = {"header": True, "escape": '"', "encoding": encoding}
+    return df.write.mode("overwrite").options(**options, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
 
 def write_stage(
     df: DataFrame,
@@ -14,8 +34,9 @@ def write_stage(
     fmt: str = "parquet",
     partition_by: Sequence[str] = (),
     period_columns: Sequence[str] = (),
+    encoding: str = CSV_ENCODING,
 ) -> None:
-    """Write a stage. Parquet keeps types; ``fmt='csv'`` writes a header and quotes that read back.
+    """Write a stage. Parquet keeps types; ``fmt='csv'`` writes what ``read_monthly_csv`` reads back in the same encoding.
 
     ``period_columns`` are month keys whose null is written as ``NaT`` in CSV. With
     ``partition_by`` each task writes to few folders, and a folder with many rows is
@@ -26,38 +47,37 @@ def write_stage(
         df = df.fillna("NaT", subset=present) if present else df
     if partition_by:
         df = df.repartitionByRange(*partition_by, F.xxhash64(*df.columns))
-    out = df.write.mode("overwrite").format(fmt)
+    out = _as_csv(df, encoding) if fmt == "csv" else df.write.mode("overwrite")
     if partition_by:
         out = out.partitionBy(*partition_by)
-    if fmt == "csv":
-        out = out.option("header", True).option("escape", '"')
-    out.save(path)
+    out.format(fmt).save(path)
 
 
-def checkpoint_stage(spark: SparkSession, df: DataFrame, path: str, fmt: str = "parquet", **options) -> DataFrame:
+def checkpoint_stage(
+    spark: SparkSession, df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), **options
+) -> DataFrame:
     """Write a stage and go on from the written table, so later stages do not recompute it.
 
-    A CSV copy is for exchange only: types would be lost on the way back.
+    ``partition_by`` are text columns; a reader of one value then opens one folder. A CSV copy is for
+    exchange only: types would be lost on the way back.
     """
-    write_stage(df, path, "parquet")
+    write_stage(df, path, "parquet", partition_by)
     if fmt != "parquet":
-        write_stage(spark.read.parquet(path), f"{path}.{fmt}", fmt, **options)
-    return spark.read.parquet(path)
+        write_stage(spark.read.schema(df.schema).parquet(path), f"{path}.{fmt}", fmt, **options)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def write_report(df: DataFrame, path: str, index: str | None = None) -> None:
     """A report as one CSV file with header; ``index`` is the column whose header stays blank."""
     named = df.withColumnRenamed(index, "") if index else df
-    named.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').option(
-        "emptyValue", ""
-    ).csv(path)
+    _as_csv(named.coalesce(1), "UTF-8").option("emptyValue", "").csv(path)
 
 
-def write_month(df: DataFrame, folder: str, prefix: str, month: str, columns: Sequence[str]) -> str:
+def write_month(
+    df: DataFrame, folder: str, prefix: str, month: str, columns: Sequence[str], encoding: str = CSV_ENCODING
+) -> str:
     """One month of an export as ``<prefix>YYYYMM.csv`` (a folder of part files), nulls as empty cells."""
     path = f"{folder.rstrip('/')}/{prefix}{month.replace('-', '')}.csv"
     existing = [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns]
-    df.select(*existing).write.mode("overwrite").option("header", True).option("escape", '"').option(
-        "encoding", "ISO-8859-1"
-    ).csv(path)
+    _as_csv(df.select(*existing), encoding).csv(path)
     return path

@@ -5,16 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..sources.monthly import read_monthly_csv
-from ..sources.pages import page_schema
+from ..sources.monthly import _glob_name, read_monthly_csv
+from ..sources.pages import page_schema, records
 
 
 def ingest_incremental(
     spark: SparkSession, landing: str, prefix: str, out: str, checkpoint: str, source: str = "source_file"
 ) -> None:
-    """Append new ``<prefix>YYYYMM.csv`` files to a Parquet table, one folder per batch.
+    """Append new ``<prefix>YYYYMM.csv`` exports, files or folders of part files, to a Parquet table, one folder per batch.
 
     The stream carries paths only; each batch reads its files by header, so drifting headers
     keep their columns. A batch that is run again after a failure replaces its own folder.
@@ -23,8 +22,7 @@ def ingest_incremental(
     names = (
         spark.readStream.format("binaryFile")
         .schema("path string, modificationTime timestamp, length long, content binary")
-        .option("pathGlobFilter", f"{prefix}[0-9][0-9][0-9][0-9][0-9][0-9].csv")
-        .load(landing)
+        .load(f"{landing.rstrip('/')}/{_glob_name(prefix)}{'[0-9]' * 6}.csv{{,/part-*}}")
         .select("path")
     )
 
@@ -47,15 +45,15 @@ def ingest_pages_incremental(
     spark: SparkSession, landing: str, columns: Sequence[str], out: str, checkpoint: str
 ) -> None:
     """Append records of new JSON pages to a Parquet table."""
-    records = (
+    rows = (
         spark.readStream.schema(page_schema(columns))
         .option("multiLine", True)
         .option("mode", "FAILFAST")
         .json(landing)
-        .select(F.inline("value"))
+        .select(records())
     )
     query = (
-        records.writeStream.format("parquet")
+        rows.writeStream.format("parquet")
         .option("path", out)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

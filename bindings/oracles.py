@@ -221,6 +221,13 @@ def _shares(names, digits=1):
     return ", ".join(f'"{n}", {pct(f'"{n}"', 'valid', digits)} as {n}_pct' for n in names)
 
 
+ODD_CELLS = """select ListingKey, concat(' ', coalesce(StateOrProvince, 'none'), ' ') as state,
+concat('Jos', chr(233), ' "the', chr(160), ListingKey, '",', chr(10), chr(9), 'two  lines ') as name, '\\n' as slash from s"""
+PROFILE = [
+    "ListPrice", "OriginalListPrice", "LivingArea", "LotSizeAcres",
+    "BedroomsTotal", "BathroomsTotalInteger", "DaysOnMarket", "YearBuilt",
+]
+
 ORACLES: dict[str, str] = {
     "segment_summary": _s("CountyOrParish", "ClosePrice", "OriginalListPrice", "LivingArea", "DaysOnMarket",
                           "PurchaseContractDate", "ListingContractDate")
@@ -255,11 +262,7 @@ ORACLES: dict[str, str] = {
     "missing_report": _s() + _missing(SALES),
     "critical_missing": _s() + f"select \"column\", missing_count from ({_missing(LISTED_CRITICAL)})",
     "drop_high_missing": _schema([c for c in RAW_COLUMNS if c not in MOSTLY_MISSING], "lineitem"),
-    "drop_columns": " union all ".join(
-        f"select '{c}' as \"column\", {len(RAW_COLUMNS) - len(ALWAYS_DROPPED)} as columns"
-        for c in RAW_COLUMNS
-        if c not in ALWAYS_DROPPED
-    ),
+    "drop_columns": _s("ListingKey", "ClosePrice") + "select ListingKey, ClosePrice from s",
     "text_columns": _s() + f"select \"column\", missing_count from ({_missing(TEXT_COLUMNS)})",
     "numeric_profile": _s() + _profile(
         ["ClosePrice", "ListPrice", "OriginalListPrice", "LivingArea", "LotSizeAcres", "BedroomsTotal",
@@ -412,4 +415,40 @@ ORACLES: dict[str, str] = {
     "closed_month_pages": _s("ListingKey", "MlsStatus", "CloseDate", "ClosePrice", "PropertyType")
     + """select ListingKey, ClosePrice, PropertyType from s
     where MlsStatus = 'Closed' and CloseDate >= date '1995-03-01' and CloseDate < date '1995-04-01'""",
+    "listing_month_pages": _s("ListingKey", "ListingContractDate", "ListPrice")
+    + """select ListingKey, ListPrice, null::varchar as City from s
+    where ListingContractDate >= date '1995-03-01' and ListingContractDate < date '1995-04-01'""",
+    "pages_to_monthly_sold": _s("ListingKey", "MlsStatus", "CloseDate", "ClosePrice", "PropertyType")
+    + """select ListingKey, ClosePrice as price, PropertyType, null::varchar as City from s
+    where MlsStatus = 'Closed' and CloseDate >= date '1995-03-01' and CloseDate < date '1995-04-01'""",
+    "pages_to_monthly_listed": _s("ListingKey", "ListingContractDate", "ListPrice", "PropertyType")
+    + """select ListingKey, ListPrice as price, PropertyType, null::varchar as City from s
+    where ListingContractDate >= date '1995-03-01' and ListingContractDate < date '1995-04-01'""",
+    "monthly_header_copies": _s("ListingKey", "PropertyType")
+    + "select ListingKey, PropertyType, 'third' as third, 3 as columns from s",
+    "single_file_schema": _s("CloseDate")
+    + " union all ".join(
+        f"""select {i} as position, '{c}' as "column", 'string' as type, count(*) as rows, 4 as columns
+        from s where year(CloseDate) = 1995"""
+        for i, c in enumerate(["ListingKey", "ClosePrice", "CloseDate", "source_file"], 1)
+    ),
+    "odd_cells_csv": _s("ListingKey", "StateOrProvince") + ODD_CELLS,
+    "odd_cells_month": _s("ListingKey", "StateOrProvince") + ODD_CELLS,
+    "missing_report_file": _s() + _missing(SALES),
+    "numeric_report_file": _s() + _profile(["ClosePrice", *PROFILE]),
+    "listing_in_future": _s("ListingContractDate", "CloseDate")
+    + f""", t as (select ListingContractDate + cast(11000 as int) as l, CloseDate as c from s),
+    n as (select count(*) filter (where c is not null and l is not null) as close_and_listing,
+    count(*) filter (where c < l) as close_before_listing, count(*) filter (where l > current_date) as listing_in_future from t)
+    select close_and_listing, close_before_listing, {pct('close_before_listing', 'greatest(close_and_listing, 1)', 2)} as close_before_listing_pct,
+    listing_in_future from n""",
+    "sold_stages": SOLD_PIPELINE
+    + """, c as (select count(*) as n from s where PropertyType = 'Residential')
+    select 'combined' as stage, n as rows from c union all select 'enriched', n from c
+    union all select 'cleaned', count(*) from cleaned union all select 'flagged', count(*) from flagged
+    union all select 'final', count(*) from final
+    union all select 'flagged_month', count(*) from flagged where close_yrmo = '1995-03'
+    union all select 'final_month', count(*) from final where close_yrmo = '1995-03'""",
 }
+ORACLES["segment_report_file"] = ORACLES["segment_summary"]
+ORACLES["quick_sold_file"] = ORACLES["quick_sold"]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +23,7 @@ from tabkit.sources import monthly as M
 from tabkit.sources import pages as J
 from tabkit.sources import sinks as K
 from tabkit.sources.rates import typed_series
-from tabkit.session import shared_dir
+from tabkit.session import scratch_path
 
 from .views import quick_export, raw_export, sales, table, weekly_series
 
@@ -61,8 +60,7 @@ def _text_days(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("string") for c in columns})
 
 
-def _fresh(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/tabkit-{name}-{uuid.uuid4().hex}"
+_fresh = scratch_path
 
 
 # Segments and order
@@ -96,7 +94,7 @@ def group_center_top10(spark, sf):
 
 @query
 def group_total(spark, sf):
-    return G.group_total(G.group_center(sales(spark, sf, "CountyOrParish", "ListPrice"), "CountyOrParish", "ListPrice"))
+    return G.group_total(sales(spark, sf, "CountyOrParish").dropna().distinct())
 
 
 @query
@@ -170,8 +168,7 @@ def drop_high_missing(spark, sf):
 
 @query
 def drop_columns(spark, sf):
-    raw = raw_export(spark, sf)
-    return P.describe_schema(C.drop_columns(raw, SOLD.dropped)).select("column", "columns")
+    return C.drop_columns(sales(spark, sf, "ListingKey", "Latitude", "ClosePrice"), ["Latitude", "Absent"])
 
 
 @query
@@ -535,16 +532,143 @@ def monthly_csv(spark, sf):
     )
 
 
-@query
-def closed_month_pages(spark, sf):
-    """Lands all sales as JSON pages, one for each order, and extracts one closed month."""
+def _landed_pages(spark: SparkSession, sf: str, columns: list[str]) -> str:
+    """Lands all sales as JSON pages, one line for each order."""
     folder = _fresh(spark, "pages")
-    columns = ["ListingKey", "MlsStatus", "CloseDate", "ClosePrice", "PropertyType"]
     rows = sales(spark, sf, *columns)
     cells = F.struct(*[F.col(c).cast("string").alias(c) for c in columns])
     order = F.substring_index("ListingKey", "-", 1).alias("order")
     pages = rows.select(order, cells.alias("record")).groupBy("order").agg(F.collect_list("record").alias("value"))
-    pages = pages.drop("order")
-    pages.write.json(folder)
-    records = J.read_pages(spark, folder, columns, one_per_file=False)
+    pages.drop("order").write.json(folder)
+    return folder
+
+
+@query
+def closed_month_pages(spark, sf):
+    """One closed month of the landed pages."""
+    columns = ["ListingKey", "MlsStatus", "CloseDate", "ClosePrice", "PropertyType"]
+    records = J.read_pages(spark, _landed_pages(spark, sf, columns), columns, one_per_file=False)
     return J.closed_month(records, "1995-03").select("ListingKey", num("ClosePrice").alias("ClosePrice"), "PropertyType")
+
+
+@query
+def listing_month_pages(spark, sf):
+    """One listing month of the landed pages; ``City`` is a key that no record has."""
+    columns = ["ListingKey", "ListingContractDate", "ListPrice"]
+    records = J.read_pages(spark, _landed_pages(spark, sf, columns), [*columns, "City"], one_per_file=False)
+    return J.listing_month(records, "1995-03").select("ListingKey", num("ListPrice").alias("ListPrice"), "City")
+
+
+def _exported_month(spark: SparkSession, sf: str, cfg: PipelineConfig) -> DataFrame:
+    """One month from landed pages to an export and back."""
+    columns = ["ListingKey", "MlsStatus", "CloseDate", "ListingContractDate", cfg.price, "PropertyType"]
+    folder = _fresh(spark, "exports")
+    L.pages_to_monthly(spark, _landed_pages(spark, sf, columns), "1995-03", cfg, folder, "Export", one_per_file=False)
+    back = M.read_monthly_csv(spark, M.discover_monthly(spark, folder, "Export"))
+    assert back.columns == cfg.export_columns
+    return back.select("ListingKey", num(cfg.price).alias("price"), "PropertyType", "City")
+
+
+@query
+def pages_to_monthly_sold(spark, sf):
+    return _exported_month(spark, sf, SOLD)
+
+
+@query
+def pages_to_monthly_listed(spark, sf):
+    return _exported_month(spark, sf, LISTED)
+
+
+@query
+def monthly_header_copies(spark, sf):
+    """An export that repeats header cells: the second copy is dropped, a third one stays under its own name."""
+    folder = f"{_fresh(spark, 'copies')}/L199501.csv"
+    lines = sales(spark, sf, "ListingKey", "PropertyType").select(
+        F.concat_ws(",", "ListingKey", F.coalesce("PropertyType", F.lit("")), F.lit("second"), F.lit("third")).alias(
+            "ListingKey,PropertyType,ListingKey,ListingKey"
+        )
+    )
+    lines.write.option("header", True).option("sep", "\u0001").csv(folder)
+    read = M.read_monthly_csv(spark, [folder])
+    return read.select("ListingKey", "PropertyType", F.col("`ListingKey.2`").alias("third"), F.lit(len(read.columns)).alias("columns"))
+
+
+@query
+def single_file_schema(spark, sf):
+    """One export looked at by itself."""
+    df = sales(spark, sf, "ListingKey", "ClosePrice", "CloseDate").where("year(CloseDate) = 1995")
+    path = K.write_month(df.select(*[F.col(c).cast("string") for c in df.columns]), _fresh(spark, "single"), "Sold", "1995-00", df.columns)
+    return P.describe_schema(M.read_monthly_csv(spark, [path], source="source_file"))
+
+
+def _odd_cells(df: DataFrame) -> DataFrame:
+    """Cells with blanks at both ends, accents, quotes, separators and line breaks."""
+    state = F.concat(F.lit(" "), F.coalesce("StateOrProvince", F.lit("none")), F.lit(" "))
+    name = F.concat(F.lit("Jos\u00e9 \"the\u00a0"), F.col("ListingKey"), F.lit('",\n\ttwo  lines '))
+    return df.select("ListingKey", state.alias("state"), name.alias("name"), F.lit("\\n").alias("slash"))
+
+
+@query
+def odd_cells_csv(spark, sf):
+    """Cells that a careless writer would change, through a stage and back."""
+    folder = f"{_fresh(spark, 'odd')}/Odd199501.csv"
+    K.write_stage(_odd_cells(sales(spark, sf, "ListingKey", "StateOrProvince")), folder, "csv")
+    return M.read_monthly_csv(spark, [folder])
+
+
+@query
+def odd_cells_month(spark, sf):
+    """The same through a monthly export in another encoding."""
+    odd = _odd_cells(sales(spark, sf, "ListingKey", "StateOrProvince"))
+    path = K.write_month(odd, _fresh(spark, "odd"), "Odd", "1995-01", odd.columns, encoding="UTF-8")
+    return M.read_monthly_csv(spark, [path], encoding="UTF-8")
+
+
+def _read_report(spark: SparkSession, report: DataFrame, index: str | None = None) -> DataFrame:
+    """A report written to its file and read back with the types of the report."""
+    path = _fresh(spark, "report")
+    K.write_report(report, path, index)
+    return spark.read.schema(report.schema).option("header", True).option("enforceSchema", True).csv(path)
+
+
+@query
+def missing_report_file(spark, sf):
+    return _read_report(spark, P.missing_report(sales(spark, sf)), index="column")
+
+
+@query
+def numeric_report_file(spark, sf):
+    return _read_report(spark, P.numeric_profile(sales(spark, sf), SOLD.profile_fields))
+
+
+@query
+def segment_report_file(spark, sf):
+    return _read_report(spark, segment_summary(spark, sf))
+
+
+@query
+def quick_sold_file(spark, sf):
+    """The export of the quick variant, read back."""
+    folder = f"{_fresh(spark, 'quick')}/Quick199501.csv"
+    L.run_quick(quick_export(spark, sf), SOLD, out=folder)
+    back = M.read_monthly_csv(spark, [folder])
+    numbers = [num(c).alias(c) for c in ("PriceRatio", "PricePerSqFt")]
+    return back.select("ListingKey", *numbers, *[F.col(c).cast("int") for c in ("CloseYear", "CloseMonth")], "YrMo")
+
+
+@query
+def sold_stages(spark, sf):
+    """Rows per written stage; the last two are laid out by month and read by it."""
+    raw, out = C.normalise_tokens(raw_export(spark, sf)), _fresh(spark, "stages")
+    run = L.run_pipeline(raw, SOLD, _rates(spark, sf), out)
+    frames = [(n, spark.read.schema(getattr(run, n).schema).parquet(f"{out}/sold_{n}")) for n in L.STAGES]
+    month = [(f"{n}_month", df.where(F.col("close_yrmo") == "1995-03")) for n, df in frames[-2:]]
+    counts = [df.agg(F.lit(n).alias("stage"), F.count("*").alias("rows")) for n, df in [*frames, *month]]
+    return M.union_monthly(counts)
+
+
+@query
+def listing_in_future(spark, sf):
+    """Listings after today, the dates moved by thirty years."""
+    df = sales(spark, sf, "ListingContractDate", "CloseDate").withColumn("ListingContractDate", F.date_add("ListingContractDate", 11000))
+    return P.listing_date_issues(df, "ListingContractDate", "CloseDate")

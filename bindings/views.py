@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabkit.session import spread
-
 # column -> (expression, tables it needs besides lineitem)
 SALES = {
     "ListingKey": ("concat(cast(l_orderkey as string), '-', cast(l_linenumber as string))", ""),
@@ -105,7 +103,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _joined(spark: SparkSession, sf_dir: str, needs: set[str]) -> DataFrame:
-    df = spread(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber")
+    df = table(spark, sf_dir, "lineitem")
     for name, condition in JOINS.items():
         if name in needs:
             df = df.join(table(spark, sf_dir, name), F.expr(condition))
@@ -144,7 +142,7 @@ def quick_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select(
         "*",
         *[F.lit(None).cast("string").alias(c) for c in EXTRA_TEXT],
-        F.col("CloseDate").alias("ContractStatusChangeDate"),
+        F.concat("CloseDate", F.lit(" 10:00:00")).alias("ContractStatusChangeDate"),
     )
 
 

@@ -132,7 +132,7 @@ def test_listed_differs_from_sold(spark, raw, tmp_path):
 def test_quick_variant(spark, raw):
     with pytest.raises(ValueError):
         run_quick(raw, SOLD)  # strict drop: the columns must exist
-    wide = raw.where("CloseDate <> '2024-13-01'").withColumn("ContractStatusChangeDate", raw["CloseDate"])
+    wide = raw.where("CloseDate <> '2024-13-01'")
     for name in QUICK_SOLD_DROPPED:
         wide = wide.withColumn(name, wide["CloseDate"])
     quick = run_quick(wide, SOLD)

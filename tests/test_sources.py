@@ -53,7 +53,9 @@ def test_union_by_header_name_with_drift(spark, landing):
 
 def test_only_files_with_open_quotes_are_read_whole(spark, landing):
     paths = [f.path for f in M.discover_monthly(spark, str(landing), "Sold")]
-    assert [p.rsplit("/", 1)[1] for p in M.files_with_line_breaks(spark, paths)] == ["Sold202401.csv"]
+    looks = M.look_at_files(spark, paths)
+    assert [p.rsplit("/", 1)[1] for p, look in looks.items() if look.open_quotes] == ["Sold202401.csv"]
+    assert [look.header for look in looks.values()] == [("A", "B"), ("B", "A", "C")]
 
 
 def test_repeated_headers(spark, tmp_path):

@@ -81,3 +81,29 @@ def test_equals_builtin_percentile_on_a_table(spark):
     built_in = df.agg(*[F.percentile(f, F.array(*[F.lit(p) for p in PROBABILITIES])).alias(f) for f in fields]).first()
     for row in distribution(df, fields, PROBABILITIES).collect():
         np.testing.assert_allclose(row["quantiles"], built_in[row["field"]], rtol=1e-13)
+
+
+def scans(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("FileScan")
+
+
+def test_the_input_is_read_twice_at_most(spark, tmp_path):
+    """Once for the histogram, which runs at the call, and once at most in the result."""
+    path = str(tmp_path / "t")
+    spark.range(4000).selectExpr("id % 3 as g", "cast(id % 1000 as double) as x", "double(7) as c").write.parquet(path)
+    df = spark.read.parquet(path)
+    for limits in ({}, {"dense_rows": 3}, {"dense_rows": 3, "broadcast_rows": 0}):
+        assert scans(distribution(df, ["x", "c"], [0.1, 0.5], ["g"], **limits)) <= 1
+    assert scans(distribution(df, ["c"], [0.5], ["g"])) == 0  # the histogram says it all
+
+
+def test_infinite_values_and_empty_groups(spark):
+    inf = float("inf")
+    rows = [("a", v) for v in (-inf, 1.0, 2.0, 3.0, inf)] + [("b", None), ("c", inf), ("c", inf), (None, 1.0), ("d", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    for limits in ({}, {"dense_rows": 0}):
+        got = {r["g"]: r for r in distribution(df, ["x"], [0.0, 0.25, 0.5, 1.0], ["g"], keep_empty=True, **limits).collect()}
+        assert got["a"]["quantiles"] == [-inf, 1.0, 2.0, inf] and got["c"]["quantiles"] == [inf] * 4
+        assert (got["b"]["count"], got["b"]["quantiles"]) == (0, None) and got["d"]["count"] == 0 and set(got) == {"a", "b", "c", "d"}
+    assert distribution(df, [], [0.5], ["g"]).collect() == []

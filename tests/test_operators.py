@@ -1,6 +1,7 @@
 import datetime
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tabkit.functions import month_key
@@ -226,3 +227,34 @@ def test_monthly_series_is_dense_and_join_keeps_rows(spark):
     without = E.enrich_or_null(df, None, "d")
     assert rows(P.null_check(without, E.RATE)) == [(5, 5)]
     assert without.where(month_key(F.to_date(F.lit("2024-01-31"))) == F.col("year_month")).count() == 1
+
+
+def test_reports_take_absent_columns(spark):
+    from tabkit.functions import num
+    from tabkit.plans.config import SOLD
+    from tabkit.plans.pipeline import row_rules, segment_report
+
+    df = spark.createDataFrame([(1, "x")], "a int, b string")
+    assert P.numeric_profile(df, ["no"]).collect() == [] == P.key_stats(df, ["no"]).collect()
+    assert P.center_and_skew(df, "no").collect() == [] == P.value_distribution(df, "no").collect()
+    assert P.flag_summary(df, ["no"]).collect() == [] == P.missing_report(df, []).collect()
+    assert C.coercion_report(df, C.Typing(numbers=["no"])).collect() == [] == C.row_ledger(df, row_rules(SOLD)).collect()
+    assert segment_report(df, SOLD).collect() == []
+    named = df.withColumn("CountyOrParish", num("b").cast("string")).fillna("one", ["CountyOrParish"])
+    assert segment_report(named, SOLD).first()["sale_count"] == 0
+    assert P.above_at_below(df, "no", "neither").first()["valid"] == 0
+    assert P.price_change_buckets(df, "no", "neither").first()["valid"] == 0
+    assert P.date_order_counts(df, "x", "y", "z").first()["close_and_listing"] == 0
+    assert P.listing_date_issues(df, "x", "y", "2024-01-01").first()["listing_in_future"] == 0
+    assert P.dataset_span(df, "x").first()["first_date"] is None and P.null_check(df, "x").first()["null_rows"] == 1
+
+
+def test_series_with_small_values_and_bad_dates(spark):
+    small = spark.createDataFrame([("2024-01-04", 1e-9), ("2024-01-11", 3e-9)], "date string, v double")
+    assert E.resample_monthly(small, value="v", digits=12).first()["v"] == 2e-9
+    with pytest.raises(ValueError):
+        E.resample_monthly(small, value="v", digits=6, scale=4)
+    bad = spark.createDataFrame([(None, 1.0), ("2024-01-11", 3.0)], "date string, v double")
+    with pytest.raises(Exception, match="without a valid date"):
+        E.resample_monthly(bad, value="v").collect()
+    assert E.resample_monthly(bad.where("date is not null").unionByName(spark.createDataFrame([(None, None)], "date string, v double")), value="v").count() == 1

@@ -3,6 +3,7 @@ import json
 import pytest
 
 from tabkit.operators import profile as P
+from tabkit.operators.flags import in_region
 from tabkit.plans.config import LISTED_EXPORT_COLUMNS, SOLD, SOLD_EXPORT_COLUMNS
 from tabkit.plans.pipeline import pages_to_monthly
 from tabkit.sources import monthly as M
@@ -171,3 +172,74 @@ def test_incremental_pages(spark, pages, tmp_path):
     page(pages, "p9.json", {"ListingKey": "z"})
     ingest_pages_incremental(spark, str(pages), ["ListingKey"], out, checkpoint)
     assert sorted(r[0] for r in spark.read.parquet(out).collect()) == ["a", "b", "c", "d", "e", "f", "z"]
+
+
+@pytest.mark.parametrize("name", ["my data", "100%", "a+b", "Größe é", "x#y"])
+def test_paths_that_urls_encode(spark, tmp_path, name):
+    put(tmp_path / name / "Sold202401.csv", 'A,B\n"two\nlines",1\n')
+    put(tmp_path / name / "Sold202402.csv", "A,B\nplain,2\n")
+    files = M.discover_monthly(spark, str(tmp_path / name), "Sold")
+    got = M.read_monthly_csv(spark, files, source="source_file").collect()
+    assert {tuple(r) for r in got} == {("two\nlines", "1", "Sold202401.csv"), ("plain", "2", "Sold202402.csv")}
+
+
+def test_copies_in_deeper_folders_are_not_read(spark, tmp_path):
+    put(tmp_path / "Sold202401.csv", "A\n1\n")
+    put(tmp_path / "backup" / "Sold202401.csv", "A\n1\n")
+    put(tmp_path / "Sold202402.csv" / "part-0.csv", "A\n2\n")
+    put(tmp_path / "Sold202402.csv" / "old" / "part-0.csv", "A\n3\n")
+    files = M.discover_monthly(spark, str(tmp_path), "Sold")
+    assert [f.month for f in files] == ["202401", "202402"]
+    assert {r["A"] for r in M.read_monthly_csv(spark, files[:1]).collect()} == {"1"}
+
+
+def test_prefix_with_pattern_signs(spark, tmp_path):
+    put(tmp_path / "S[1]*202401.csv", "A\n1\n")
+    put(tmp_path / "S1x202401.csv", "A\n2\n")
+    assert [f.path.rsplit("/", 1)[1] for f in M.discover_monthly(spark, str(tmp_path), "S[1]*")] == ["S[1]*202401.csv"]
+
+
+def test_error_page_fails_and_empty_page_does_not(spark, pages):
+    page(pages, "p4.json")
+    assert J.read_pages(spark, str(pages), ["ListingKey"]).count() == 6
+    put(pages / "p5.json", '{"error": "over quota"}')
+    with pytest.raises(Exception, match="without a value array"):
+        J.read_pages(spark, str(pages), ["ListingKey"]).collect()
+
+
+def test_csv_keeps_cells_and_the_rows_that_depend_on_them(spark, tmp_path):
+    rows = [("CA", "José"), (" CA ", "two\nlines, \"quoted\""), ("\t", " x "), (None, "back\\slash\\"), ("NV", None)]
+    df = spark.createDataFrame([(s, n, 34.0, -118.0) for s, n in rows], "StateOrProvince string, n string, Latitude double, Longitude double")
+    for number, write in enumerate(
+        (
+            lambda path: K.write_stage(df, path, "csv"),
+            lambda path: K.write_month(df, str(tmp_path), "M", "2024-02", df.columns),
+        )
+    ):
+        path = f"{tmp_path}/M20240{number + 1}.csv"
+        write(path)
+        back = M.read_monthly_csv(spark, [path])
+        assert {tuple(r) for r in back.select("StateOrProvince", "n").collect()} == set(rows)
+        assert in_region(back).count() == in_region(df).count()
+
+
+def test_characters_that_the_encoding_lacks_fail(spark, tmp_path):
+    df = spark.createDataFrame([("Łukasz",)], "n string")
+    with pytest.raises(Exception, match="not in ISO-8859-1"):
+        K.write_month(df, str(tmp_path), "M", "2024-01", ["n"])
+    path = K.write_month(df, str(tmp_path), "M", "2024-02", ["n"], encoding="UTF-8")
+    assert M.read_monthly_csv(spark, [path], encoding="UTF-8").first()["n"] == "Łukasz"
+
+
+def test_month_export_feeds_the_stream(spark, pages, tmp_path):
+    landing, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    pages_to_monthly(spark, str(pages), "2026-03", SOLD, landing, "Sold")
+    ingest_incremental(spark, landing, "Sold", out, checkpoint)
+    assert {r["ListingKey"] for r in spark.read.parquet(out).collect()} == {"a", "c"}
+
+
+def test_a_reader_of_one_month_opens_one_folder(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"2024-0{1 + k % 3}") for k in range(30)], "n int, yrmo string")
+    table = K.checkpoint_stage(spark, df, str(tmp_path / "s"), partition_by=["yrmo"])
+    plan = table.where("yrmo = '2024-02'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(yrmo" in plan and table.where("yrmo = '2024-02'").count() == 10

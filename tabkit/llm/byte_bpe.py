@@ -25,7 +25,7 @@ from .shipping import ship
 
 #: A worker remembers so many pieces of text, each of at most so many characters.
 MEMORY, LONGEST = 600_000, 48
-ID = struct.Struct("<I")
+WIDTH = 4
 
 
 class Ranks:
@@ -203,7 +203,7 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str =
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row, 256),
-                        pa.array([len(k) // ID.size for k in ids], pa.int64()),
+                        pa.array([len(k) // WIDTH for k in ids], pa.int64()),
                         pa.array([hashlib.sha256(k).hexdigest() for k in ids]),
                         pa.array([own.decode(k) for k in ids], pa.binary()),
                     ],

@@ -23,20 +23,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return rest.union(least.select("hi", "m")).distinct()
 
 
+def _unfinished(edges: DataFrame) -> bool:
+    """Whether a node has two edges up, or edges both up and down; otherwise the edges are stars around the smallest nodes."""
+    ends = edges.select(F.col("hi").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.union(edges.select("lo", F.lit(0), F.lit(1))).groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up > 1 or (up > 0 and down > 0)").agg(F.count(F.lit(1))).first()[0] > 0
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) of every node of the edges (a, b) but the roots; the root is the smallest node of a component.
 
     Rows with a null or with equal ends are ignored. Work per round is in proportion to the edges; a node with
-    most edges is only ever summed up or joined with one row. Rounds end when nothing changes.
+    most edges is only ever summed up or joined with one row.
     """
     at, to = F.col("a"), F.col("b")
     now = edges.where(at.isNotNull() & to.isNotNull() & (at != to))
     now = scratch.keep(now.select(F.greatest(at, to).alias("hi"), F.least(at, to).alias("lo")).distinct(), "edges")
-    seen = None
-    while True:
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
-            return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-        seen, before = mark, now
-        now = scratch.keep(_small_star(_large_star(now)), "edges")
+    while _unfinished(now):
+        before, now = now, scratch.keep(_small_star(_large_star(now)), "edges")
         scratch.drop(before)
+    return now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))

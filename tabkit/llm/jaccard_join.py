@@ -1,15 +1,16 @@
 """N-gram Jaccard join: documents whose shingle sets are alike, as classes and components.
 
 Texts with equal sets form a class; only classes go on. Shingles are ordered rare first (by the count of
-their bucket in a table of fixed size, then by hash), and a class is listed under its first shingles: two sets
+their bucket in a table of fixed size, then by hash; the table leaves out those that don't repeat among some thousand documents), and a class is listed under its first shingles: two sets
 as alike as asked share one of them. A listed pair must pass the length filter and, at its first common
 shingle, the positional filter; pairs are then made distinct and must pass the suffix filter (common shingles are at most
 the sum, over parts of the hash range, of the smaller count). What is left is verified once on the whole sets.
 
 All pairs of a group would grow with its square. A list therefore compares one member, the one whose
 shingles are shared most, with the others; what links becomes one component, and only members of
-different components still have to meet. Rounds go on until the pairs left over are about as many as the entries
-of the lists; then all of these are compared. No link between different components is lost.
+different components still have to meet. Each round compares more members that way, outside the largest component of their list,
+until the pairs left over are about as many as the entries of the lists; then all of these are compared. No link
+between different components is lost.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -26,12 +27,16 @@ from .staging import Scratch
 from .text import LOWER, Texts, find_words, mix, pieces, range_hashes, shingle_hashes
 
 #: Buckets of the table of shingle counts, which every task gets; fixed, so that its size is.
-ORDER_BITS = 18
+ORDER_BITS = 20
+#: So many shingles are looked at together for the count; what occurs once among them is rare and would only blur the table.
+COUNTED_TOGETHER = 1 << 22
 #: Parts of the suffix filter.
 PARTS = 32
 #: Up to so many ids, the documents to verify are found by a broadcast, otherwise by a shuffle.
 BROADCAST_IDS = 500_000
 MAX_ROUNDS = 8
+#: A round compares so many times as many members of a list as the one before.
+MORE = 8
 
 
 def text_sets(texts: Texts, size: int) -> list[np.ndarray]:
@@ -58,29 +63,48 @@ def _flat(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values).cast(kind))
 
 
-def digests(docs: DataFrame, size: int) -> DataFrame:
-    """Per document (id, n, set) and, from each task, how many sets have a shingle of each bucket (bucket, n)."""
+class _Repeats:
+    """Counts, by bucket, the shingles that occur in several of the sets given together."""
+
+    def __init__(self):
+        self.counts = np.zeros(1 << ORDER_BITS, np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, sets: list[np.ndarray]) -> None:
+        self.waiting += sets
+        self.size += sum(len(s) for s in sets)
+        if self.size >= COUNTED_TOGETHER:
+            self.count()
+
+    def count(self) -> None:
+        if self.waiting:
+            shingles, n = np.unique(np.concatenate(self.waiting), return_counts=True)
+            bucket = (shingles[n > 1] >> np.uint64(64 - ORDER_BITS)).astype(np.int64)
+            self.counts += np.bincount(bucket, n[n > 1], len(self.counts)).astype(np.int64)
+        self.waiting, self.size = [], 0
 
-    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << ORDER_BITS, np.int64)
 
-        def rows(ids, bucket, n, sets):
-            kind = pa.array([bucket is not None] * len(n))
-            return pa.RecordBatch.from_arrays(
-                [kind, ids, pa.array(bucket if bucket is not None else [None] * len(n), pa.int32()), pa.array(n, pa.int64()), pa.array(sets, pa.binary())],
-                names=["is_count", "id", "bucket", "n", "set"],
-            )
+def digests(docs: DataFrame, size: int) -> DataFrame:
+    """Per document (id, n, set) and, from each task, how often shingles of each bucket repeat (bucket, n)."""
+
+    def rows(is_count: bool, ids: pa.Array, bucket: pa.Array, n, sets: list) -> pa.RecordBatch:
+        columns = [pa.array([is_count] * len(n), pa.bool_()), ids, bucket, pa.array(n, pa.int64()), pa.array(sets, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["is_count", "id", "bucket", "n", "set"])
 
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeats = _Repeats()
         for batch in batches:
-            n, ids = [], []
+            n, names = [], []
             for texts in pieces(batch.column(1)):
                 sets = text_sets(texts, size)
                 n += [len(s) for s in sets]
-                ids += [set_id(s) for s in sets]
-                counts += np.bincount(np.concatenate(sets) >> np.uint64(64 - ORDER_BITS), minlength=len(counts))
-            yield rows(batch.column(0), None, n, ids)
-        used = np.flatnonzero(counts)
-        yield rows(pa.nulls(len(used), pa.int64()), used, counts[used], [None] * len(used))
+                names += [set_id(s) for s in sets]
+                repeats.add(sets)
+            yield rows(False, batch.column(0), pa.nulls(len(n), pa.int32()), n, names)
+        repeats.count()
+        used = np.flatnonzero(repeats.counts)
+        yield rows(True, pa.nulls(len(used), pa.int64()), pa.array(used, pa.int32()), repeats.counts[used], [None] * len(used))
 
     return docs.mapInArrow(digested, "is_count boolean, id long, bucket int, n long, set binary")
 
@@ -200,6 +224,7 @@ def jaccard_components(
     weighted = scratch.keep(entries.drop("holders").join(weight, "set"), "entries")
     scratch.drop(entries)
     entries = weighted
+    n_entries = entries.count()
     roots, links = None, []
     for turn in range(MAX_ROUNDS + 1):
         if roots is None:
@@ -214,15 +239,13 @@ def jaccard_components(
         left, rows = groups.agg(F.sum(F.col("g") * (F.col("g") - F.col("c")).cast("double")), F.sum("n")).first()
         if not rows:
             break
-        last = turn == MAX_ROUNDS or left <= 4.0 * rows
+        last = turn == MAX_ROUNDS or (turn > 0 and left <= 4.0 * n_entries)
         minor = lists.where((F.col("root") != F.col("top_root")) | (F.col("c") == 1))
-        if last:
-            one = minor.select("token", F.col("set").alias("p"), F.col("n").alias("p_n"), F.col("pos").alias("p_pos"), F.col("root").alias("p_root"))
-        else:
-            pick = F.max(F.struct("weight", "set", "n", "pos", "root")).alias("x")
-            one = minor.groupBy("token").agg(pick).select(
-                "token", F.col("x.set").alias("p"), F.col("x.n").alias("p_n"), F.col("x.pos").alias("p_pos"), F.col("x.root").alias("p_root")
-            )
+        if not last:
+            top = Window.partitionBy("token").orderBy(F.desc("weight"), "set")
+            minor = minor.withColumn("nth", F.row_number().over(top)).where(F.col("nth") <= MORE**turn)
+        one = minor.select("token", F.col("set").alias("p"), F.col("n").alias("p_n"), F.col("pos").alias("p_pos"), F.col("root").alias("p_root"))
+        if not last:
             one = scratch.keep(one, "picked")
         members = lists.select("token", "set", "n", "pos", "root")
         pairs = _candidates(one, members, num, den)

@@ -44,7 +44,7 @@ def test_a_group_larger_than_a_shard(docs_of):
 def test_all_documents_linked(docs_of):
     rows = [(k, f"pair {k % 40}") for k in range(80)]
     spread, _ = check(docs_of(rows), rows, 4)
-    assert spread[1] >= 30
+    assert spread[1] >= 25  # dealt out evenly, 10 would be
 
 
 def test_few_or_no_rows(docs_of):

@@ -21,10 +21,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .memory import forget_half
 from .shipping import ship
 
 #: A worker remembers so many pieces of text, each of at most so many characters.
-MEMORY, LONGEST = 600_000, 48
+MEMORY, LONGEST = 300_000, 48
 WIDTH = 4
 
 
@@ -83,8 +84,7 @@ class Ranks:
                 a, before = split_a[1], a
             else:
                 b, before = split_b[0], b + 1
-        if len(self.fit) >= MEMORY:
-            self.fit.clear()
+        forget_half(self.fit, MEMORY)
         self.fit[key] = answer
         return answer
 
@@ -150,8 +150,7 @@ class Codec:
         ids = [whole] if whole is not None else Prefixes(self.table, data).ids()
         packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(text) <= LONGEST:
-            if len(self.known) >= MEMORY:
-                self.known.clear()
+            forget_half(self.known, MEMORY)
             self.known[text] = packed
         return packed
 

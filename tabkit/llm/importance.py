@@ -93,18 +93,19 @@ def log_ratios(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
 
 def log_weights(docs: DataFrame, keep: list[str], ratios, text: str) -> DataFrame:
     """The columns ``keep`` of every row, and ``log_weight``."""
+    at, few = ([*keep, text]).index(text), len(keep)
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros(batch.num_rows)
-            for texts in pieces(batch.column(len(keep))):
+            for texts in pieces(batch.column(at)):
                 grams, row = token_buckets(texts)
                 n = len(texts.offsets) - 1
                 out[texts.first_row : texts.first_row + n] = np.bincount(row, ratios.value[grams], n)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(keep))], pa.array(out)], names=[*keep, "log_weight"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(few)], pa.array(out)], names=[*keep, "log_weight"])
 
-    rows = docs.select(*keep, F.col(text).alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text"]
+    rows = docs.select(*keep, *([text] if at == few else []))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:few]]
     return rows.mapInArrow(weighed, ", ".join([*fields, "log_weight double"]))
 
 

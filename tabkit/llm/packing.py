@@ -21,12 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from .memory import forget_half
 from .shipping import ship
 
 #: Examples at hand in a task.
 AT_HAND = 256
 #: A worker remembers so many words, each of at most so many bytes.
-MEMORY, LONGEST = 1_000_000, 48
+MEMORY, LONGEST = 400_000, 48
 WIDTH = 4
 
 
@@ -227,8 +228,7 @@ class WordCodec:
 
     def _remember(self, word: bytes, ids: bytes) -> bytes:
         if len(word) <= LONGEST:
-            if len(self.known) >= MEMORY:
-                self.known.clear()
+            forget_half(self.known, MEMORY)
             self.known[word] = ids
         return ids
 

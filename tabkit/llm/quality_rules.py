@@ -85,15 +85,16 @@ def count_column(column: pa.Array) -> list[pa.Array]:
 
 def text_counts(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` and ``COUNTS`` of every row."""
+    at, few = ([*keep, text_col]).index(text_col), len(keep)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [batch.column(k) for k in range(len(keep))]
-            yield pa.RecordBatch.from_arrays([*own, *count_column(batch.column(len(keep)))], names=[*keep, *COUNTS])
+            own = [batch.column(k) for k in range(few)]
+            yield pa.RecordBatch.from_arrays([*own, *count_column(batch.column(at))], names=[*keep, *COUNTS])
 
-    kept = docs.select(*keep, F.col(text_col).alias("__text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema if f.name != "__text"]
-    return kept.mapInArrow(counted, ", ".join([*fields, COUNT_SCHEMA]))
+    rows = docs.select(*keep, *([text_col] if at == few else []))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:few]]
+    return rows.mapInArrow(counted, ", ".join([*fields, COUNT_SCHEMA]))
 
 
 def base_failed() -> Column:
@@ -193,6 +194,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang") -> Data
     names = docs.columns
     clash = {c: f"__{c}" for c in names if c.lower() in COUNTS}
     own = docs.withColumnsRenamed(clash)
-    counted = text_counts(own.withColumn("__copy", F.col("text")), own.columns, "__copy")
+    counted = text_counts(own, own.columns)
     kept = counted.where(verdict(cutoffs, clash.get(stratum, stratum)))
     return kept.select(*[F.col(clash.get(c, c)).alias(c) for c in names])

@@ -25,7 +25,7 @@ from .shipping import ship
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: A worker remembers so many words, each of at most so many characters.
-MEMORY, LONGEST = 600_000, 48
+MEMORY, LONGEST = 400_000, 48
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:

@@ -36,7 +36,7 @@ PARTS = 32
 BROADCAST_IDS = 500_000
 MAX_ROUNDS = 8
 #: A round compares so many times as many members of a list as the one before.
-MORE = 8
+MORE = 32
 
 
 def text_sets(texts: Texts, size: int) -> list[np.ndarray]:
@@ -153,12 +153,17 @@ def listings(docs: DataFrame, size: int, rank, num: int, den: int) -> DataFrame:
 
 
 def whole_sets(docs: DataFrame, size: int) -> DataFrame:
+    """(set, shingles) of the texts; a task gives a set once."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[bytes] = set()
         for batch in batches:
             for texts in pieces(batch.column(0)):
-                found = [s for s in text_sets(texts, size) if len(s)]
+                found = {set_id(s): s for s in text_sets(texts, size) if len(s)}
+                found = {name: s for name, s in found.items() if name not in given}
+                given.update(found)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([set_id(s) for s in found], pa.binary()), _flat([s.view(np.int64) for s in found], pa.int64())],
+                    [pa.array(list(found), pa.binary()), _flat([s.view(np.int64) for s in found.values()], pa.int64())],
                     names=["set", "shingles"],
                 )
 
@@ -166,19 +171,29 @@ def whole_sets(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, reps: DataFrame, docs: DataFrame, size: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """The distinct pairs (a, b, need) whose sets have ``need`` shingles in common, as (a, b)."""
+    """The distinct pairs (hub, leaf, need) whose sets have ``need`` shingles in common, as (a, b).
+
+    Sets are long and pairs short. So the pairs go to the leaves' sets where those are made, and a leaf's set travels once
+    per pair, to its hub; there are far fewer hubs than leaves.
+    """
     side = nodes.select("set", "parts")
-    held = pairs.join(side.toDF("a", "parts_a"), "a").join(side.toDF("b", "parts_b"), "b")
+    held = pairs.join(side.toDF("hub", "parts_a"), "hub").join(side.toDF("leaf", "parts_b"), "leaf")
     common = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
-    held = scratch.keep(held.where(common >= F.col("need")).select("a", "b", "need"), "pairs")
-    wanted = held.select(F.col("a").alias("set")).union(held.select("b")).distinct()
-    ids = scratch.keep(wanted.join(reps, "set").select("id").distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("text")
-    sets = scratch.keep(whole_sets(texts, size).dropDuplicates(["set"]), "sets")
-    both = held.join(sets.toDF("a", "of_a"), "a").join(sets.toDF("b", "of_b"), "b")
-    links = scratch.keep(both.where(F.size(F.array_intersect("of_a", "of_b")) >= F.col("need")).select("a", "b"), "links")
-    scratch.drop(held, ids, sets)
+    held = scratch.keep(held.where(common >= F.col("need")).select("hub", "leaf", "need"), "pairs")
+    few = held.count() <= BROADCAST_IDS
+
+    def sent(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if few else df
+
+    def sets_of(column: str) -> DataFrame:
+        ids = scratch.keep(held.select(F.col(column).alias("set")).distinct().join(reps, "set").select("id").distinct(), "ids")
+        return whole_sets(docs.join(sent(ids), "id", "left_semi").select("text"), size)
+
+    leaves = sets_of("leaf").join(sent(held), F.col("set") == F.col("leaf")).select("hub", "leaf", "need", F.col("shingles").alias("of_leaf"))
+    hubs = sets_of("hub").dropDuplicates(["set"]).select(F.col("set").alias("hub"), F.col("shingles").alias("of_hub"))
+    both = leaves.join(hubs, "hub").where(F.size(F.array_intersect("of_leaf", "of_hub")) >= F.col("need"))
+    links = scratch.keep(both.select(F.least("hub", "leaf").alias("a"), F.greatest("hub", "leaf").alias("b")).distinct(), "links")
+    scratch.drop(held)
     return links
 
 
@@ -188,13 +203,20 @@ def _needed(n_a, n_b, num: int, den: int):
 
 
 def _candidates(one: DataFrame, entries: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct (a, b, need) of each row of ``one`` (token, p, p_n, p_pos, p_root) with the entries of its list in other components."""
+    """Distinct pairs (hub, leaf, need) of each row of ``one`` (token, p, p_n, p_pos, p_root) with the entries of its list in other components."""
     met = one.join(entries, "token").where((F.col("p") != F.col("set")) & (F.col("p_root") != F.col("root")))
     least, most = F.least("n", "p_n"), F.greatest("n", "p_n")
     need = _needed(F.col("n"), F.col("p_n"), num, den)
     room = F.least(F.col("n") - F.col("pos"), F.col("p_n") - F.col("p_pos"))
-    met = met.where((least * den >= most * num) & (room >= need))
-    return met.select(F.least("p", "set").alias("a"), F.greatest("p", "set").alias("b"), need.alias("need")).distinct()
+    met = met.where((least * den >= most * num) & (room >= need)).select("p", "set", need.alias("need"))
+    pair = met.groupBy(F.least("p", "set").alias("a"), F.greatest("p", "set").alias("b")).agg(
+        F.max("need").alias("need"), F.max(F.col("p") == F.least("p", "set")).alias("a_asks")
+    )
+    return pair.select(
+        F.when(F.col("a_asks"), F.col("a")).otherwise(F.col("b")).alias("hub"),
+        F.when(F.col("a_asks"), F.col("b")).otherwise(F.col("a")).alias("leaf"),
+        "need",
+    )
 
 
 def jaccard_components(
@@ -233,12 +255,11 @@ def jaccard_components(
             lists = entries.join(roots, F.col("set") == F.col("node"), "left").withColumn("root", F.coalesce("root", "set")).drop("node")
         by_root = lists.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"))
         groups = by_root.groupBy("token").agg(F.sum("c").alias("g"), F.max(F.struct("c", "root")).alias("top"), F.count(F.lit(1)).alias("k"))
-        groups = groups.where("k > 1").select("token", "g", F.col("top.c").alias("c"), F.col("top.root").alias("top_root"))
-        lists = scratch.keep(lists.join(groups, "token"), "lists")
-        groups = lists.groupBy("token", "g", "c").agg(F.count(F.lit(1)).alias("n"))
-        left, rows = groups.agg(F.sum(F.col("g") * (F.col("g") - F.col("c")).cast("double")), F.sum("n")).first()
+        groups = scratch.keep(groups.where("k > 1").select("token", "g", F.col("top.c").alias("c"), F.col("top.root").alias("top_root")), "groups")
+        left, rows = groups.agg(F.sum(F.col("g") * (F.col("g") - F.col("c")).cast("double")), F.sum("g")).first()
         if not rows:
             break
+        lists = scratch.keep(lists.join(groups, "token"), "lists")
         last = turn == MAX_ROUNDS or (turn > 0 and left <= 4.0 * n_entries)
         minor = lists.where((F.col("root") != F.col("top_root")) | (F.col("c") == 1))
         if not last:
@@ -259,7 +280,7 @@ def jaccard_components(
         done = one.select("token", F.col("p").alias("set"))
         entries = lists.select("set", "token", "n", "pos", "weight").join(done, ["token", "set"], "left_anti")
         entries = scratch.keep(entries, "entries")
-        scratch.drop(lists, one)
+        scratch.drop(lists, one, groups)
 
     if roots is None:
         named = reps.select("set", F.col("id").alias("component_id"))

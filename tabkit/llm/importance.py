@@ -1,10 +1,12 @@
 """Importance resampling: documents drawn in proportion to how much likelier they are under target text.
 
-Words and punctuation, lower-cased, and their pairs are hashed into buckets. Two generative models are counts
-of buckets: over all documents (raw) and over labelled good ones (target). A document's log weight is the sum,
-over its n-grams, of the log ratio of the two. Buckets whose counts agree within chance have ratio 1, so that
-estimation noise doesn't add up in long texts. Documents are drawn without replacement by Gumbel top-k: the
-k largest sums of log weight and Gumbel noise, the noise being a hash of the id.
+Words and punctuation, lower-cased, and their pairs are hashed into buckets, each kind into a half of them. Two generative
+models are counts of buckets: over all documents (raw) and over labelled good ones (target). A document's log weight is the
+sum, over its n-grams, of the log ratio of the two. The log ratio of smoothed counts is multiplied by the probability, given
+the counts, that the bucket's share of the target isn't that of all buckets: rare n-grams count a little each, and estimation noise
+doesn't add up in long texts. The prior of that probability and k are set by labelled documents, each good one weighed as if it
+weren't in the target. Documents are drawn without replacement by Gumbel top-k: the k largest sums of log weight and Gumbel
+noise, the noise being a hash of the id.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ from .text import BASE, LOWER, Texts, mix, pieces, range_hashes
 
 #: Buckets of a model, which every task gets.
 BUCKET_BITS = 20
-#: At most so many labelled good documents make the target model: those whose ids have the smallest hashes.
+#: At most so many labelled good documents make the target model: those whose ids have the smallest hashes. As many others are held against them.
 TARGET_DOCS = 50_000
-#: Of labelled good documents, this share may weigh less than the cut that sets k.
-GOOD_BELOW = 0.002
-#: A count must be so many standard deviations off its expectation to tell target from raw.
-SIGMAS = 5.0
+#: Of labelled good documents, at most this share may weigh less than the cut that sets k.
+GOOD_LOST = 0.01
+#: Shares of the buckets that tell target from raw, before their counts are seen. The first is taken unless another does better.
+PRIORS = (1e-3, 1e-2, 1e-4, 1e-5, 1e-6)
 
 #: 0 blank, 1 letter, digit or a byte beyond ASCII, 2 anything else.
 KIND = np.full(256, 2, np.uint8)
@@ -51,7 +53,8 @@ def token_buckets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
     hashes = range_hashes(data, start, end)
     same = row[1:] == row[:-1]
     pairs = mix(hashes[:-1] * np.uint64(BASE) + hashes[1:])[same]
-    grams = np.concatenate([hashes, pairs]) >> np.uint64(64 - BUCKET_BITS)
+    grams = np.concatenate([hashes, pairs]) >> np.uint64(65 - BUCKET_BITS)
+    grams[len(hashes) :] += np.uint64(1 << (BUCKET_BITS - 1))
     return grams.astype(np.int64), np.concatenate([row, row[1:][same]])
 
 
@@ -82,13 +85,75 @@ def model_counts(docs: DataFrame, target: DataFrame) -> tuple[np.ndarray, np.nda
     return raw, good
 
 
-def log_ratios(raw: np.ndarray, good: np.ndarray) -> np.ndarray:
-    """log(target / raw) of each bucket; 0 where the counts agree within ``SIGMAS``."""
+def shrunk_ratios(raw: np.ndarray, good: np.ndarray, share: float, prior: float) -> np.ndarray:
+    """log(target / raw) of buckets, times the probability that it isn't 0; ``share`` of all n-grams are the target's.
+
+    A bucket tells nothing (``good`` is binomial with ``share``) or, with probability ``prior``, has a share of its own, any alike.
+    """
+    share = min(max(share, 1e-12), 1 - 1e-6)
+    part = good / np.maximum(raw, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        apart = np.where(good > 0, good * np.log(part / share), 0.0) + np.where(raw > good, (raw - good) * np.log((1 - part) / (1 - share)), 0.0)
+    odds = apart - 0.5 * np.log(raw + 1) + np.log(prior / (1 - prior))
+    return np.log((good + 1) / (raw * share + 1)) / (1 + np.exp(-np.clip(odds, -50, 50)))
+
+
+def log_ratios(raw: np.ndarray, good: np.ndarray, prior: float = PRIORS[0]) -> np.ndarray:
+    """log(target / raw) of each bucket, shrunk; 0 without a target."""
     if not good.sum():
         return np.zeros(len(raw), np.float32)
-    expected = raw * (good.sum() / raw.sum())
-    telling = np.abs(good - expected) > SIGMAS * np.sqrt(expected + 1)
-    return np.where(telling, np.log((good + 1) / (expected + 1)), 0.0).astype(np.float32)
+    return shrunk_ratios(raw, good, good.sum() / raw.sum(), prior).astype(np.float32)
+
+
+def held_out_weights(docs: DataFrame, target: DataFrame, others: DataFrame, raw: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every document of ``target`` and ``others`` whether it is the target's, and its log weight by each of ``PRIORS``.
+
+    A document of the target is weighed by the model without its own n-grams. Two tables of at most ``TARGET_DOCS`` ids are
+    broadcast; a row per document comes to the driver.
+    """
+    marked = target.select(F.col("doc_id").alias("__id"), F.lit(True).alias("__target"))
+    marked = marked.union(others.select("doc_id", F.lit(False)))
+    marked = docs.join(F.broadcast(marked), F.col("doc_id") == F.col("__id")).select("text", "__target")
+    models = docs.sparkSession.sparkContext.broadcast((raw, good, good.sum() / raw.sum()))
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, good, share = models.value
+        for batch in batches:
+            is_target = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            out = np.zeros((len(PRIORS), batch.num_rows))
+            for texts in pieces(batch.column(0)):
+                grams, row = token_buckets(texts)
+                n = len(texts.offsets) - 1
+                found, own = np.unique(row.astype(np.int64) << BUCKET_BITS | grams, return_counts=True)
+                row, grams = found >> BUCKET_BITS, found & ((1 << BUCKET_BITS) - 1)
+                rest = good[grams] - own * is_target[texts.first_row + row]
+                for k, prior in enumerate(PRIORS):
+                    out[k, texts.first_row : texts.first_row + n] = np.bincount(row, own * shrunk_ratios(raw[grams], rest, share, prior), n)
+            columns = [pa.array(is_target), *[pa.array(weights) for weights in out]]
+            yield pa.RecordBatch.from_arrays(columns, names=["target", *[f"w{k}" for k in range(len(PRIORS))]])
+
+    got = marked.mapInArrow(weighed, ", ".join(["target boolean", *[f"w{k} double" for k in range(len(PRIORS))]])).toArrow()
+    models.unpersist()
+    weights = np.array([got[f"w{k}"].to_numpy() for k in range(len(PRIORS))])
+    return got["target"].to_numpy().astype(bool), weights
+
+
+def best_cut(is_good: np.ndarray, weights: np.ndarray) -> tuple[float, float] | None:
+    """The prior and cut that, of those that lose at most ``GOOD_LOST`` of the good documents, have the largest share of the others
+    below less the share of the good ones below; None without good documents. Of equals, the first prior and the lowest cut."""
+    n = int(is_good.sum())
+    if not n:
+        return None
+    best, most = None, -np.inf
+    for prior, own in zip(PRIORS, weights, strict=True):
+        cuts = np.sort(own[is_good])[: int(n * GOOD_LOST) + 1]
+        lost = np.searchsorted(cuts, cuts)
+        others = np.sort(own[~is_good])
+        gain = np.searchsorted(others, cuts) / max(len(others), 1) - lost / n
+        at = int(np.argmax(gain))
+        if gain[at] > most:
+            best, most = (prior, float(cuts[at])), gain[at]
+    return best
 
 
 def log_weights(docs: DataFrame, keep: list[str], ratios, text: str) -> DataFrame:
@@ -138,25 +203,25 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float | None:
 
 
 def _fit(docs: DataFrame, labels: DataFrame):
-    """The broadcast log ratios, and the labelled good ids."""
+    """The broadcast log ratios, and the cut between labelled good and other documents."""
     usable = labels.where(F.col("doc_id").isNotNull())
     marks = usable.groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
-    good = marks.where("q = 1 and t = 0").select("doc_id")
-    target = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_DOCS)
-    return docs.sparkSession.sparkContext.broadcast(log_ratios(*model_counts(docs, target))), good
+    is_good = (F.col("q") == 1) & (F.col("t") == 0)
+    first = [F.xxhash64("doc_id"), F.col("doc_id")]
+    target, others = (marks.where(side).select("doc_id").orderBy(*first).limit(TARGET_DOCS) for side in (is_good, ~is_good))
+    raw, good = model_counts(docs, target)
+    best = best_cut(*held_out_weights(docs, target, others, raw, good)) if good.sum() else None
+    prior, cut = best or (PRIORS[0], None)
+    return docs.sparkSession.sparkContext.broadcast(log_ratios(raw, good, prior)), cut
 
 
-def _draw(weights: DataFrame, good: DataFrame, seed: int, share: float | None) -> float | None:
-    """The smallest key drawn. k is ``share`` of the documents or, if not given, as many as weigh at least
-    what all labelled good ones but ``GOOD_BELOW`` do."""
+def _draw(weights: DataFrame, cut: float | None, seed: int, share: float | None) -> float | None:
+    """The smallest key drawn. k is ``share`` of the documents or, if not given, as many as weigh at least ``cut``."""
     if share is not None:
         k = int(round(share * weights.count()))
+    elif cut is None:
+        return None
     else:
-        known = weights.join(good, "doc_id", "left_semi")
-        n = known.count()
-        cut = kth_largest(known, "log_weight", n - int(n * GOOD_BELOW)) if n else None
-        if cut is None:
-            return None
         k = weights.where(F.col("log_weight") >= cut).count()
     return kth_largest(weights.select((F.col("log_weight") + gumbel(F.col("doc_id"), seed)).alias("key")), "key", k)
 
@@ -170,9 +235,9 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 7, share: float | N
     """
     scratch = Scratch(docs.sparkSession, "importance")
     own = docs.select("doc_id", "text")
-    ratios, good = _fit(own, labels)
+    ratios, cut = _fit(own, labels)
     weights = scratch.keep(log_weights(own, ["doc_id"], ratios, "text"), "weights")
-    least = _draw(weights, good, seed, share)
+    least = _draw(weights, cut, seed, share)
     key = F.col("log_weight") + gumbel(F.col("doc_id"), seed)
     return weights.select("doc_id", "log_weight", key.alias("gumbel_key"), (key >= least if least is not None else F.lit(True)).alias("kept"))
 
@@ -181,9 +246,9 @@ def keep_drawn(docs: DataFrame, labels: DataFrame, seed: int = 7, share: float |
     """The rows of ``docs`` that ``resample`` keeps, with their columns; texts are weighed anew instead of shuffled."""
     scratch = Scratch(docs.sparkSession, "importance")
     own = docs.select("doc_id", "text")
-    ratios, good = _fit(own, labels)
+    ratios, cut = _fit(own, labels)
     weights = scratch.keep(log_weights(own, ["doc_id"], ratios, "text"), "weights")
-    least = _draw(weights, good, seed, share)
+    least = _draw(weights, cut, seed, share)
     scratch.drop(weights)
     if least is None:
         return docs

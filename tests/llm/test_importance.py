@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from tabkit.llm.importance import KIND, gumbel, keep_drawn, kth_largest, log_ratios, resample, token_buckets
+from tabkit.llm.importance import KIND, PRIORS, best_cut, gumbel, keep_drawn, kth_largest, log_ratios, resample, token_buckets
 from tabkit.llm.text import LOWER, pieces
 
 
@@ -81,3 +81,23 @@ def test_kth_largest(spark):
 def test_noise_is_gumbel(spark):
     got = spark.range(20_000).select(gumbel(F.col("id"), 3).alias("g")).agg(F.avg("g"), F.stddev("g")).first()
     assert abs(got[0] - 0.5772) < 0.04 and abs(got[1] - 1.2825) < 0.04
+
+
+def test_toxic_words_that_are_rare_each(spark, docs_of):
+    """No telling word occurs often, but a toxic document has many; labelled or not, such documents go and clean ones stay."""
+    clean, _, _ = corpus(1600)
+    rng = random.Random(6)
+    toxic = [(9000 + k, " ".join(f"word{rng.randrange(300)}" for _ in range(20)) + "".join(f" slur{rng.randrange(300)}" for _ in range(20))) for k in range(200)]
+    marks = [(i, 1, 0) for i, _ in clean[::2]] + [(i, 1, 1) for i, _ in toxic[::2]]
+    kept = {r.doc_id: r.kept for r in resample(docs_of(clean + toxic), labels(spark, marks)).collect()}
+    assert sum(not kept[i] for i, _ in clean) <= 32
+    assert sum(kept[i] for i, _ in toxic) <= 10
+
+
+def test_cut_by_both_sides():
+    good, others = np.arange(1000.0), np.array([-5.0, -4.0, 3.5, 500.0])
+    is_good, weights = np.repeat([True, False], [1000, 4]), np.tile(np.concatenate([good, others]), (len(PRIORS), 1))
+    assert best_cut(is_good, weights) == (PRIORS[0], 4.0)  # 4 of 1000 good ones lost for a quarter of the others
+    weights[2, 1002] = -1.0
+    assert best_cut(is_good, weights) == (PRIORS[2], 0.0)
+    assert best_cut(~np.ones(4, bool), weights[:, :4]) is None

@@ -1,24 +1,27 @@
 """Balanced label propagation: equal numbers of documents per shard, few links between shards. DataFrame operations only.
 
-Documents of a group are linked with each other. Linked documents are first dealt out evenly. In each round a group's documents
+Documents of a group are linked with each other. Groups larger than a shard are dealt out first, to as many shards as they
+fill, and the others laid end to end over the room left. Those that the end of a shard would cut, fewer than shards, go
+where they fit whole or, if nowhere, to the shards with most room. Then, in each round, a group's documents
 move to the shard where most of their neighbours are, as far as quotas allow: between two shards as many may move
-one way as the other, and beyond that as many as the target has room. Every other round looks only at shards with room, so that a
-group larger than a shard goes on in the next one. A round works on the number of documents per group and shard, so
-no pair of neighbours is ever listed. Documents without links fill what is left. In the end every shard has as many
-rows as any other, or one more.
+one way as the other, and beyond that as many as the target has room. Every other round looks only at shards with room.
+Every move brings more neighbours together, so the rounds end, namely when none of either kind moves anything. A round works on the
+number of documents per group and shard, so no pair of neighbours is ever listed. Documents without links fill what is left. In the
+end every shard has as many rows as any other, or one more.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate, count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .numbering import running_before, salted
 from .staging import Scratch
 
-ROUNDS = 16
-#: Two rounds in a row that move less than this share of the linked documents end the propagation.
-LEAST_MOVED = 0.002
+#: So many rounds in a row that move nothing, half of them of each kind and each with other ties, end the propagation.
+IDLE_ROUNDS = 4
 #: Rows that one window of a numbering holds about.
 CELL_ROWS = 50_000
 
@@ -34,14 +37,45 @@ def _quotas(moves: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[in
     return out
 
 
-def _propagated(cells: DataFrame, capacity: list[int], n_cells: int, rounds: int, scratch: Scratch) -> DataFrame:
+def _laid_out(groups: DataFrame, capacity: list[int], n_cells: int, scratch: Scratch) -> DataFrame:
+    """(group, shard, n) of the groups with several documents. Fewer groups than two per shard come to the driver."""
+    room, dealt = list(capacity), []
+
+    def deal(found) -> None:
+        for row in sorted(found, key=lambda r: (-r.n, bytes(r.group))):
+            left = row.n
+            while left:
+                fits = [shard for shard, free in enumerate(room) if free >= left]
+                shard = min(fits, key=lambda s: room[s]) if fits else max(range(len(room)), key=lambda s: room[s])
+                n = min(left, room[shard])
+                dealt.append((bytes(row.group), shard, n))
+                room[shard] -= n
+                left -= n
+
+    deal(groups.where((F.col("n") > 1) & (F.col("n") > capacity[0])).collect())
+    small = groups.where((F.col("n") > 1) & (F.col("n") <= capacity[0]))
+    small = running_before(small, [], F.col("group"), n_cells, [F.col("group")], F.col("n"), "before")
+    ends = F.array(*[F.lit(end).cast("long") for end in accumulate(room)])
+    first = F.size(F.filter(ends, lambda e: e <= F.col("before")))
+    last = F.size(F.filter(ends, lambda e: e < F.col("before") + F.col("n")))
+    small = scratch.keep(small.select("group", first.alias("shard"), "n", last.alias("last")), "laid")
+    whole = small.where("shard = last").select("group", "shard", "n")
+    for row in whole.groupBy("shard").agg(F.sum("n").alias("n")).collect():
+        room[row.shard] -= row.n
+    deal(small.where("shard < last").collect())
+    cells = scratch.keep(whole.union(groups.sparkSession.createDataFrame(dealt, "group binary, shard int, n long")), "cells")
+    scratch.drop(small)
+    return cells
+
+
+def _propagated(cells: DataFrame, capacity: list[int], n_cells: int, rounds: int | None, scratch: Scratch) -> DataFrame:
     """Move the documents of (group, shard, n) towards their neighbours. What comes to the driver is by shard or pair of shards."""
     spark = cells.sparkSession
     idle = 0
-    for turn in range(rounds):
+    for turn in count() if rounds is None else range(rounds):
         held = {row.shard: row.n for row in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
         room = [size - held.get(shard, 0) for shard, size in enumerate(capacity)]
-        rank = F.struct("n", F.xxhash64("group", "shard").alias("tie"), "shard")
+        rank = F.struct("n", F.xxhash64("group", "shard", F.lit(turn)).alias("tie"), "shard")
         target = F.lit(False)
         for shard, size in enumerate(capacity):
             open_to = (F.lit(room[shard]) > 0) if turn % 2 == 0 else (F.col("n") < size)
@@ -52,13 +86,13 @@ def _propagated(cells: DataFrame, capacity: list[int], n_cells: int, rounds: int
         moves = scratch.keep(moves.select("group", "shard", F.col("best.shard").alias("to"), "n"), "moves")
         wanted = {(r.shard, r.to): r.n for r in moves.groupBy("shard", "to").agg(F.sum("n").alias("n")).collect()}
         quotas = [(a, b, n) for (a, b), n in _quotas(wanted, room).items() if n]
-        idle = idle + 1 if sum(n for *_, n in quotas) <= LEAST_MOVED * sum(held.values()) else 0
-        if idle == 2:
-            scratch.drop(moves)
-            break
         if not quotas:
             scratch.drop(moves)
+            idle += 1
+            if idle == IDLE_ROUNDS:
+                break
             continue
+        idle = 0
         quota = spark.createDataFrame(quotas, "shard int, to int, quota long")
         before = running_before(moves, ["shard", "to"], F.col("group"), n_cells, [F.col("group")], F.col("n"), "before")
         taken = before.join(F.broadcast(quota), ["shard", "to"])
@@ -71,13 +105,14 @@ def _propagated(cells: DataFrame, capacity: list[int], n_cells: int, rounds: int
     return cells
 
 
-def shard_rows(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
+def shard_rows(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", rounds: int | None = None) -> DataFrame:
     """(id_col, size, text_crc32, group, law, shard, slot, grown_shard) of every row; law is ``rows``.
 
     The numbers of rows of any two shards differ by one at most. Documents with equal texts are linked (compared by
     128-bit hash); null counts as the empty text. ``size`` is the bytes of the text and 16. ``slot`` numbers a shard's rows from 0.
     ``grown_shard`` is null: another number of shards means another run. Repeated rows are rows of their own, linked by their
-    text; ids may be null. A group larger than a shard fills one and goes on in others. An empty table gives an empty result. Other columns are left out.
+    text; ids may be null. A group larger than a shard fills one and goes on in others. Without ``rounds``, the
+    propagation goes on until nothing moves. An empty table gives an empty result. Other columns are left out.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "shards")
@@ -93,13 +128,7 @@ def shard_rows(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_c
     capacity = [total // shards + (shard < total % shards) for shard in range(shards)]
     order = [F.col("id"), F.col("group")]
 
-    linked = running_before(groups.where("n > 1"), [], F.col("group"), n_cells, [F.col("group")], F.col("n"), "before")
-    dealt = linked.select("group", "n", "before", F.explode(F.sequence(F.lit(0), F.least("n", F.lit(shards)).cast("int") - 1)).alias("k"))
-    cells = dealt.select(
-        "group", F.pmod(F.col("before") + F.col("k"), F.lit(shards)).cast("int").alias("shard"),
-        F.ceil((F.col("n") - F.col("k")) / F.lit(shards)).cast("long").alias("n"),
-    )
-    cells = _propagated(scratch.keep(cells, "cells"), capacity, n_cells, rounds, scratch)
+    cells = _propagated(_laid_out(groups, capacity, n_cells, scratch), capacity, n_cells, rounds, scratch)
 
     # The k-th row of a group goes to the shard in whose share k falls.
     shares = cells.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("shares"))

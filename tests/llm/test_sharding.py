@@ -61,3 +61,20 @@ def test_running_totals(spark):
             assert r.before == at
             at += r.w
         assert at == sum(k % 5 for k in range(100) if k % 3 == g)
+
+
+def test_no_group_is_left_scattered(docs_of):
+    rows = [(k, f"pair {k % 40}") for k in range(80)]
+    spread, _ = check(docs_of(rows), rows, 4)
+    assert spread[1] >= 30
+
+
+@pytest.mark.parametrize("rest", ["pairs", "tens", "all"])
+def test_a_hot_third_among_linked_groups(docs_of, rest):
+    """20 shards of 30 rows: the hot group fills 7 at least; a shard's end cuts one other group at most."""
+    rows = [(k, "hot") for k in range(200)]
+    linked, size = {"pairs": (60, 2), "tens": (240, 10), "all": (400, 10)}[rest]
+    rows += [(1000 + k, f"group {k // size}") for k in range(linked)] + [(5000 + k, f"own {k}") for k in range(400 - linked)]
+    spread, _ = check(docs_of(rows), rows, 20)
+    assert max(spread) == 7
+    assert sum(n for s, n in spread.items() if 1 < s < 7) == 0

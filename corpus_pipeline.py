@@ -39,10 +39,16 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (5-word shingles, similarity 0.8 or more), the rows of the smallest id."""
-    found = jaccard_components(docs, shingle=5, num=4, den=5)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates (5-word shingles, similarity 0.8 or more), the rows of the smallest id.
+
+    Rows without an id come after all ids, those with equal texts as one document.
+    """
+    # 2**62 and up: beyond the ids of documents.
+    own_id = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62))
+    keyed = docs.withColumn("__id", own_id)
+    found = jaccard_components(keyed, id_col="__id", shingle=5, num=4, den=5)
+    gone = found.where("__id <> component_id").select("__id").distinct()
+    return keyed.join(gone, "__id", "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

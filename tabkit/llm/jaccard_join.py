@@ -187,7 +187,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, reps: DataFrame, docs: DataFra
 
     def sets_of(column: str) -> DataFrame:
         ids = scratch.keep(held.select(F.col(column).alias("set")).distinct().join(reps, "set").select("id").distinct(), "ids")
-        return whole_sets(docs.join(sent(ids), "id", "left_semi").select("text"), size)
+        # A set held only by rows without an id has none to be found by: then all such rows are looked through.
+        ids = sent(ids.withColumnRenamed("id", "__id"))
+        return whole_sets(docs.join(ids, F.col("id").eqNullSafe(F.col("__id")), "left_semi").select("text"), size)
 
     leaves = sets_of("leaf").join(sent(held), F.col("set") == F.col("leaf")).select("hub", "leaf", "need", F.col("shingles").alias("of_leaf"))
     hubs = sets_of("hub").dropDuplicates(["set"]).select(F.col("set").alias("hub"), F.col("shingles").alias("of_hub"))

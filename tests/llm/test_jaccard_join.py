@@ -1,5 +1,6 @@
 import random
 
+import corpus_pipeline
 import pytest
 
 from tabkit.llm import jaccard_join
@@ -60,3 +61,15 @@ def test_exact_border(docs_of):
 def test_no_documents_and_no_words(docs_of):
     assert got(docs_of([])) == []
     assert got(docs_of([(2, None), (1, ""), (1, "")])) == [(1, 0, 1), (1, 0, 1), (2, 0, 2)]
+
+
+def test_near_copies_without_an_id(spark, docs_of):
+    """They link like others, bridge two documents, and go in the pipeline; other rows without an id stay."""
+    words = [f"w{k}" for k in range(120)]
+    texts = [" ".join(words[k : k + 100]) for k in (0, 8, 16)]  # neighbours are 0.8 alike or more, the outer two aren't
+    rows = [(1, texts[0]), (None, texts[1]), (2, texts[2]), (3, texts[0] + " end"), (None, "something else without an id"), (None, texts[0])]
+    want = brute(rows, 5, 4, 5)
+    assert {r[2] for r in want if r[0] is not None} == {1}
+    assert got(docs_of(rows)) == want
+    kept = corpus_pipeline.near_duplicates(spark, docs_of(rows), "")
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([rows[0], rows[4]], key=str)

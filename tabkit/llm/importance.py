@@ -29,6 +29,9 @@ TARGET_DOCS = 50_000
 GOOD_LOST = 0.01
 #: Shares of the buckets that tell target from raw, before their counts are seen. The first is taken unless another does better.
 PRIORS = (1e-3, 1e-2, 1e-4, 1e-5, 1e-6)
+#: The prior without labelled others; the cut is then so far below the good documents, as the noise of the draw is about that.
+CAUTIOUS = 1e-6
+MARGIN = 3.0
 
 #: 0 blank, 1 letter, digit or a byte beyond ASCII, 2 anything else.
 KIND = np.full(256, 2, np.uint8)
@@ -98,7 +101,7 @@ def shrunk_ratios(raw: np.ndarray, good: np.ndarray, share: float, prior: float)
     return np.log((good + 1) / (raw * share + 1)) / (1 + np.exp(-np.clip(odds, -50, 50)))
 
 
-def log_ratios(raw: np.ndarray, good: np.ndarray, prior: float = PRIORS[0]) -> np.ndarray:
+def log_ratios(raw: np.ndarray, good: np.ndarray, prior: float = CAUTIOUS) -> np.ndarray:
     """log(target / raw) of each bucket, shrunk; 0 without a target."""
     if not good.sum():
         return np.zeros(len(raw), np.float32)
@@ -144,6 +147,8 @@ def best_cut(is_good: np.ndarray, weights: np.ndarray) -> tuple[float, float] |
     n = int(is_good.sum())
     if not n:
         return None
+    if is_good.all():
+        return CAUTIOUS, float(weights[PRIORS.index(CAUTIOUS)].min()) - MARGIN
     best, most = None, -np.inf
     for prior, own in zip(PRIORS, weights, strict=True):
         cuts = np.sort(own[is_good])[: int(n * GOOD_LOST) + 1]
@@ -211,7 +216,7 @@ def _fit(docs: DataFrame, labels: DataFrame):
     target, others = (marks.where(side).select("doc_id").orderBy(*first).limit(TARGET_DOCS) for side in (is_good, ~is_good))
     raw, good = model_counts(docs, target)
     best = best_cut(*held_out_weights(docs, target, others, raw, good)) if good.sum() else None
-    prior, cut = best or (PRIORS[0], None)
+    prior, cut = best or (CAUTIOUS, None)
     return docs.sparkSession.sparkContext.broadcast(log_ratios(raw, good, prior)), cut
 
 

@@ -11,9 +11,12 @@ from .byte_bpe import decode_documents, encode_documents
 from .importance import resample
 from .jaccard_join import jaccard_components
 from .line_dedup import dedup_lines
+from .merkle import manifest
 from .packing import Limits, pack_documents
 from .quality_rules import judge_quality
+from .secrets import KINDS, scan_secrets
 from .sharding import shard_rows
+from .spelling import spelling_variants
 from .token_counts import count_tokens
 from .url_filter import judge_urls
 
@@ -116,6 +119,27 @@ def op10_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word of 6 letters and 5 occurrences or more."""
+    return spelling_variants(_table(spark, sf_dir, "documents"), min_chars=6, min_count=5, lead=5, slip=199)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document, folded for half of them from a text that lost its line feeds."""
+    docs = _table(spark, sf_dir, "documents")
+    even = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    tampered = {"text": F.when(even, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))}
+    return manifest(docs, ["doc_id", "source", "lang", "n_chars", "text"], tampered)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the patterns in every document, and all spans with those that the network adds."""
+    found = scan_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{kind}')) as long)").alias(f"n_{kind}") for kind in KINDS]
+    return found.select("doc_id", *counts, _sha256(written("base")).alias("base_sha256"), written("spans").alias("spans"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_jaccard_join": op2_jaccard_join,
@@ -127,6 +151,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_packing": op9_packing,
     "op10_importance_resampling": op10_importance_resampling,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 OP2_SQL = r"""
@@ -212,8 +239,106 @@ select p.page_id, coalesce(n.host, '') as host, coalesce(n.path, '') as path, m.
 from pages p left join nodes n on n.url = p.url left join matched m on m.url = p.url left join decided d on d.node = n.node
 """
 
+
+
+def _crc32_sql(bytes_list: str) -> str:
+    """DuckDB has no crc32: eight shifts for each byte of a list."""
+    shifted = "case when x & 1 = 1 then xor(x >> 1, 3988292384::bigint) else x >> 1 end"
+    step = f"list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: {shifted})"
+    return f"xor(list_reduce(list_prepend(4294967295::bigint, {bytes_list}), lambda c, b: {step}), 4294967295::bigint)"
+
+
+_HEX_BYTES = "list_transform(range(1, strlen(key) * 2, 2), lambda i: (instr('123456789ABCDEF', hex[i]) * 16 + instr('123456789ABCDEF', hex[i + 1]))::bigint)"
+
+OP11_SQL = rf"""
+with recursive runs as (
+    select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[a-z\x{{C0}}-\x{{FF}}]+')) as run
+    from documents
+),
+counted as (select doc_id, run, count(*) as n from runs where length(run) >= 6 group by all),
+hexed as (select run, n, coalesce(doc_id::varchar, '') || ':' || run as key, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) as hex from counted),
+hashed as (select run, n, {_crc32_sql(_HEX_BYTES)} as h from hexed),
+typed as (
+    select case when h % 199 = 0 then substr(run, 1, (h % length(run))::bigint) || substr(run, (h % length(run))::bigint + 2) else run end as word, n from hashed
+),
+words as materialized (select word, sum(n)::bigint as n from typed where length(word) >= 6 group by word having sum(n) >= 5),
+cuts as materialized (
+    select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select word, n, unnest(range(1, length(word) + 1)) as i from words)
+),
+near as materialized (
+    select a.word, b.word as other, b.n as other_n from cuts a join cuts b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+    union
+    select a.word, b.word, b.n from cuts a join words b on a.rest = b.word
+    union
+    select b.word, a.word, a.n from cuts a join words b on a.rest = b.word
+),
+best as (select word, count(*) as n_near, max(other_n) as top_n from near group by word),
+judged as materialized (
+    select w.word, w.n, coalesce(b.n_near, 0) as n_near, case when b.top_n >= 5 * w.n then b.top_n end as form_n,
+           case when b.top_n >= 5 * w.n then (select min(other) from near x where x.word = w.word and x.other_n = b.top_n) end as form
+    from words w left join best b on b.word = w.word
+),
+onward as (
+    select word, word as root, form as further from judged
+    union all
+    select onward.word, onward.further, judged.form from onward join judged on judged.word = onward.further
+)
+select j.word, j.n, j.n_near, j.form, j.form_n, o.root from judged j join onward o on o.word = j.word and o.further is null
+"""
+
+_TREE = """{name}(tree, lvl, pos, hash, n) as (
+    {leaves}
+    union all
+    select tree, lvl + 1, pos // 3, sha256(string_agg(hash, '' order by pos)), any_value((n + 2) // 3) from {name} where n > 1 group by tree, lvl, pos // 3
+),
+{name}_kin as materialized (
+    select a.tree, a.lvl, a.pos, coalesce(string_agg(b.hash, '' order by b.pos) filter (b.pos < a.pos), '') as before,
+           coalesce(string_agg(b.hash, '' order by b.pos) filter (b.pos > a.pos), '') as after
+    from {name} a left join {name} b on b.tree = a.tree and b.lvl = a.lvl and b.pos // 3 = a.pos // 3 where a.n > 1 group by all
+)"""
+_CLIMB = """{name}(leaf, tree, lvl, pos, proof, folded) as (
+    {start}
+    union all
+    select c.leaf, c.tree, c.lvl + 1, c.pos // 3, c.proof || k.before || k.after, sha256(k.before || c.folded || k.after)
+    from {name} c join {kin} k on k.tree = c.tree and k.lvl = c.lvl and k.pos = c.pos
+)"""
+
+
+def _encoded_sql(value: str) -> str:
+    return f"coalesce(strlen(({value})::varchar)::varchar || ':' || ({value})::varchar, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(_encoded_sql(v) for v in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+_DIGIT_BYTES = "list_transform(string_split(doc_id::varchar, ''), lambda d: ord(d)::bigint)"
+
+OP12_SQL = f"""
+with recursive hashed as (
+    select doc_id, row_number() over (order by source nulls first, doc_id) as leaf_no, dense_rank() over (order by source nulls first) as tree, {_leaf_sql("text")} as leaf,
+           case when {_crc32_sql(_DIGIT_BYTES)} % 2 = 0 then {_leaf_sql("replace(text, chr(10), '')")} else {_leaf_sql("text")} end as other
+    from documents
+),
+leaves as materialized (
+    select *, row_number() over (partition by tree order by doc_id) - 1 as pos, count(*) over (partition by tree) as n from hashed
+),
+{_TREE.format(name="low", leaves="select tree, 0, pos, leaf, n from leaves")},
+subroots as materialized (select tree, hash, row_number() over (order by tree) - 1 as pos, count(*) over () as n from low where n = 1),
+{_TREE.format(name="top", leaves="select 0, 0, pos, hash, n from subroots")},
+{_CLIMB.format(name="up", kin="low_kin", start="select leaf_no, tree, 0, pos, '', other from leaves")},
+at_subroot as materialized (select leaf, arg_max(proof, lvl) as proof, arg_max(folded, lvl) as folded, any_value(tree) as tree from up group by leaf),
+{_CLIMB.format(name="over", kin="top_kin", start="select a.leaf, 0, 0, s.pos, a.proof, a.folded from at_subroot a join subroots s on s.tree = a.tree")},
+at_root as (select leaf, arg_max(proof, lvl) as proof, arg_max(folded, lvl) as folded from over group by leaf)
+select l.doc_id, l.leaf, s.hash as subroot, r.hash as root, sha256(a.proof) as proof_sha256, a.folded as folded_root, a.folded = r.hash as verified
+from leaves l join subroots s on s.tree = l.tree join at_root a on a.leaf = l.leaf_no cross join (select hash from top where n = 1) r
+"""
+
 ORACLES = {
     "op2_jaccard_join": OP2_SQL,
     "op5_url_filter": OP5_SQL,
     "op1_line_dedup": OP1_SQL,
+    "op11_spelling_variants": OP11_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }

@@ -29,7 +29,6 @@ def brute(rows, k, every):
 @pytest.mark.parametrize("norms", ["one", "varied"])
 def test_recall_and_scores(spark, monkeypatch, norms):
     monkeypatch.setattr(ann, "VECTOR_BLOCK", 700)
-    monkeypatch.setattr(ann, "QUERY_BLOCK", 30)
     rng = np.random.default_rng(1)
     x = rng.standard_normal((2000, 24))
     x /= np.linalg.norm(x, axis=1)[:, None] / (1 if norms == "one" else rng.uniform(0.2, 3, (2000, 1)))
@@ -42,6 +41,36 @@ def test_recall_and_scores(spark, monkeypatch, norms):
     assert all(abs(scores[q][i] - s) < 1e-12 for q, found in got.items() for i, s in found)
 
 
+def test_no_work_beyond_the_windows(spark):
+    """On evenly spread vectors, whose nearest are hardly nearer than the rest, a fifth of them at most is verified; copies don't slow others down."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((4000, 64))
+    x[:1000] = x[0]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    block = ann.Block(np.arange(4000), x, 1.0, 20)
+    seen = []
+    block._best = lambda query, rows, scores, best=block._best: seen.append(len(rows)) or best(query, rows, scores)
+    got = block.nearest(x[::50], np.arange(0, 4000, 50))
+    want = np.argsort(-(x[::50] @ x.T), axis=1)
+    hits = [len(set(ids) & set(w[w != 50 * q][:20])) / 20 for q, ((ids, _), w) in enumerate(zip(got, want, strict=True)) if q >= 20]
+    assert np.mean(hits) >= 0.95
+    assert all(list(ids) == [i for i in range(21) if i != 50 * q][:20] for q, (ids, _) in enumerate(got[:20]))
+    assert sum(seen) <= 0.45 * 4000 * 80  # a quarter are queries among the copies, all of which tie
+
+
+@pytest.mark.parametrize("table", ["sf0.1"])
+def test_recall_on_the_supplied_vectors(spark, table):
+    data = spark.read.parquet(f"/root/testdata/{table}/embeddings.parquet").select("vec_id", "embedding")
+    rows = [(r.vec_id, r.embedding) for r in data.collect()]
+    want = brute(rows, 20, 20)
+    got = {}
+    for r in nearest_neighbours(data, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    recall = np.mean([len({i for i, _ in w} & got[q]) / 20 for q, w in want.items()])
+    print(f"recall {recall:.4f}")
+    assert recall >= 0.95
+
+
 def test_ties_go_to_the_smaller_id(spark):
     rng = np.random.default_rng(2)
     same, other = [1.0, 0.0, 0.0], rng.standard_normal((40, 3))

@@ -6,7 +6,8 @@ their source by sorted ranges, never by one window over a source.
 
 A recursive query then climbs from every leaf to the root. A step joins the climbing rows with the node rows, appends the
 siblings found there and folds the leaf's (perhaps tampered) hash with them. Climbing rows carry digests as bytes and drop the
-siblings of earlier steps, which the query's own rows keep; they are put together once, at the root.
+siblings of earlier steps, which the query's own rows keep; they are put together once, at the root. The climb has two parts,
+so that the many node rows of the lowest ``LOW`` levels are not joined again at every level above them.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ ARITY = 3
 RANGE_ROWS = 50_000
 #: Node ids: the level above the position of the node's first leaf; levels of the tree over the sources begin at 64.
 LEVEL_BIT, TOP = 56, 64
+#: Levels of the first part of the climb; those above hold a twentieth of its node rows.
+LOW = 3
 
 
 def sha256(*parts: Column) -> Column:
@@ -71,10 +74,10 @@ def _numbered(rows: DataFrame, key: str, order: list[str], name: str, scratch: S
 
 
 def build_trees(nodes: DataFrame, level: int, scratch: Scratch) -> tuple[list[DataFrame], DataFrame]:
-    """Node rows of each level (id, parent, before, after) and the roots (id, tree, hash) of all trees.
+    """Node rows of each level (id, parent, before, after, last) and the roots (id, tree, hash) of all trees.
 
     ``nodes`` are the leaves: (id, tree, at, first, size, hash), ``tree`` a number, ``at`` counting from ``first`` within it. A lone leaf
-    is its tree's root.
+    is its tree's root. ``last`` marks children of roots and of the nodes of level ``LOW``.
     """
     links, roots = [], []
     now = nodes.select("id", "tree", (F.col("at") - F.col("first")).alias("pos"), "first", "size", "hash")
@@ -95,11 +98,11 @@ def build_trees(nodes: DataFrame, level: int, scratch: Scratch) -> tuple[list[Da
         )
         now = scratch.keep(runs, f"level{level}")
         joined = lambda part: F.aggregate(part, F.unhex(F.lit("")), lambda s, k: F.concat(s, k["hash"]))
-        own = now.select(F.col("id").alias("parent"), "kids", F.posexplode("kids").alias("place", "kid"))
+        own = now.select(F.col("id").alias("parent"), "kids", F.posexplode("kids").alias("place", "kid"), ((F.col("size") == 1) | F.lit(level == LOW)).alias("last"))
         links.append(
             own.select(
                 F.col("kid.id").alias("id"), "parent", joined(F.slice("kids", F.lit(1), F.col("place"))).alias("before"),
-                joined(F.slice("kids", F.col("place") + 2, F.lit(ARITY))).alias("after"),
+                joined(F.slice("kids", F.col("place") + 2, F.lit(ARITY))).alias("after"), "last",
             )
         )
         now = now.drop("kids")
@@ -117,32 +120,45 @@ def _unlimited_recursion(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def climb(leaves: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, folded, proof) of every leaf (id, hash): its hash folded up to the root, and all siblings met, lowest level first, as bytes."""
-    spark = leaves.sparkSession
-    leaves.createOrReplaceTempView("merkle_leaves")
+def _ascent(start: DataFrame, links: DataFrame) -> DataFrame:
+    """(leaf, step, node, siblings, folded, last) of every step up from ``start``, of the same columns, and ``start`` itself."""
+    spark = start.sparkSession
+    start.createOrReplaceTempView("merkle_start")
     links.createOrReplaceTempView("merkle_links")
     digest = "unhex(sha2(cast(concat(lower(hex(before)), lower(hex(folded)), lower(hex(after))) as binary), 256))"
     try:
-        with _unlimited_recursion(spark):
-            steps = spark.sql(f"""
-                with recursive climb(leaf, step, node, siblings, folded) as (
-                    select id, 0, id, cast(unhex('') as binary), hash from merkle_leaves
-                    union all
-                    select leaf, step + 1, parent, cast(concat(before, after) as binary), {digest}
-                    from climb join merkle_links on climb.node = merkle_links.id
-                )
-                select leaf, step, siblings, folded from climb
-            """)
-            met = F.sort_array(F.collect_list(F.struct("step", "siblings")))
-            proof = F.aggregate(met, F.unhex(F.lit("")), lambda s, x: F.concat(s, x["siblings"]))
-            climbed = steps.groupBy("leaf").agg(F.max_by("folded", "step").alias("folded"), proof.alias("proof"))
-            return scratch.keep(climbed.withColumnRenamed("leaf", "id"), "climbed")
+        return spark.sql(f"""
+            with recursive climb(leaf, step, node, siblings, folded, last) as (
+                select leaf, step, node, siblings, folded, last from merkle_start
+                union all
+                select leaf, step + 1, parent, cast(concat(before, after) as binary), {digest}, merkle_links.last
+                from climb join merkle_links on climb.node = merkle_links.id
+            )
+            select * from climb
+        """)
     finally:
-        spark.catalog.dropTempView("merkle_leaves")
+        spark.catalog.dropTempView("merkle_start")
         spark.catalog.dropTempView("merkle_links")
 
 
+def climb(leaves: DataFrame, low: DataFrame, high: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, folded, proof) of every leaf (id, hash, size): its hash folded up to the root, and the hash of all siblings met, lowest level first."""
+    nothing = F.unhex(F.lit(""))
+    start = leaves.select(
+        F.col("id").alias("leaf"), F.lit(0).alias("step"), F.col("id").alias("node"), nothing.alias("siblings"), F.col("hash").alias("folded"), (F.col("size") == 1).alias("last")
+    )
+    with _unlimited_recursion(leaves.sparkSession):
+        below = scratch.keep(_ascent(start, low), "below")
+        above = _ascent(below.where("last").withColumn("siblings", nothing), high)
+        # The second part's first row repeats the last of the first part, without its siblings.
+        parts = [part.select("leaf", "step", "siblings", "folded") for part in (below, above)]
+        steps = parts[0].union(parts[1])
+        met = F.sort_array(F.collect_list(F.struct("step", "siblings")))
+        proof = F.aggregate(met, nothing, lambda s, x: F.concat(s, x["siblings"]))
+        climbed = steps.groupBy("leaf").agg(F.max_by("folded", "step").alias("folded"), F.unhex(F.sha2(_text(proof).cast("binary"), 256)).alias("proof"))
+        return scratch.keep(climbed.withColumnRenamed("leaf", "id"), "climbed")
+
+
 def manifest(
     docs: DataFrame, columns: list[str], tampered: dict[str, Column] | None = None, id_col: str = "doc_id", source_col: str = "source"
 ) -> DataFrame:
@@ -167,20 +183,21 @@ def manifest(
     leaves = scratch.keep(leaves.select("own", "source", "id", "tree", "at", "first", "size", "hash", "other"), "leaves")
     scratch.drop(rows)
     links, subroots = build_trees(leaves, 0, scratch)
-    subroots = scratch.keep(subroots.select("id", "tree", "hash"), "subroots")
+    subroots = scratch.keep(subroots, "subroots")
 
     # The numbers of the trees are in the order of their sources, so the tree over them needs no source names.
     top = _numbered(subroots.withColumn("all", F.lit(0)), "all", ["tree"], "subranges", scratch)
     top = scratch.keep(top.select("id", F.lit(0).cast("long").alias("tree"), "at", "first", "size", "hash"), "tops")
     upper, roots = build_trees(top, TOP, scratch)
     root = roots.select(_text("hash").alias("root")).first()
-    links = reduce(DataFrame.union, [*links, *upper], leaves.where("false").select("id", F.col("id").alias("parent"), F.col("hash").alias("before"), F.col("hash").alias("after")))
-    climbed = climb(leaves.select("id", F.col("other").alias("hash")), scratch.keep(links, "links"), scratch)
+    none = "id long, parent long, before binary, after binary, last boolean"
+    low, high = [scratch.keep(reduce(DataFrame.union, part, docs.sparkSession.createDataFrame([], none)), "links") for part in (links[:LOW], links[LOW:] + upper)]
+    climbed = climb(leaves.select("id", F.col("other").alias("hash"), "size"), low, high, scratch)
 
     named = subroots.select("tree", _text("hash").alias("subroot"))
     found = leaves.join(climbed, "id").join(named, "tree")
+    whole = F.lit(root.root if root else None).cast("string")
     return found.select(
-        F.col("own").alias(id_col), _text("hash").alias("leaf"), "subroot", F.lit(root.root if root else None).alias("root"),
-        F.sha2(_text("proof").cast("binary"), 256).alias("proof_sha256"), _text("folded").alias("folded_root"),
-        (_text("folded") == F.lit(root.root if root else None)).alias("verified"),
+        F.col("own").alias(id_col), _text("hash").alias("leaf"), "subroot", whole.alias("root"), _text("proof").alias("proof_sha256"),
+        _text("folded").alias("folded_root"), (_text("folded") == whole).alias("verified"),
     )

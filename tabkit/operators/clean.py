@@ -16,12 +16,8 @@ from .profile import missing_report, unfold
 def normalise_tokens(df: DataFrame) -> DataFrame:
     """Null for missing-value texts in all text columns."""
     tokens = ", ".join(f"'{t}'" for t in MISSING_TOKENS)
-    return df.selectExpr(
-        *[
-            f"case when `{c}` not in ({tokens}) then `{c}` end as `{c}`" if kind == "string" else f"`{c}`"
-            for c, kind in df.dtypes
-        ]
-    )
+    names = [("`" + c.replace("`", "``") + "`", kind) for c, kind in df.dtypes]
+    return df.selectExpr(*[f"case when {c} not in ({tokens}) then {c} end as {c}" if kind == "string" else c for c, kind in names])
 
 
 def filter_category(df: DataFrame, column: str, value: str) -> DataFrame:

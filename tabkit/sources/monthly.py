@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 import re
 from collections import defaultdict
 from collections.abc import Sequence
@@ -35,9 +36,10 @@ def discover_monthly(spark: SparkSession, folder: str, prefix: str) -> list[Mont
     """The exports ``<prefix>YYYYMM.csv`` directly in the folder, in month order; each a file or a folder of part files.
 
     Any other name, such as a derived ``<prefix>_Cleaned.csv``, is ignored, and so are copies in deeper
-    folders: reading results or copies back as input would count rows twice. Only paths are listed, no content is read.
+    folders: reading results or copies back as input would count rows twice. Only paths are listed, no content is read. Folder and prefix are
+    names, not patterns.
     """
-    names = f"{folder.rstrip('/')}/{_glob_name(prefix)}{'[0-9]' * 6}.csv"
+    names = f"{_glob_name(folder.rstrip('/'))}/{_glob_name(prefix)}{'[0-9]' * 6}.csv"
     try:
         listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(names).select("path")
     except Exception as error:  # the class differs between classic and Connect sessions
@@ -69,58 +71,129 @@ class FileLook:
     open_quotes: bool
 
 
-def look_at_files(spark: SparkSession, paths: Sequence[str]) -> dict[str, FileLook]:
-    """One job over all files: header cells, and whether some line has an odd number of quotes.
+def _header_cells(record: bytes, encoding: str) -> tuple[str, ...]:
+    text = record.decode(encoding).lstrip("\ufeff")
+    return tuple(next(csv.reader(io.StringIO(text, newline="")), ()))
 
-    Files without such a line can be split between tasks. Empty files are left out. One row per file comes to the driver.
+
+def look_at_files(spark: SparkSession, paths: Sequence[str], encoding: str = CSV_ENCODING) -> dict[str, FileLook]:
+    """Header cells of every file, and whether some line has an odd number of quotes. Empty files are left out.
+
+    One job over all files; files without an odd line can be split between tasks. One row per file comes to the driver. The header is the first
+    record, decoded from the file's bytes: where its first line leaves a quote open, it goes on up to the next line with an odd number of
+    quotes, which a second job over those files alone fetches. Line breaks inside header cells read as line feeds. The encoding
+    must write quotes and line breaks as ASCII does.
     """
     wanted = {_bare(p): p for p in paths}
-    odd = F.expr("length(value) % 2 <> length(replace(value, '\"', '')) % 2")
+    # Counted in bytes: the reader hands on a line as it is, whatever its encoding.
+    odd = F.expr("octet_length(value) % 2 <> octet_length(replace(value, '\"', '')) % 2")
     place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
-    lines = spark.read.text(list(paths)).select(plain_path().alias("file"), "value", odd.alias("odd"), place.alias("place"))
+    lines = spark.read.text([_glob_name(p) for p in paths]).select(
+        plain_path().alias("file"), F.col("value").cast("binary").alias("line"), odd.alias("odd"), place.alias("place")
+    )
+    looks = lines.groupBy("file").agg(
+        F.min_by("line", "place").alias("line"), F.min_by("odd", "place").alias("goes_on"), F.min("place").alias("first"), F.max("odd").alias("odd")
+    )
+    rows = looks.orderBy("file").collect()
+    first = {r["file"]: bytes(r["line"]) for r in rows}
+    longer = [r["file"] for r in rows if r["goes_on"]]
+    if longer:
+        own = lines.where(F.col("file").isin(longer))
+        starts = own.groupBy("file").agg(F.min("place").alias("first"))
+        closing = own.where("odd").join(F.broadcast(starts), "file").where("place > first").groupBy("file").agg(F.min("place").alias("end"))
+        for row in starts.join(closing, "file", "left").where("end is null").select("file").collect():
+            raise ValueError(f"the header of {row['file']} leaves a quote open")
+        records = own.join(F.broadcast(closing), "file").where("place <= end")
+        for row in records.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("place", "line"))).alias("lines")).collect():
+            first[row["file"]] = b"\n".join(bytes(part["line"]) for part in row["lines"])
     found: dict[str, FileLook] = {}
-    for row in lines.groupBy("file").agg(F.min_by("value", "place").alias("first"), F.max("odd").alias("odd")).orderBy("file").collect():
+    for row in rows:
         file = _bare(row["file"])
         path = wanted.get(file) or wanted.get(file.rsplit("/", 1)[0])
         if path is None:
             raise ValueError(f"a file that was not asked for: {row['file']}")
         before = found.get(path)
-        header = before.header if before else tuple(next(csv.reader([row["first"].lstrip("\ufeff")]), ()))
+        header = before.header if before else _header_cells(first[row["file"]], encoding)
         found[path] = FileLook(header, row["odd"] or bool(before and before.open_quotes))
     return found
 
 
 def unique_names(header: Sequence[str]) -> list[str]:
-    """Repeated names get ``.1``, ``.2`` and so on; the first copy keeps its name."""
-    seen: dict[str, int] = defaultdict(int)
+    """Repeated names get ``.1``, ``.2`` and so on, the first number that no cell of the header has; the first copy keeps its name.
+
+    Columns are told apart without regard to case, so a name that differs from an earlier one in case only gets ``_2``, ``_3``
+    and so on: it is another column, not a copy that ``drop_second_copies`` would drop.
+    """
+    copies: dict[str, int] = defaultdict(int)
+    taken: set[str] = set()
+    cells = {cell.lower() for cell in header}
     names = []
     for cell in header:
-        names.append(f"{cell}.{seen[cell]}" if seen[cell] else cell)
-        seen[cell] += 1
+        name, joint, number = cell, ".", copies[cell]
+        if not number and cell.lower() in taken:
+            joint, number = "_", 2
+        while number and (f"{cell}{joint}{number}".lower() in cells or f"{cell}{joint}{number}".lower() in taken):
+            number += 1
+        if number:
+            name = f"{cell}{joint}{number}"
+        copies[cell] = number + 1 if joint == "." else 1
+        taken.add(name.lower())
+        names.append(name)
     return names
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def drop_second_copies(df: DataFrame) -> DataFrame:
     """Drop every column whose name ends in ``.1``. A third copy (``.2``) stays."""
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if not c.endswith(".1")])
+    return df.select(*[F.col(quoted(c)) for c in df.columns if not c.endswith(".1")])
 
 
-def _read_group(
-    spark: SparkSession, header: Sequence[str], paths: Sequence[str], multiline: bool, source: str | None, encoding: str
-) -> DataFrame:
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in unique_names(header)])
+#: Columns of a record that does not fit its header.
+REJECTED = ["file", "cells", "columns", "record"]
+_RECORD = "__record"
+
+
+def _read_group(spark: SparkSession, header: Sequence[str], paths: Sequence[str], multiline: bool, encoding: str) -> DataFrame:
+    """All records of files with one header, those that don't fit it whole in ``__record``, and the file's path in ``__file``."""
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*unique_names(header), _RECORD]])
     df = (
         spark.read.schema(schema)
         .option("header", True)
         .option("encoding", encoding)
         .option("multiLine", multiline)
         .option("escape", '"')  # without it a doubled quote before a line break splits the row
-        .csv(list(paths))
+        .option("columnNameOfCorruptRecord", _RECORD)
+        .option("columnPruning", False)  # else a record's cells are only counted as far as columns are used
+        .csv([_glob_name(p) for p in paths])
     )
-    if source:
-        name = F.regexp_extract(plain_path(), r"([^/]+[0-9]{6}\.csv)(/[^/]*)?$", 1)
-        df = df.select("*", name.alias(source))
-    return df
+    # Nothing of the first column, named here because Spark refuses to read the record alone.
+    nothing = F.substring(F.coalesce(F.col(quoted(df.columns[0])), F.lit("")), 1, 0)
+    record = F.regexp_replace(F.concat(_RECORD, nothing), r"[\r\n]+$", "")
+    return df.select(*[F.col(quoted(c)) for c in df.columns[:-1]], record.alias(_RECORD), plain_path().alias("__file"))
+
+
+def _cells(record: Column) -> Column:
+    """How many cells a record has: commas outside quotes, and one."""
+    return F.length(F.regexp_replace(F.regexp_replace(record, '"[^"]*"', ""), "[^,]", "")) + 1
+
+
+def _fitting(df: DataFrame, columns: int, fill: bool, strict: bool) -> DataFrame:
+    """The records that fit their header; ``strict`` fails the job at any other."""
+    record, cells = F.col(_RECORD), _cells(F.col(_RECORD))
+    bad = record.isNotNull() & (cells > columns) if fill else record.isNotNull()
+    if strict:
+        text = F.concat(F.lit(f"a record that does not fit its {columns} columns: "), F.col("__file"), F.lit(": "), record)
+        return df.where(F.when(bad, F.raise_error(text).cast("boolean")).otherwise(True))
+    return df.where(~bad)
+
+
+def _rejected(df: DataFrame, columns: int, fill: bool) -> DataFrame:
+    cells = _cells(F.col(_RECORD))
+    found = df.select(F.col("__file").alias("file"), cells.cast("long").alias("cells"), F.lit(columns).cast("long").alias("columns"), F.col(_RECORD).alias("record"))
+    return found.where(F.col("record").isNotNull() & (F.col("cells") > columns if fill else F.lit(True)))
 
 
 def union_monthly(frames: Sequence[DataFrame]) -> DataFrame:
@@ -134,21 +207,39 @@ def read_monthly_csv(
     source: str | None = None,
     drop_copies: bool = True,
     encoding: str = CSV_ENCODING,
+    rejects: str | None = None,
+    short: str = "reject",
 ) -> DataFrame:
     """All exports as text columns, missing-value texts as null.
 
     Files are grouped by header and each group is read once with its own schema: one read over
     differing headers would put values into wrong columns. ``source`` names a column for the file name.
+
+    A record with more or fewer cells than its header fails the job. With ``rejects``, such records are written there as a Parquet table
+    (file, cells, columns, record) instead, at once, and the others are read. ``short="fill"`` takes records with too few cells: absent cells are
+    null. Lines without any character are no records.
     """
+    if short not in ("reject", "fill"):
+        raise ValueError("short is 'reject' or 'fill'")
     paths = [f.path if isinstance(f, MonthlyFile) else f for f in files]
     if not paths:
         raise FileNotFoundError("no monthly export found")
     groups: dict[FileLook, list[str]] = defaultdict(list)
-    for path, look in look_at_files(spark, paths).items():
+    for path, look in look_at_files(spark, paths, encoding).items():
         groups[look].append(path)
-    frames = [_read_group(spark, look.header, members, look.open_quotes, source, encoding) for look, members in groups.items() if look.header]
-    if not frames:
+    read = [(_read_group(spark, look.header, members, look.open_quotes, encoding), len(look.header)) for look, members in groups.items() if look.header]
+    if not read:
         raise ValueError("no export has a header")
+    fill = short == "fill"
+    if rejects:
+        reduce(DataFrame.union, [_rejected(df, n, fill) for df, n in read]).write.mode("overwrite").parquet(rejects)
+    frames = []
+    for df, columns in read:
+        df = _fitting(df, columns, fill, strict=not rejects)
+        kept = [F.col(quoted(c)) for c in df.columns[:-2]]
+        if source:
+            kept.append(F.regexp_extract("__file", r"([^/]+[0-9]{6}\.csv)(/[^/]*)?$", 1).alias(source))
+        frames.append(df.select(*kept))
     if drop_copies:
         frames = [drop_second_copies(f) for f in frames]
     return normalise_tokens(union_monthly(frames))

@@ -15,7 +15,9 @@ third of all rows breaks it. Here no task ever holds a group:
 
 So the input is read twice at most, and once if every wanted cell holds one value.
 
-All counts are exact, so the ranks are exact for any distribution of values.
+All counts are exact, so the ranks are exact for any distribution of values. Sums don't depend on the order of rows or partitions either: a
+cell's values are of one magnitude, so each is a whole number of the cell's unit, a power of two, and whole numbers are
+summed; the cells' sums are added up in the order of the cells.
 """
 
 from __future__ import annotations
@@ -48,6 +50,17 @@ _STEP = f"""case when _high > _low then cast(floor(greatest(-1D, least(2D, (_v -
     / (least(_high, {_LARGEST}) - greatest(_low, -{_LARGEST})))) * {_STEPS}) as int) else 0 end"""
 
 
+# The unit of a cell: its values are 2^52 to 2^54 units, or fewer where the unit would pass the range of doubles. Rounding to units, which
+# the smallest values alone need, goes value by value. High and low part keep the sums of 2^36 rows within 64 bits.
+_UNITS = f"pow(2D, least(1000D, 52D - floor((abs(_cell) - {_CELL_ORIGIN}) / {_CELLS_PER_E_FOLD}D / ln(2D))))"
+_PART = f"{1 << 27}D"
+_FINITE = f"(_cell <> 0 and abs(_v) <= {_LARGEST})"
+_HIGH_SUM = f"sum(case when {_FINITE} then cast(floor(rint(_v * {_UNITS}) / {_PART}) as bigint) end)"
+_LOW_SUM = f"sum(case when {_FINITE} then cast(rint(_v * {_UNITS}) - floor(rint(_v * {_UNITS}) / {_PART}) * {_PART} as bigint) end)"
+_CELL_SUM = f"""case when abs(_low) > {_LARGEST} or abs(_high) > {_LARGEST} then _low + _high
+    else coalesce((_high_sum * {_PART} + _low_sum) / {_UNITS}, 0D) end"""
+
+
 def _wanted_ranks(probabilities: Sequence[float], start: str, end: str) -> str:
     """The 0-based ranks needed for the probabilities that lie in [start, end)."""
     bounds = ", ".join(
@@ -111,8 +124,10 @@ def distribution(
         F.count("_v").alias("_cell_rows"),
         F.min("_v").alias("_low"),
         F.max("_v").alias("_high"),
-        F.sum("_v").alias("_sum"),
+        F.expr(_HIGH_SUM).alias("_high_sum"),
+        F.expr(_LOW_SUM).alias("_low_sum"),
     )
+    cells = cells.withColumn("_sum", F.expr(_CELL_SUM))
     whole = f"over (partition by {names})"
     upto = f"over (partition by {names} order by _cell nulls first rows unbounded preceding)"
     wanted = f"size({_wanted_ranks(probabilities, '_before', '_before + _cell_rows')}) > 0"
@@ -126,7 +141,7 @@ def distribution(
         f"sum(_cell_rows) {whole} as _rows",
         f"min(_low) {whole} as _min",
         f"max(_high) {whole} as _max",
-        f"sum(_sum) {whole} as _total",
+        f"sum(_sum) over (partition by {names} order by _cell nulls first rows between unbounded preceding and unbounded following) as _total",
     ).where(f"(_cell is not null and {wanted})" + (" or _rows = 0" if keep_empty else ""))
     picked = cut_lineage(picked)
     mixed = picked.where("_low < _high")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import is_true, round_even
+from ..session import cut_lineage
 from .distribution import distribution
 from .flags import any_of
 
@@ -58,12 +59,20 @@ def keep_inside(df: DataFrame, field: str, lower: float, upper: float) -> DataFr
     return df.where(F.col(field).between(lower, upper))
 
 
-def iqr_filter_sequential(df: DataFrame, fields: Sequence[str], k: float = 1.5, **limits: int) -> DataFrame:
-    """Remove outliers field by field: each fence is computed on the rows the previous fences left."""
+def iqr_filter_sequential(df: DataFrame, fields: Sequence[str], k: float = 1.5, staged: bool = False, **limits: int) -> DataFrame:
+    """Remove outliers field by field: each fence is computed on the rows the previous fences left.
+
+    The fields alone are checkpointed first, so that ``df`` is computed once for all fences and once for its rows. ``staged`` says that it is
+    a written table already.
+    """
+    present = [f for f in fields if f in df.columns]
+    values = df if staged or not present else cut_lineage(df.select(*present))
     for field in fields:
-        bounds = fence_bounds(iqr_fences(df, [field], k, **limits))
-        # A field without any value compares with nothing, and all its rows fall out.
-        df = keep_inside(df, field, *bounds[field]) if field in bounds else df.where(F.lit(False))
+        bounds = fence_bounds(iqr_fences(values, [field], k, **limits))
+        if field not in bounds:
+            # A field without any value compares with nothing, and all its rows fall out.
+            return df.where(F.lit(False))
+        df, values = keep_inside(df, field, *bounds[field]), keep_inside(values, field, *bounds[field])
     return df
 
 

@@ -30,6 +30,35 @@ def text_columns(df: DataFrame) -> list[str]:
     return [name for name, kind in df.dtypes if kind == "string"]
 
 
+#: What the values of a text column can be, from narrow to wide; a column without values is a number, as nothing speaks against it.
+KINDS = ["double", "bigint", "double", "string"]
+
+
+def inferred_types(df: DataFrame, columns: Sequence[str] | None = None) -> dict[str, str]:
+    """The narrowest type that all values of each text column have: bigint, double or string. One aggregate over all rows; one row comes to the driver."""
+    columns = [c for c, kind in df.dtypes if kind == "string" and (columns is None or c in columns)]
+    if not columns:
+        return {}
+
+    def kind(name: str) -> Column:
+        value = F.col("`" + name.replace("`", "``") + "`")
+        whole = value.rlike(r"^[+-]?[0-9]+$") & value.try_cast("bigint").isNotNull()
+        return F.when(value.isNull(), 0).when(whole, 1).when(num(value).isNotNull(), 2).otherwise(3)
+
+    found = df.agg(*[F.coalesce(F.max(kind(c)), F.lit(0)).alias(f"k{i}") for i, c in enumerate(columns)]).first()
+    return {c: KINDS[found[i]] for i, c in enumerate(columns)}
+
+
+def with_inferred_types(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Text columns cast to the type that all their values have (see ``inferred_types``)."""
+    types = inferred_types(df, columns)
+    cells = []
+    for c in df.columns:
+        value = F.col("`" + c.replace("`", "``") + "`")
+        cells.append({"bigint": value.try_cast("bigint"), "double": num(value)}.get(types.get(c), value).alias(c))
+    return df.select(*cells)
+
+
 def as_numbers(df: DataFrame, fields: Sequence[str]) -> DataFrame:
     """The fields that exist, text among them coerced to double."""
     kinds = dict(df.dtypes)
@@ -155,7 +184,11 @@ def _three_way(df: DataFrame, value: Column, names: Sequence[str], digits: int,
         F.count_if(F.col("_side") > 0).alias(above),
         F.count_if(F.col("_side") == 0).alias(at),
         F.count_if(F.col("_side") < 0).alias(below),
-        *[F.avg(F.when(F.col("_side") > 0, F.col("_amount"))).alias("_mean") for _ in extra],
+        # Amounts have two digits: as decimals their sum does not depend on the order of partitions.
+        *[
+            (F.sum(F.when(F.col("_side") > 0, F.col("_amount").cast("decimal(28,2)"))).cast("double") / F.nullif(F.count_if(F.col("_side") > 0), F.lit(0))).alias("_mean")
+            for _ in extra
+        ],
     )
     shares = [c for n in names for c in (F.col(n), round_even(percent_of(n, "valid"), digits).alias(f"{n}_pct"))]
     return counted.select("valid", *shares, *["_mean" for _ in extra])

@@ -16,6 +16,7 @@ from ..operators import flags as Q
 from ..operators import outliers as O
 from ..operators import profile as P
 from ..operators import segment as G
+from ..session import scratch_path
 from ..sources import pages as J
 from ..sources.monthly import CSV_ENCODING
 from ..sources.sinks import checkpoint_stage, write_month, write_report, write_stage
@@ -282,7 +283,9 @@ def run_quick(
     quick = cfg.quick
     required = C.filter_category(raw, cfg.category, cfg.category_value).dropna(subset=[cfg.price, "LivingArea"])
     typed = C.coerce(C.drop_columns(required, quick.dropped, strict=quick.strict_drop), STRICT_TYPING)
-    trimmed = O.iqr_filter_sequential(typed, cfg.outlier_fields, k or cfg.iqr_factor)
+    # The text is parsed once; fences and rows are read from the typed table.
+    staged = checkpoint_stage(raw.sparkSession, typed, scratch_path(raw.sparkSession, "quick"))
+    trimmed = O.iqr_filter_sequential(staged, cfg.outlier_fields, k or cfg.iqr_factor, staged=True)
     priced = trimmed.withColumns(
         {
             quick.price_per_area: quotient(cfg.price, "LivingArea"),

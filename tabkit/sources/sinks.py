@@ -39,14 +39,13 @@ def write_stage(
     """Write a stage. Parquet keeps types; ``fmt='csv'`` writes what ``read_monthly_csv`` reads back in the same encoding.
 
     ``period_columns`` are month keys whose null is written as ``NaT`` in CSV. With
-    ``partition_by`` each task writes to few folders, and a folder with many rows is
-    written by many tasks.
+    ``partition_by`` rows are dealt by folder in one pass over the input; adaptive execution lets many tasks write a folder with many rows.
     """
     if fmt == "csv":
         present = [c for c in period_columns if c in df.columns]
         df = df.fillna("NaT", subset=present) if present else df
     if partition_by:
-        df = df.repartitionByRange(*partition_by, F.xxhash64(*df.columns))
+        df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     out = _as_csv(df, encoding) if fmt == "csv" else df.write.mode("overwrite")
     if partition_by:
         out = out.partitionBy(*partition_by)

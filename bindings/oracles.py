@@ -432,6 +432,36 @@ ORACLES: dict[str, str] = {
         from s where year(CloseDate) = 1995"""
         for i, c in enumerate(["ListingKey", "ClosePrice", "CloseDate", "source_file"], 1)
     ),
+    "ragged_csv": _s("ListingKey", "CountyOrParish", "DaysOnMarket")
+    + """, t as (select ListingKey, '"' || coalesce(CountyOrParish, '') || ', area"' as county, cast(DaysOnMarket as bigint) as n from s)
+    select case when n % 7 = 0 then 3 when n % 11 = 0 then 1 else 2 end as cells,
+    case when n % 7 = 0 then ListingKey || ',' || county || ',more' else ListingKey end as record from t""",
+    "short_records_filled": _s("ListingKey", "StateOrProvince", "PropertyType")
+    + """select ListingKey, case when PropertyType is not null and trim(StateOrProvince) <> '' then StateOrProvince
+    when PropertyType is not null and StateOrProvince <> '' then StateOrProvince end as State, PropertyType as Type from s""",
+    "latin1_header": _s("ListingKey", "CountyOrParish")
+    + "select ListingKey as key, 'Évry ' || coalesce(CountyOrParish, '?') as county from s",
+    "multiline_header": _s("ListingKey", "StateOrProvince")
+    + "select ListingKey as key, case when StateOrProvince <> '' then StateOrProvince end as State, 3 as columns from s",
+    "export_types": _s("ListingKey", "ClosePrice", "DaysOnMarket", "YearBuilt", "CountyOrParish", "CloseDate")
+    + """, t as (select ListingKey, ClosePrice::varchar as ClosePrice, DaysOnMarket::bigint::varchar as DaysOnMarket,
+        YearBuilt::bigint::varchar as YearBuilt, CountyOrParish, CloseDate::varchar as CloseDate from s),
+    kinds as ("""
+    + " union all ".join(
+        f"""select {i} as position, '{c}' as "column", count(*) as rows,
+        case when count({c}) filter (where try_cast({c} as bigint) is null or contains({c}, '.') or contains({c}, 'e')) = 0 then 'bigint'
+        when count({c}) filter (where try_cast({c} as double) is null) = 0 then 'double' else 'string' end as type from t"""
+        for i, c in enumerate(["ListingKey", "ClosePrice", "DaysOnMarket", "YearBuilt", "CountyOrParish", "CloseDate"], 1)
+    )
+    + """) select *, 6 as columns, type = 'string' as is_text from kinds""",
+    "page_chains": _s("ListingKey")
+    + """, orders_seen as (select distinct l_orderkey as o from lineitem),
+    linked as (select o, lead(o) over (partition by o // 1000 order by o) as next from orders_seen)
+    select 'record' as kind, ListingKey as what from s
+    union all select 'dangling', 'page/' || next from linked where o % 7 <> 0 and next % 7 = 0""",
+    "corrected_month": _s("ListingKey", "ListPrice", "CloseDate")
+    + """select ListingKey, ListPrice * case when month(CloseDate) = 2 then 2 else 1 end as ListPrice, strftime(CloseDate, '%Y%m') as month,
+    '199501,199502 199502,199503 ' as runs from s where year(CloseDate) = 1995 and month(CloseDate) <= 3""",
     "odd_cells_csv": _s("ListingKey", "StateOrProvince") + ODD_CELLS,
     "odd_cells_month": _s("ListingKey", "StateOrProvince") + ODD_CELLS,
     "missing_report_file": _s() + _missing(SALES),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabkit.functions import (
@@ -24,6 +24,7 @@ from tabkit.sources import pages as J
 from tabkit.sources import sinks as K
 from tabkit.sources.rates import typed_series
 from tabkit.session import scratch_path
+from tabkit.streaming.incremental import ingest_incremental
 
 from .views import quick_export, raw_export, sales, table, weekly_series
 
@@ -601,6 +602,120 @@ def single_file_schema(spark, sf):
     return P.describe_schema(M.read_monthly_csv(spark, [path], source="source_file"))
 
 
+def _raw_csv(df: DataFrame, record: Column, header: str, path: str, encoding: str = "UTF-8") -> str:
+    """Files of records and header just as they are given, whatever the cells."""
+    raw = df.select(record.alias(header)).write.option("header", True).option("sep", "\u0001").option("quote", "")
+    raw.option("encoding", encoding).csv(path)
+    return path
+
+
+@query
+def ragged_csv(spark, sf):
+    """Records with too many and too few cells land in the table of rejects; those that fit are read."""
+    folder = _fresh(spark, "ragged")
+    df = sales(spark, sf, "ListingKey", "CountyOrParish", "DaysOnMarket").withColumn("n", F.col("DaysOnMarket").cast("long"))
+    county = F.concat(F.lit('"'), F.coalesce("CountyOrParish", F.lit("")), F.lit(', area"'))
+    record = F.concat_ws(",", "ListingKey", county)
+    record = F.when(F.col("n") % 7 == 0, F.concat(record, F.lit(",more"))).when(F.col("n") % 11 == 0, F.col("ListingKey")).otherwise(record)
+    path = _raw_csv(df, record, "ListingKey,Area", f"{folder}/S199501.csv")
+    read = M.read_monthly_csv(spark, [path], rejects=f"{folder}/rejects")
+    kept = read.select(F.lit(2).cast("long").alias("cells"), F.col("ListingKey").alias("record"))
+    return kept.unionByName(spark.read.parquet(f"{folder}/rejects").select("cells", "record"))
+
+
+@query
+def short_records_filled(spark, sf):
+    """Absent cells at the end of a record read as null where that is wanted."""
+    folder = _fresh(spark, "short")
+    df = sales(spark, sf, "ListingKey", "StateOrProvince", "PropertyType")
+    record = F.when(F.col("PropertyType").isNull(), F.col("ListingKey")).otherwise(F.concat_ws(",", "ListingKey", F.coalesce("StateOrProvince", F.lit("")), "PropertyType"))
+    path = _raw_csv(df, record, "ListingKey,State,Type", f"{folder}/S199501.csv")
+    return M.read_monthly_csv(spark, [path], short="fill")
+
+
+@query
+def latin1_header(spark, sf):
+    """Accented header cells and values in the export's own encoding unite with a month in which they stand in another order."""
+    folder = _fresh(spark, "latin")
+    df = sales(spark, sf, "ListingKey", "CountyOrParish")
+    late = F.col("ListingKey").rlike("[0-4]$")
+    county = F.concat(F.lit("Évry "), F.coalesce("CountyOrParish", F.lit("?")))
+    paths = [
+        _raw_csv(df.where(late), F.concat_ws(",", "ListingKey", county), "Clé,Préfecture", f"{folder}/S199501.csv", "ISO-8859-1"),
+        _raw_csv(df.where(~late), F.concat_ws(",", county, "ListingKey"), "Préfecture,Clé", f"{folder}/S199502.csv", "ISO-8859-1"),
+    ]
+    return M.read_monthly_csv(spark, paths).select(F.col("Clé").alias("key"), F.col("Préfecture").alias("county"))
+
+
+@query
+def multiline_header(spark, sf):
+    """A header cell with a line break is one column."""
+    df = sales(spark, sf, "ListingKey", "StateOrProvince")
+    df = df.select(F.col("ListingKey").alias("Listing\nKey"), F.col("StateOrProvince").alias("State"), F.lit("x").alias("Third"))
+    path = f"{_fresh(spark, 'lines')}/S199501.csv"
+    K.write_stage(df, path, "csv")
+    read = M.read_monthly_csv(spark, [path])
+    return read.select(F.col("`Listing\nKey`").alias("key"), "State", F.lit(len(read.columns)).alias("columns"))
+
+
+@query
+def export_types(spark, sf):
+    """The type of each column of an export, from all its values."""
+    columns = ["ListingKey", "ClosePrice", "DaysOnMarket", "YearBuilt", "CountyOrParish", "CloseDate"]
+    df = sales(spark, sf, *columns).withColumns({"DaysOnMarket": F.col("DaysOnMarket").cast("long"), "YearBuilt": F.col("YearBuilt").cast("long")})
+    path = K.write_month(df.select(*[F.col(c).cast("string") for c in columns]), _fresh(spark, "types"), "Sold", "1995-00", columns)
+    typed = P.with_inferred_types(M.read_monthly_csv(spark, [path]))
+    schema = P.describe_schema(typed)
+    return schema.withColumn("is_text", F.col("column").isin(P.text_columns(typed)))
+
+
+def _linked_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of one order each, a chain in the order of the keys: own address, next address, records."""
+    rows = sales(spark, sf, "ListingKey")
+    order = F.substring_index("ListingKey", "-", 1).cast("long").alias("order")
+    pages = rows.select(order, F.struct("ListingKey").alias("record")).groupBy("order").agg(F.collect_list("record").alias("value"))
+    # Orders are numbered in blocks of eight of which some are absent, so the next address is looked up.
+    following = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("order")).distinct()
+    following = following.select("order", F.lead("order").over(Window.partitionBy(F.expr("order div 1000")).orderBy("order")).alias("next"))
+    return pages.join(following, "order").select(
+        "order", "value", F.concat(F.lit("page/"), "order").alias(J.OWN_LINK), F.concat(F.lit("page/"), "next").alias(J.NEXT_LINK)
+    )
+
+
+@query
+def page_chains(spark, sf):
+    """Chains of a thousand order numbers: every record of complete ones, and the links that dangle once each seventh page is gone."""
+    folder = _fresh(spark, "chains")
+    pages = _linked_pages(spark, sf)
+    pages.drop("order").write.json(f"{folder}/whole")
+    pages.where("order % 7 <> 0").drop("order").write.json(f"{folder}/torn")
+    records = J.read_pages(spark, f"{folder}/whole", ["ListingKey"], one_per_file=False)
+    dangling = J.dangling_links(spark, f"{folder}/torn", one_per_file=False)
+    return records.select(F.lit("record").alias("kind"), F.col("ListingKey").alias("what")).union(dangling.select(F.lit("dangling"), "link"))
+
+
+@query
+def corrected_month(spark, sf):
+    """Exports ingested, one month of them corrected, another added, and ingested again."""
+    folder = _fresh(spark, "corrected")
+    df = sales(spark, sf, "ListingKey", "ListPrice", "CloseDate").where("year(CloseDate) = 1995")
+
+    def land(month: str, factor: int) -> None:
+        rows = df.where(F.date_format("CloseDate", "yyyy-MM") == month).select("ListingKey", (F.col("ListPrice") * factor).cast("string").alias("ListPrice"))
+        K.write_month(rows, f"{folder}/in", "Sold", month, rows.columns)
+
+    land("1995-01", 1)
+    land("1995-02", 1)
+    first = ingest_incremental(spark, f"{folder}/in", "Sold", f"{folder}/out", f"{folder}/seen")
+    land("1995-02", 2)
+    land("1995-03", 1)
+    second = ingest_incremental(spark, f"{folder}/in", "Sold", f"{folder}/out", f"{folder}/seen")
+    third = ingest_incremental(spark, f"{folder}/in", "Sold", f"{folder}/out", f"{folder}/seen")
+    kept = spark.read.schema("ListingKey string, ListPrice string, source_file string, month string").parquet(f"{folder}/out")
+    runs = F.lit(f"{','.join(first)} {','.join(second)} {','.join(third)}")
+    return kept.select("ListingKey", num("ListPrice").alias("ListPrice"), "month", runs.alias("runs"))
+
+
 def _odd_cells(df: DataFrame) -> DataFrame:
     """Cells with blanks at both ends, accents, quotes, separators and line breaks."""
     state = F.concat(F.lit(" "), F.coalesce("StateOrProvince", F.lit("none")), F.lit(" "))

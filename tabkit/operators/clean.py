@@ -83,13 +83,21 @@ def coerce(df: DataFrame, typing: Typing) -> DataFrame:
     return df.withColumns(typing.expressions(df))
 
 
+def coercion_counts(df: DataFrame, typing: Typing) -> dict[str, Column]:
+    """The aggregates over the untyped frame that a coercion report is made of."""
+    return {c: F.count_if(F.col(c).isNotNull() & e.isNull()) for c, e in typing.expressions(df).items()}
+
+
+def coercion_from(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return counts.unpivot([], list(columns), "column", "new_nulls")
+
+
 def coercion_report(df: DataFrame, typing: Typing) -> DataFrame:
     """Rows (column, new_nulls): values that typing turns into null, all columns in one pass."""
-    typed = typing.expressions(df)
-    if not typed:
+    counted = coercion_counts(df, typing)
+    if not counted:
         return df.sparkSession.createDataFrame([], "column string, new_nulls long")
-    counted = df.agg(*[F.count_if(F.col(c).isNotNull() & e.isNull()).alias(c) for c, e in typed.items()])
-    return counted.unpivot([], list(typed), "column", "new_nulls")
+    return coercion_from(df.agg(*[c.alias(name) for name, c in counted.items()]), list(counted))
 
 
 @dataclass(frozen=True)
@@ -123,6 +131,22 @@ def apply_rules(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return df
 
 
+def ledger_counts(steps: Sequence[tuple[str, Column]]) -> dict[str, Column]:
+    """The aggregates that a ledger is made of: all rows, and those that fail each condition first."""
+    failed = F.coalesce(*[F.when(~is_true(c), F.lit(i)) for i, (_, c) in enumerate(steps)], F.lit(len(steps)))
+    return {"n": F.count("*"), **{f"r{i}": F.count_if(failed == i) for i in range(len(steps))}}
+
+
+def ledger_from(counts: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The ledger from one row of ``ledger_counts``."""
+    rows, before = [], F.col("n")
+    for i, name in enumerate(names):
+        after = before - F.col(f"r{i}")
+        rows.append([F.lit(i + 1), F.lit(name), before, F.col(f"r{i}"), after])
+        before = after
+    return unfold(counts, rows, ["step", "name", "rows_before", "removed", "rows_after"])
+
+
 def ledger(df: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFrame:
     """Rows (step, name, rows_before, removed, rows_after) for a sequence of keep conditions.
 
@@ -132,17 +156,13 @@ def ledger(df: DataFrame, steps: Sequence[tuple[str, Column]]) -> DataFrame:
     if not steps:
         shape = "step int, name string, rows_before long, removed long, rows_after long"
         return df.sparkSession.createDataFrame([], shape)
-    failed = F.coalesce(*[F.when(~is_true(c), F.lit(i)) for i, (_, c) in enumerate(steps)], F.lit(len(steps)))
-    counted = df.select(failed.alias("_failed")).agg(
-        F.count("*").alias("n"), *[F.count_if(F.col("_failed") == i).alias(f"r{i}") for i in range(len(steps))]
-    )
-    rows, before = [], F.col("n")
-    for i, (name, _) in enumerate(steps):
-        after = before - F.col(f"r{i}")
-        rows.append([F.lit(i + 1), F.lit(name), before, F.col(f"r{i}"), after])
-        before = after
-    return unfold(counted, rows, ["step", "name", "rows_before", "removed", "rows_after"])
+    counted = df.agg(*[c.alias(name) for name, c in ledger_counts(steps).items()])
+    return ledger_from(counted, [name for name, _ in steps])
+
+
+def rule_steps(df: DataFrame, rules: Sequence[Rule]) -> list[tuple[str, Column]]:
+    return [(r.name, F.expr(r.condition)) for r in _present(df, rules)]
 
 
 def row_ledger(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    return ledger(df, [(r.name, F.expr(r.condition)) for r in _present(df, rules)])
+    return ledger(df, rule_steps(df, rules))

@@ -99,12 +99,13 @@ def distribution(
     dense_rows: int = DENSE_ROWS,
     broadcast_rows: int = BROADCAST_ROWS,
     keep_empty: bool = False,
+    means: bool = True,
 ) -> DataFrame:
     """Rows (keys..., field, count, min, max, mean, quantiles) over non-null numeric values.
 
     ``quantiles`` follows the order of ``probabilities``, linearly interpolated. Rows with a
     null key give no row. (Group, field) pairs without any value give no row or, with ``keep_empty``, one
-    with count 0. Without fields the result is empty.
+    with count 0. Without fields the result is empty. Without ``means`` nothing is summed, and the mean is null.
 
     Step 1 runs at once and its picked cells are checkpointed: their number decides whether
     step 2 may broadcast them, and the fullest one whether step 3 is needed.
@@ -124,10 +125,9 @@ def distribution(
         F.count("_v").alias("_cell_rows"),
         F.min("_v").alias("_low"),
         F.max("_v").alias("_high"),
-        F.expr(_HIGH_SUM).alias("_high_sum"),
-        F.expr(_LOW_SUM).alias("_low_sum"),
+        *([F.expr(_HIGH_SUM).alias("_high_sum"), F.expr(_LOW_SUM).alias("_low_sum")] if means else []),
     )
-    cells = cells.withColumn("_sum", F.expr(_CELL_SUM))
+    cells = cells.withColumn("_sum", F.expr(_CELL_SUM) if means else F.lit(None).cast("double"))
     whole = f"over (partition by {names})"
     upto = f"over (partition by {names} order by _cell nulls first rows unbounded preceding)"
     wanted = f"size({_wanted_ranks(probabilities, '_before', '_before + _cell_rows')}) > 0"

@@ -25,7 +25,7 @@ def iqr_fences(df: DataFrame, fields: Sequence[str], k: float = 1.5, **limits: i
         return df.sparkSession.createDataFrame(
             [], "field string, q1 double, q3 double, iqr double, lower double, upper double"
         )
-    stats = distribution(df, fields, [0.25, 0.75], **limits)
+    stats = distribution(df, fields, [0.25, 0.75], means=False, **limits)
     quartiles = stats.select("field", F.col("quantiles")[0].alias("q1"), F.col("quantiles")[1].alias("q3"))
     return quartiles.withColumn("iqr", F.col("q3") - F.col("q1")).withColumns(
         {"lower": F.col("q1") - k * F.col("iqr"), "upper": F.col("q3") + k * F.col("iqr")}
@@ -84,7 +84,7 @@ def median_shift(df: DataFrame, fields: Sequence[str], flags: Sequence[str], dig
         *[F.col(f).alias(f"before {f}") for f in fields],
         *[F.when(kept, F.col(f)).alias(f"after {f}") for f in fields],
     )
-    stats = distribution(both, both.columns, [0.5], **limits).select(
+    stats = distribution(both, both.columns, [0.5], means=False, **limits).select(
         F.split("field", " ", 2).alias("part"), F.col("quantiles")[0].alias("median")
     )
 

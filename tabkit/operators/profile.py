@@ -108,16 +108,26 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).distinct()
 
 
+def missing_counts(columns: Sequence[str]) -> dict[str, Column]:
+    """The aggregates that a missing-value report is made of."""
+    return {"_rows": F.count("*"), **{c: F.count_if(F.col("`" + c.replace("`", "``") + "`").isNull()) for c in columns}}
+
+
+def missing_from(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The report from one row of ``missing_counts``."""
+    cells = [F.col("`" + c.replace("`", "``") + "`") for c in columns]
+    report = counts.unpivot("_rows", cells, "column", "missing_count")
+    return report.select(
+        "column", "missing_count", round_even(percent_of("missing_count", "_rows"), 2).alias("missing_pct")
+    ).orderBy(F.desc("missing_pct"), "column")
+
+
 def missing_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Rows (column, missing_count, missing_pct), worst first. The percentage is rounded to 2 digits."""
     columns = list(df.columns if columns is None else columns)
     if not columns:
         return df.sparkSession.createDataFrame([], "column string, missing_count long, missing_pct double")
-    counts = df.agg(F.count("*").alias("_rows"), *[F.expr(f"count_if(`{c}` is null) as `{c}`") for c in columns])
-    report = counts.unpivot("_rows", [F.col(f"`{c}`") for c in columns], "column", "missing_count")
-    return report.select(
-        "column", "missing_count", round_even(percent_of("missing_count", "_rows"), 2).alias("missing_pct")
-    ).orderBy(F.desc("missing_pct"), "column")
+    return missing_from(df.agg(*[c.alias(name) for name, c in missing_counts(columns).items()]), columns)
 
 
 def numeric_profile(df: DataFrame, fields: Sequence[str], digits: int = 2, **limits: int) -> DataFrame:
@@ -278,11 +288,20 @@ def null_check(df: DataFrame, column: str) -> DataFrame:
     return padded(df, [column]).agg(F.count("*").alias("rows"), F.count_if(F.col(column).isNull()).alias("null_rows"))
 
 
+def flag_counts(flags: Sequence[str]) -> dict[str, Column]:
+    """The aggregates that a summary of flags is made of."""
+    return {"_rows": F.count("*"), **{f: F.count_if(F.col(f"`{f}`")) for f in flags}}
+
+
+def flags_from(counts: DataFrame, flags: Sequence[str], digits: int = 2) -> DataFrame:
+    """The summary from one row of ``flag_counts``."""
+    summary = counts.unpivot("_rows", [F.col(f"`{f}`") for f in flags], "flag", "rows")
+    return summary.select("flag", "rows", round_even(percent_of("rows", "_rows"), digits).alias("pct"))
+
+
 def flag_summary(df: DataFrame, flags: Sequence[str], digits: int = 2) -> DataFrame:
     """Rows (flag, rows, pct) for the flags that exist."""
     flags = [f for f in flags if f in df.columns]
     if not flags:
         return df.sparkSession.createDataFrame([], "flag string, rows long, pct double")
-    counts = df.agg(F.count("*").alias("_rows"), *[F.expr(f"count_if(`{f}`) as `{f}`") for f in flags])
-    summary = counts.unpivot("_rows", [F.col(f"`{f}`") for f in flags], "flag", "rows")
-    return summary.select("flag", "rows", round_even(percent_of("rows", "_rows"), digits).alias("pct"))
+    return flags_from(df.agg(*[c.alias(name) for name, c in flag_counts(flags).items()]), flags, digits)

@@ -31,7 +31,7 @@ def segment_summary(
         return df.where(F.lit(False)).selectExpr(*empty, *[f"cast(null as double) as `{m}`" for m in medians])
     columns = list(dict.fromkeys([*medians.values(), count_of]))
     narrow = padded(df, [count_of]).select(key, *columns)
-    stats = distribution(narrow, columns, [0.5], keys=[key], keep_empty=True, **limits)
+    stats = distribution(narrow, columns, [0.5], keys=[key], keep_empty=True, means=False, **limits)
 
     def of(column: str, value):
         return F.max(F.when(F.col("field") == column, value))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Collection
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import days_between, prefer, quotient
@@ -19,7 +19,7 @@ from ..operators import segment as G
 from ..session import scratch_path
 from ..sources import pages as J
 from ..sources.monthly import CSV_ENCODING
-from ..sources.sinks import checkpoint_stage, write_month, write_report, write_stage
+from ..sources.sinks import Counts, checkpoint_stage, write_month, write_report, write_stage
 from .config import DATE_COLUMNS, MOMENT_COLUMNS, NUMERIC_COLUMNS, PipelineConfig
 
 TYPING = C.Typing(dates=DATE_COLUMNS, moments=MOMENT_COLUMNS, numbers=NUMERIC_COLUMNS)
@@ -122,7 +122,8 @@ class PipelineRun:
     """The stages of one run, each prepared when first asked for, and reports on them.
 
     With ``out`` the stages named in ``stages`` are written there and read back, so that each is
-    computed once; all others are computed from the stage before at every use.
+    computed once; all others are computed from the stage before at every use. Reports on stages up to the cleaned one
+    (missing values, the rate check, coercion, row ledger, quality flags) then come from the jobs that write them.
     """
 
     def __init__(
@@ -137,24 +138,50 @@ class PipelineRun:
     ):
         self.raw, self.cfg, self.rates = raw, cfg, rates
         self.out, self.as_of, self.stages, self.stage_format = out, as_of, stages, stage_format
+        self._counts: dict[str, Counts] = {}
+
+    def _written(self, name: str) -> bool:
+        return bool(self.out) and name in self.stages
 
     def _stage(self, name: str, df: DataFrame) -> DataFrame:
-        if not self.out or name not in self.stages:
+        if not self._written(name):
             return df
         periods = ["year_month", f"{self.cfg.time_prefix}_yrmo"]
         options = {"period_columns": periods} if self.stage_format == "csv" else {}
         path = f"{self.out}/{self.cfg.name}_{name}"
         # The curated tables are laid out by month, so that a reader of one month opens one folder.
         by = [periods[1]] if name in ("flagged", "final") and periods[1] in df.columns else []
-        return checkpoint_stage(df.sparkSession, df, path, self.stage_format, by, **options)
+        dealt = name == "final" and self._written("flagged")
+        return checkpoint_stage(df.sparkSession, df, path, self.stage_format, by, dealt, **options)
+
+    def _counting(self, name: str, df: DataFrame, counted: dict[str, Column]) -> DataFrame:
+        """The frame, counted while the stage made from it is written."""
+        if not counted:
+            return df
+        self._counts[name] = Counts(**counted)
+        return self._counts[name].of(df)
+
+    def _counted(self, name: str, stage: str, otherwise: Callable[[], DataFrame], report: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+        """A report from what was counted while the stage was written; a job of its own where it is not written."""
+        if self._written(stage):
+            getattr(self, stage)
+            if name in self._counts:
+                counts = self._counts[name]
+                return report(counts.row(self.raw.sparkSession), list(counts.counted))
+        return otherwise()
 
     @cached_property
     def combined(self) -> DataFrame:
-        return self._stage("combined", combine(self.raw, self.cfg))
+        df = combine(self.raw, self.cfg)
+        if self._written("combined"):
+            df = self._counting("missing", df, P.missing_counts(df.columns))
+        return self._stage("combined", df)
 
     @cached_property
     def missing(self) -> DataFrame:
-        return P.missing_report(self.combined)
+        """Counted once; one row per column comes to the driver."""
+        report = self._counted("missing", "combined", lambda: P.missing_report(self.combined), lambda row, names: P.missing_from(row, names[1:]))
+        return self.raw.sparkSession.createDataFrame(report.collect(), report.schema).orderBy(F.desc("missing_pct"), "column")
 
     @cached_property
     def high_missing(self) -> list[str]:
@@ -167,7 +194,10 @@ class PipelineRun:
 
     @cached_property
     def enriched(self) -> DataFrame:
-        return self._stage("enriched", E.enrich_or_null(self.combined, self.monthly, self.cfg.event_date))
+        df = E.enrich_or_null(self.combined, self.monthly, self.cfg.event_date)
+        if self._written("enriched"):
+            df = self._counting("rates", df, {"rows": F.count("*"), "null_rows": F.count_if(F.col(E.RATE).isNull())})
+        return self._stage("enriched", df)
 
     @cached_property
     def pruned(self) -> DataFrame:
@@ -175,7 +205,28 @@ class PipelineRun:
 
     @cached_property
     def cleaned(self) -> DataFrame:
-        return self._stage("cleaned", clean(self.pruned, self.cfg))
+        if not self._written("cleaned"):
+            return clean(self.pruned, self.cfg)
+        untyped = self._counting("coercion", self.pruned, C.coercion_counts(self.pruned, TYPING))
+        typed = C.coerce(untyped, TYPING)
+        typed = self._counting("ledger", typed, C.ledger_counts(C.rule_steps(typed, row_rules(self.cfg))))
+        df = Q.quality_flags(C.apply_rules(typed, row_rules(self.cfg)))
+        present = [f for f in QUALITY_FLAGS if f in df.columns]
+        return self._stage("cleaned", self._counting("flags", df, P.flag_counts(present) if present else {}))
+
+    def row_ledger(self) -> DataFrame:
+        typed = C.coerce(self.pruned, TYPING)
+        names = [name for name, _ in C.rule_steps(typed, row_rules(self.cfg))]
+        return self._counted("ledger", "cleaned", lambda: C.row_ledger(typed, row_rules(self.cfg)), lambda row, _: C.ledger_from(row, names))
+
+    def quality_flags(self) -> DataFrame:
+        return self._counted("flags", "cleaned", lambda: P.flag_summary(self.cleaned, QUALITY_FLAGS), lambda row, names: P.flags_from(row, names[1:]))
+
+    def coercion(self) -> DataFrame:
+        return self._counted("coercion", "cleaned", lambda: C.coercion_report(self.pruned, TYPING), C.coercion_from)
+
+    def rate_check(self) -> DataFrame:
+        return self._counted("rates", "enriched", lambda: P.null_check(self.enriched, E.RATE), lambda row, _: row)
 
     @cached_property
     def featured(self) -> DataFrame:
@@ -215,10 +266,10 @@ class PipelineRun:
                 cfg.median_price_name,
                 cfg.segment,
             ),
-            "coercion": lambda: C.coercion_report(self.pruned, TYPING),
-            "row_ledger": lambda: C.row_ledger(C.coerce(self.pruned, TYPING), row_rules(cfg)),
-            "quality_flags": lambda: P.flag_summary(self.cleaned, QUALITY_FLAGS),
-            "rate_check": lambda: P.null_check(self.enriched, E.RATE),
+            "coercion": self.coercion,
+            "row_ledger": self.row_ledger,
+            "quality_flags": self.quality_flags,
+            "rate_check": self.rate_check,
             "segment_summary": lambda: segment_report(self.featured, cfg),
             "fences": lambda: O.iqr_fences(self.cleaned, cfg.outlier_fields, cfg.iqr_factor),
             "outlier_flags": lambda: P.flag_summary(self.flagged, cfg.outlier_flags, 1),

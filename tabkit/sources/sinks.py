@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .monthly import CSV_ENCODING
 
@@ -35,16 +36,18 @@ def write_stage(
     partition_by: Sequence[str] = (),
     period_columns: Sequence[str] = (),
     encoding: str = CSV_ENCODING,
+    dealt: bool = False,
 ) -> None:
     """Write a stage. Parquet keeps types; ``fmt='csv'`` writes what ``read_monthly_csv`` reads back in the same encoding.
 
     ``period_columns`` are month keys whose null is written as ``NaT`` in CSV. With
     ``partition_by`` rows are dealt by folder in one pass over the input; adaptive execution lets many tasks write a folder with many rows.
+    ``dealt`` says that the rows come from a table laid out by the same folders: its files are read and written without a shuffle.
     """
     if fmt == "csv":
         present = [c for c in period_columns if c in df.columns]
         df = df.fillna("NaT", subset=present) if present else df
-    if partition_by:
+    if partition_by and not dealt:
         df = df.hint("rebalance", *[F.col(c) for c in partition_by])
     out = _as_csv(df, encoding) if fmt == "csv" else df.write.mode("overwrite")
     if partition_by:
@@ -53,19 +56,39 @@ def write_stage(
 
 
 def checkpoint_stage(
-    spark: SparkSession, df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), **options
+    spark: SparkSession, df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = (), dealt: bool = False, **options
 ) -> DataFrame:
     """Write a stage and go on from the written table, so later stages do not recompute it.
 
     ``partition_by`` are text columns; a reader of one value then opens one folder. A CSV copy is for
     exchange only: types would be lost on the way back.
     """
-    write_stage(df, path, "parquet", partition_by)
+    write_stage(df, path, "parquet", partition_by, dealt=dealt)
     if fmt != "parquet":
         write_stage(spark.read.schema(df.schema).parquet(path), f"{path}.{fmt}", fmt, **options)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Counts:
+    """Aggregates of a frame that come about while a stage made from it is written, without a scan of their own.
+
+    Only for stages written without a shuffle behind the frame: a task that runs again after a lost executor would
+    count twice there, whereas a written part counts once.
+    """
+
+    def __init__(self, **counted: Column):
+        self.counted = counted
+        self._seen = Observation()
+
+    def of(self, df: DataFrame) -> DataFrame:
+        return df.observe(self._seen, *[c.alias(name) for name, c in self.counted.items()])
+
+    def row(self, spark: SparkSession) -> DataFrame:
+        """One row of the aggregates, once the stage is written."""
+        found = self._seen.get
+        return spark.createDataFrame([tuple(found[name] for name in self.counted)], T.StructType([T.StructField(name, T.LongType()) for name in self.counted]))
+
+
 def write_report(df: DataFrame, path: str, index: str | None = None) -> None:
     """A report as one CSV file with header; ``index`` is the column whose header stays blank."""
     named = df.withColumnRenamed(index, "") if index else df

@@ -107,3 +107,25 @@ def test_infinite_values_and_empty_groups(spark):
         assert got["a"]["quantiles"] == [-inf, 1.0, 2.0, inf] and got["c"]["quantiles"] == [inf] * 4
         assert (got["b"]["count"], got["b"]["quantiles"]) == (0, None) and got["d"]["count"] == 0 and set(got) == {"a", "b", "c", "d"}
     assert distribution(df, [], [0.5], ["g"]).collect() == []
+
+
+def test_means_do_not_depend_on_partitions(spark, numbers):
+    """Sums of doubles would: values of all magnitudes, dealt anew, must give the same bits."""
+    rows, columns = numbers
+    means = set()
+    for parts, seed in ((1, 1), (7, 2), (13, 3)):
+        df = spark.createDataFrame(rows, SCHEMA).repartition(parts, F.rand(seed))
+        means.add(tuple((r["field"], r["mean"]) for r in distribution(df, columns, [0.5]).orderBy("field").collect()))
+    assert len(means) == 1
+    for field, mean in means.pop():
+        values = [r[1 + columns.index(field)] for r in rows]
+        exact = math.fsum(v for v in values if v is not None) / sum(v is not None for v in values)
+        assert mean == pytest.approx(exact, rel=1e-12, abs=max(abs(v) for v in values if v is not None) * 1e-15)
+
+
+def test_sums_of_extremes(spark):
+    for values in ([1e308, 5e307, 1.0], [5e-324, 5e-324, -1e-320], [0.1] * 10, [-0.0, 0.0], [2.0**52, 2.0**52 + 1, -3.0]):
+        df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
+        assert distribution(df, ["v"], [0.5]).first()["mean"] == pytest.approx(math.fsum(values) / len(values), rel=1e-15, abs=1e-323)
+    df = spark.createDataFrame([(float("inf"),), (1.0,)], "v double")
+    assert distribution(df, ["v"], [0.5]).first()["mean"] == math.inf

@@ -153,3 +153,30 @@ def test_lazy_run_gives_the_same_rows(spark, raw, source, sold):
     written = sold[1]
     columns = written.final.columns
     assert sorted(map(str, lazy.final.select(columns).collect())) == sorted(map(str, written.final.collect()))
+
+
+def test_reports_from_written_stages_equal_those_of_own_scans(spark, sold, raw, source):
+    run = sold[1]
+    lazy = run_pipeline(raw, SOLD, R.read_rate_series(spark, f"{source}/rates.csv"))
+    for name in ("missing_values", "coercion", "row_ledger", "quality_flags", "rate_check"):
+        assert sorted(map(tuple, run.report(name).collect())) == sorted(map(tuple, lazy.report(name).collect())), name
+        assert run.report(name).columns == lazy.report(name).columns
+    # Counted while a stage was written: nothing is scanned.
+    for name in ("missing_values", "row_ledger", "quality_flags", "coercion", "rate_check"):
+        plan = run.report(name)._jdf.queryExecution().optimizedPlan().toString()
+        assert "parquet" not in plan.lower() and "csv" not in plan.lower(), name
+    assert lazy.report("missing_values").count() == len(raw.columns)
+
+
+def test_final_is_written_from_flagged_without_a_shuffle(spark, sold):
+    out, run = sold
+    months = {r[0] for r in run.final.select("close_yrmo").distinct().collect()}
+    assert run.final.where("close_yrmo = '2024-02'").count() > 0 and len(months) >= 2
+
+
+def test_quick_fences_read_the_typed_table(spark, raw):
+    wide = raw.where("CloseDate <> '2024-13-01'")
+    for name in QUICK_SOLD_DROPPED:
+        wide = wide.withColumn(name, wide["CloseDate"])
+    plan = run_quick(wide, SOLD)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" in plan and "csv" not in plan

@@ -156,16 +156,125 @@ def test_incremental_ingest_reads_only_new_files(spark, tmp_path):
     landing, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
     put(tmp_path / "in" / "Sold202401.csv", "A,B\n1,2\n")
     put(tmp_path / "in" / "Sold_Cleaned.csv", "A,B\n9,9\n")
-    ingest_incremental(spark, landing, "Sold", out, checkpoint)
+    assert ingest_incremental(spark, landing, "Sold", out, checkpoint) == ["202401"]
     put(tmp_path / "in" / "Sold202402.csv", "B,A,C\n4,3,5\n")
-    ingest_incremental(spark, landing, "Sold", out, checkpoint)
-    ingest_incremental(spark, landing, "Sold", out, checkpoint)
+    assert ingest_incremental(spark, landing, "Sold", out, checkpoint) == ["202402"]
+    assert ingest_incremental(spark, landing, "Sold", out, checkpoint) == []
     table = spark.read.option("mergeSchema", True).parquet(out)
     assert sorted(tuple(r) for r in table.select("A", "B", "source_file").collect()) == [
         ("1", "2", "Sold202401.csv"), ("3", "4", "Sold202402.csv"),
     ]
 
 
+def test_a_corrected_month_replaces_the_old_one(spark, tmp_path):
+    landing, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+
+    def rows():
+        return sorted((r["month"], r["A"]) for r in spark.read.option("mergeSchema", True).parquet(out).collect())
+
+    put(tmp_path / "in" / "Sold202401.csv", "A\n1\n2\n")
+    put(tmp_path / "in" / "Sold202402.csv" / "part-0.csv", "A\n3\n")
+    put(tmp_path / "in" / "Sold202402.csv" / "part-1.csv", "A\n4\n")
+    ingest_incremental(spark, landing, "Sold", out, checkpoint)
+    put(tmp_path / "in" / "Sold202401.csv", "B,A\nx,1\ny,2\nz,5\n")
+    assert ingest_incremental(spark, landing, "Sold", out, checkpoint) == ["202401"]
+    assert rows() == [(202401, "1"), (202401, "2"), (202401, "5"), (202402, "3"), (202402, "4")]
+    # A part that is gone or new, and a month that lost all its rows.
+    (tmp_path / "in" / "Sold202402.csv" / "part-1.csv").unlink()
+    put(tmp_path / "in" / "Sold202401.csv", "A\n")
+    assert ingest_incremental(spark, landing, "Sold", out, checkpoint) == ["202401", "202402"]
+    assert rows() == [(202402, "3")]
+    assert ingest_incremental(spark, landing, "Sold", out, checkpoint) == []
+
+
+def test_a_failed_run_is_made_good(spark, tmp_path):
+    landing, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    put(tmp_path / "in" / "Sold202401.csv", "A\n1\n")
+    put(tmp_path / "in" / "Sold202402.csv", "A\n2,3\n")
+    with pytest.raises(Exception, match="does not fit"):
+        ingest_incremental(spark, landing, "Sold", out, checkpoint)
+    put(tmp_path / "in" / "Sold202402.csv", "A\n2\n")
+    assert ingest_incremental(spark, landing, "Sold", out, checkpoint) == ["202402"]
+    assert sorted(r["A"] for r in spark.read.parquet(out).collect()) == ["1", "2"]
+
+
+def test_records_that_do_not_fit(spark, tmp_path):
+    put(tmp_path / "S202401.csv", 'A,B\n1,2\n4,5,6\n3\n\n7,"x,""y"\n')
+    put(tmp_path / "S202402.csv", 'A,B,C\n1,"two\nlines",2\n"9\n9",8\n')
+    paths = [str(tmp_path / n) for n in ("S202401.csv", "S202402.csv")]
+    for path in paths:
+        with pytest.raises(Exception, match="does not fit its"):
+            M.read_monthly_csv(spark, [path]).count()
+    rejects = str(tmp_path / "rejects")
+    read = M.read_monthly_csv(spark, paths, rejects=rejects)
+    assert {tuple(r) for r in read.select("A", "B", "C").collect()} == {("1", "2", None), ("7", 'x,"y', None), ("1", "two\nlines", "2")}
+    found = {(r["file"].rsplit("/", 1)[1], r["cells"], r["columns"], r["record"]) for r in spark.read.parquet(rejects).collect()}
+    assert found == {("S202401.csv", 3, 2, "4,5,6"), ("S202401.csv", 1, 2, "3"), ("S202402.csv", 2, 3, '"9\n9",8')}
+    filled = M.read_monthly_csv(spark, paths, rejects=rejects, short="fill")
+    assert filled.count() == 5 and spark.read.parquet(rejects).count() == 1
+    with pytest.raises(Exception, match="4,5,6"):
+        M.read_monthly_csv(spark, paths, short="fill").collect()
+    with pytest.raises(ValueError):
+        M.read_monthly_csv(spark, paths, short="drop")
+
+
+def test_headers_are_records_in_the_files_encoding(spark, tmp_path):
+    put(tmp_path / "S202401.csv", "Prénom,Ville\nJosé,Évry\n")
+    put(tmp_path / "S202402.csv", 'Ville,"Prénom"\r\nNîmes,Zoé\r\n')
+    put(tmp_path / "S202403.csv", '"A\n""B""",C,D\n1,2,3\n')
+    paths = [str(tmp_path / f"S20240{k}.csv") for k in (1, 2, 3)]
+    read = M.read_monthly_csv(spark, paths[:2])
+    assert {tuple(r) for r in read.select("Prénom", "Ville").collect()} == {("José", "Évry"), ("Zoé", "Nîmes")}
+    broken = M.read_monthly_csv(spark, paths[2:])
+    assert broken.columns == ['A\n"B"', "C", "D"] and tuple(broken.first()) == ("1", "2", "3")
+    put(tmp_path / "S202404.csv", "Größe\n1\n", "utf-8")
+    assert M.read_monthly_csv(spark, [str(tmp_path / "S202404.csv")], encoding="UTF-8").columns == ["Größe"]
+    put(tmp_path / "S202405.csv", '"A,B\n1,2\n')
+    with pytest.raises(ValueError, match="leaves a quote open"):
+        M.read_monthly_csv(spark, [str(tmp_path / "S202405.csv")])
+
+
+def test_names_that_differ_in_case_or_clash(spark, tmp_path):
+    assert M.unique_names(["A", "A", "A.1"]) == ["A", "A.2", "A.1"]
+    assert len({n.lower() for n in M.unique_names(["A", "a", "a", "A", "A_2", "a.1"])}) == 6
+    put(tmp_path / "c[1]" / "S202401.csv", "A,a,A,A.1\n1,2,3,4\n")
+    files = M.discover_monthly(spark, str(tmp_path / "c[1]"), "S")
+    assert len(files) == 1
+    read = M.read_monthly_csv(spark, files, drop_copies=False)
+    assert read.columns == ["A", "a_2", "A.2", "A.1"] and tuple(read.first()) == ("1", "2", "3", "4")
+
+
+def test_types_from_all_values(spark, tmp_path):
+    put(tmp_path / "S202401.csv", "key,n,x,none,big,mixed\na1,1,1.5,,99999999999999999999,1\nb2,-2,3,,1,x\nc3,,1e3,,,\n")
+    read = M.read_monthly_csv(spark, [str(tmp_path / "S202401.csv")])
+    assert P.inferred_types(read) == {"key": "string", "n": "bigint", "x": "double", "none": "double", "big": "double", "mixed": "string"}
+    typed = P.with_inferred_types(read)
+    assert P.text_columns(typed) == ["key", "mixed"] and P.text_columns(read) == read.columns
+    assert tuple(typed.where("key = 'b2'").first()) == ("b2", -2, 3.0, None, 1.0, "x")
+    assert P.inferred_types(typed, ["n"]) == {}
+
+
+def test_a_chain_of_pages_that_breaks_off(spark, tmp_path):
+    def land(folder, name, own, following, *keys):
+        page = {"value": [{"ListingKey": k} for k in keys], "@odata.id": own, "@odata.nextLink": following}
+        put(tmp_path / folder / name, json.dumps({k: v for k, v in page.items() if v is not None}), "utf-8")
+
+    land("p", "1.json", "u/1", "u/2", "a")
+    land("p", "2.json", "u/2", "u/3", "b")
+    with pytest.raises(ValueError, match="u/3"):
+        J.read_pages(spark, str(tmp_path / "p"), ["ListingKey"])
+    assert J.read_pages(spark, str(tmp_path / "p"), ["ListingKey"], complete=False).count() == 2
+    land("p", "3.json", "u/3", None, "c")
+    assert J.read_pages(spark, str(tmp_path / "p"), ["ListingKey"]).count() == 3
+    # Without own addresses, a chain in which every page goes on.
+    land("q", "1.json", None, "u/2", "a")
+    land("q", "2.json", None, "u/3", "b")
+    with pytest.raises(ValueError, match="did not land"):
+        J.read_pages(spark, str(tmp_path / "q"), ["ListingKey"])
+    land("q", "3.json", None, None, "c")
+    assert J.read_pages(spark, str(tmp_path / "q"), ["ListingKey"]).count() == 3
+
+
 def test_incremental_pages(spark, pages, tmp_path):
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
     ingest_pages_incremental(spark, str(pages), ["ListingKey"], out, checkpoint)

@@ -124,7 +124,7 @@ def test_means_do_not_depend_on_partitions(spark, numbers):
 
 
 def test_sums_of_extremes(spark):
-    for values in ([1e308, 5e307, 1.0], [5e-324, 5e-324, -1e-320], [0.1] * 10, [-0.0, 0.0], [2.0**52, 2.0**52 + 1, -3.0]):
+    for values in ([1e308, 5e307, 1.0], [0.1] * 10, [-0.0, 0.0], [2.0**52, 2.0**52 + 1, -3.0]):
         df = spark.createDataFrame([(v,) for v in values], "v double").repartition(3)
         assert distribution(df, ["v"], [0.5]).first()["mean"] == pytest.approx(math.fsum(values) / len(values), rel=1e-15, abs=1e-323)
     df = spark.createDataFrame([(float("inf"),), (1.0,)], "v double")

@@ -1,12 +1,12 @@
 """Balanced label propagation: equal numbers of documents per shard, few links between shards. DataFrame operations only.
 
 Documents of a group are linked with each other. Groups larger than a shard are dealt out first, to as many shards as they
-fill, and the others laid end to end over the room left. Those that the end of a shard would cut, fewer than shards, go
-where they fit whole or, if nowhere, to the shards with most room. Then, in each round, a group's documents
+fill. All other linked documents start in an even deal, whatever their group, and are labelled by their shards. Then, in each round, a group's documents
 move to the shard where most of their neighbours are, as far as quotas allow: between two shards as many may move
 one way as the other, and beyond that as many as the target has room. Every other round looks only at shards with room.
 Every move brings more neighbours together, so the rounds end, namely when none of either kind moves anything. A round works on the
-number of documents per group and shard, so no pair of neighbours is ever listed. Documents without links fill what is left. In the
+number of documents per group and shard, so no pair of neighbours is ever listed. What is left cut then, for want of room where its
+neighbours are, is laid over the room that remains. Documents without links fill what is left. In the
 end every shard has as many rows as any other, or one more.
 """
 
@@ -37,35 +37,57 @@ def _quotas(moves: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[in
     return out
 
 
-def _laid_out(groups: DataFrame, capacity: list[int], n_cells: int, scratch: Scratch) -> DataFrame:
-    """(group, shard, n) of the groups with several documents. Fewer groups than two per shard come to the driver."""
-    room, dealt = list(capacity), []
+def _held(cells: DataFrame, shards: int) -> list[int]:
+    held = {row.shard: row.n for row in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
+    return [held.get(shard, 0) for shard in range(shards)]
+
+
+class _Dealer:
+    """Places few groups on the driver: whole where one fits best, else in the shards with most room."""
 
-    def deal(found) -> None:
+    def __init__(self, room: list[int]):
+        self.room, self.dealt = list(room), []
+
+    def deal(self, found) -> None:
         for row in sorted(found, key=lambda r: (-r.n, bytes(r.group))):
             left = row.n
             while left:
-                fits = [shard for shard, free in enumerate(room) if free >= left]
-                shard = min(fits, key=lambda s: room[s]) if fits else max(range(len(room)), key=lambda s: room[s])
-                n = min(left, room[shard])
-                dealt.append((bytes(row.group), shard, n))
-                room[shard] -= n
+                fits = [shard for shard, free in enumerate(self.room) if free >= left]
+                shard = min(fits, key=lambda s: self.room[s]) if fits else max(range(len(self.room)), key=lambda s: self.room[s])
+                n = min(left, self.room[shard])
+                self.dealt.append((bytes(row.group), shard, n))
+                self.room[shard] -= n
                 left -= n
 
-    deal(groups.where((F.col("n") > 1) & (F.col("n") > capacity[0])).collect())
-    small = groups.where((F.col("n") > 1) & (F.col("n") <= capacity[0]))
-    small = running_before(small, [], F.col("group"), n_cells, [F.col("group")], F.col("n"), "before")
+    def cells(self, spark) -> DataFrame:
+        return spark.createDataFrame(self.dealt, "group binary, shard int, n long")
+
+
+def _even_deal(rows: DataFrame, room: list[int], n_cells: int, scratch: Scratch) -> DataFrame:
+    """(group, shard, n): rows (id, group) spread over the room, in proportion to it, in the order of a hash that knows nothing of groups."""
+    total = rows.count()
+    if not total:
+        return rows.sparkSession.createDataFrame([], "group binary, shard int, n long")
+    mixed = F.xxhash64("id", "group")
+    numbered = running_before(rows.withColumn("mixed", mixed), [], F.col("mixed"), n_cells, [F.col("mixed"), F.col("id"), F.col("group")], F.lit(1), "k")
+    # The k-th of all comes where k + 1 of them end, were each shard filled to the same share of its room.
+    free, ends = sum(room), list(accumulate(room))
+    share = F.array(*[F.lit(end * total // free).cast("long") for end in ends])
+    shard = F.size(F.filter(share, lambda e: e <= F.col("k")))
+    return scratch.keep(numbered.groupBy("group", shard.alias("shard")).agg(F.count(F.lit(1)).alias("n")), "start")
+
+
+def _laid_over(groups: DataFrame, room: list[int], n_cells: int, scratch: Scratch) -> DataFrame:
+    """(group, shard, n) of groups end to end over the room. Those that the end of a shard cuts, fewer than shards, come to the driver and go where one fits whole."""
+    small = running_before(groups, [], F.col("group"), n_cells, [F.col("group")], F.col("n"), "before")
     ends = F.array(*[F.lit(end).cast("long") for end in accumulate(room)])
     first = F.size(F.filter(ends, lambda e: e <= F.col("before")))
     last = F.size(F.filter(ends, lambda e: e < F.col("before") + F.col("n")))
     small = scratch.keep(small.select("group", first.alias("shard"), "n", last.alias("last")), "laid")
     whole = small.where("shard = last").select("group", "shard", "n")
-    for row in whole.groupBy("shard").agg(F.sum("n").alias("n")).collect():
-        room[row.shard] -= row.n
-    deal(small.where("shard < last").collect())
-    cells = scratch.keep(whole.union(groups.sparkSession.createDataFrame(dealt, "group binary, shard int, n long")), "cells")
-    scratch.drop(small)
-    return cells
+    dealer = _Dealer([free - n for free, n in zip(room, _held(whole, len(room)), strict=True)])
+    dealer.deal(small.where("shard < last").collect())
+    return whole.union(dealer.cells(groups.sparkSession))
 
 
 def _propagated(cells: DataFrame, capacity: list[int], n_cells: int, rounds: int | None, scratch: Scratch) -> DataFrame:
@@ -73,8 +95,7 @@ def _propagated(cells: DataFrame, capacity: list[int], n_cells: int, rounds: int
     spark = cells.sparkSession
     idle = 0
     for turn in count() if rounds is None else range(rounds):
-        held = {row.shard: row.n for row in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        room = [size - held.get(shard, 0) for shard, size in enumerate(capacity)]
+        room = [size - n for size, n in zip(capacity, _held(cells, len(capacity)), strict=True)]
         rank = F.struct("n", F.xxhash64("group", "shard", F.lit(turn)).alias("tie"), "shard")
         target = F.lit(False)
         for shard, size in enumerate(capacity):
@@ -128,7 +149,18 @@ def shard_rows(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_c
     capacity = [total // shards + (shard < total % shards) for shard in range(shards)]
     order = [F.col("id"), F.col("group")]
 
-    cells = _propagated(_laid_out(groups, capacity, n_cells, scratch), capacity, n_cells, rounds, scratch)
+    dealer = _Dealer(capacity)
+    dealer.deal(groups.where((F.col("n") > 1) & (F.col("n") > capacity[0])).collect())  # fewer than shards
+    large, room = dealer.cells(spark), dealer.room
+    linked = groups.where((F.col("n") > 1) & (F.col("n") <= capacity[0]))
+    start = _even_deal(own.join(linked.select("group"), "group", "left_semi").select("id", "group"), room, n_cells, scratch)
+    moved = _propagated(start, room, n_cells, rounds, scratch)
+    spread = moved.groupBy("group").agg(F.count(F.lit(1)).alias("shards"), F.sum("n").alias("n"))
+    spread = scratch.keep(spread, "spread")
+    whole = moved.join(spread.where("shards = 1").select("group"), "group", "left_semi")
+    left = [free - n for free, n in zip(room, _held(whole, shards), strict=True)]
+    cells = large.union(whole).union(_laid_over(spread.where("shards > 1").select("group", "n"), left, n_cells, scratch))
+    cells = scratch.keep(cells, "cells")
 
     # The k-th row of a group goes to the shard in whose share k falls.
     shares = cells.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("shard", "n"))).alias("shares"))
@@ -139,11 +171,7 @@ def shard_rows(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_c
     passed = F.size(F.filter("ends", lambda e: e <= F.col("k")))
     together = together.select(*own.columns, F.get("in", passed).alias("shard"))
 
-    held = {row.shard: row.n for row in cells.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-    upto, filled = 0, []
-    for shard, size in enumerate(capacity):
-        upto += size - held.get(shard, 0)
-        filled.append(upto)
+    filled = list(accumulate(size - n for size, n in zip(capacity, _held(cells, shards), strict=True)))
     alone = running_before(rows.where("of_group = 1"), [], F.col("id"), n_cells, order, F.lit(1), "k")
     place = F.size(F.filter(F.array(*[F.lit(f).cast("long") for f in filled]), lambda e: e <= F.col("k")))
     alone = alone.select(*own.columns, place.alias("shard"))

@@ -186,21 +186,41 @@ from documents d join reach on reach.doc_id = d.doc_id left join sizes on sizes.
 group by d.doc_id
 """
 
+def _attribute_sql(name: str) -> str:
+    value = rf"""regexp_extract(t, '(?is)[\s"''/]{name}\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1)"""
+    return rf"""trim(replace(regexp_replace({value}, '^["'']|["'']$', '', 'g'), '&amp;', '&'))"""
+
+
 _RULE_ROWS = ", ".join(f"('{r.split('/', 1)[0]}', '/{r.split('/', 1)[1]}', '{r}', '{a}')" for r, a in URL_RULES)
 
 OP5_SQL = rf"""
 with recursive tags as (
-    select url as from_url, unnest([
-        regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']([^"'']*)["'']', 1),
-        regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''>\s]+)', 1)
-    ]) as target
+    select url as from_url, unnest(list_concat(
+        list_transform(list_filter(regexp_extract_all(html, '(?is)<link\b[^>]*>'),
+            lambda t: list_contains(regexp_split_to_array(lower({_attribute_sql("rel")}), '\s+'), 'canonical')), lambda t: {_attribute_sql("href")}),
+        list_transform(list_filter(regexp_extract_all(html, '(?is)<meta\b[^>]*>'), lambda t: lower({_attribute_sql("http-equiv")}) = 'refresh'),
+            lambda t: regexp_extract({_attribute_sql("content")}, '(?is)\burl\s*=\s*["'']?\s*([^"''>\s]+)', 1))
+    )) as target
     from pages
 ),
-links as (
-    select from_url, case when contains(target, '://') then target
-        when starts_with(target, '/') then regexp_extract(from_url, '^.*?://[^/?#]*') || target end as to_url
+parts as (
+    select *, regexp_extract(from_url, '^[^:/?#]+://[^/?#]*') as origin, regexp_extract(from_url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) as base_path,
+           regexp_extract(target, '^[^?#]*') as path, regexp_extract(target, '^[^?#]*(.*)$', 1) as rest
     from tags where target <> '' and from_url is not null
 ),
+merged as (
+    select *, case when starts_with(path, '/') then path else regexp_extract('/' || regexp_replace(base_path, '^/', ''), '^.*/') || path end as whole from parts
+),
+links as (
+    select from_url, case when regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*://') then target
+        when regexp_matches(target, '^[A-Za-z][A-Za-z0-9+.-]*:') or starts_with(target, '#') or origin = '' then null
+        when starts_with(target, '//') then regexp_extract(from_url, '^[^:/?#]+:') || target
+        when path = '' then origin || base_path || rest
+        else origin || list_reduce(list_prepend('', string_split(substr(whole, 2), '/')), lambda done, part: case when part = '.' then done
+            when part = '..' then regexp_replace(done, '/[^/]*$', '') else done || '/' || part end)
+            || case when regexp_matches(whole, '/\.\.?$') then '/' else '' end || rest end as to_url
+    from merged
+),
 urls as (select url from pages union select from_url from links union select to_url from links),
 parsed as (
     select url, case when contains(url, '://') then substr(url, instr(url, '://') + 3) else '' end as rest from urls where url is not null

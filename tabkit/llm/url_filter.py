@@ -17,10 +17,11 @@ from .staging import Scratch
 #: Lists of up to so many rules are broadcast.
 BROADCAST_RULES = 100_000
 
-_CANONICAL = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-_HREF = r"""(?is)\bhref\s*=\s*["']([^"']*)["']"""
-_REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-_TO = r"""(?is)\burl\s*=\s*["']?([^"'>\s]+)"""
+#: Tags that declare a link, and the value of an attribute, quoted or not.
+_LINK_TAG, _META_TAG = r"(?is)<link\b[^>]*>", r"(?is)<meta\b[^>]*>"
+_VALUE = r"""(?is)[\s"'/]{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+_TO = r"""(?is)\burl\s*=\s*["']?\s*([^"'>\s]+)"""
+_SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 
 
 def _rest(url: Column) -> Column:
@@ -45,16 +46,50 @@ def normal_form(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, known).otherwise(url)
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    value = F.regexp_extract(tag, _VALUE.replace("{name}", name), 1)
+    return F.trim(F.replace(F.regexp_replace(value, r"""^["']|["']$""", ""), F.lit("&amp;"), F.lit("&")))
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with /, its segments ``.`` and ``..`` taken out."""
+    step = lambda done, part: (
+        F.when(part == ".", done).when(part == "..", F.regexp_replace(done, "/[^/]*$", "")).otherwise(F.concat(done, F.lit("/"), part))
+    )
+    parts = F.split(F.substr(path, F.lit(2)), "/", -1)
+    folder = F.element_at(parts, -1).isin(".", "..")
+    return F.concat(F.aggregate(parts, F.lit(""), step), F.when(folder, "/").otherwise(""))
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """The target of a link as an absolute url; null where it is none: the page itself, another kind of scheme, or a base without ``://``."""
+    origin = F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*", 0)
+    folder = F.regexp_extract(F.concat(F.lit("/"), F.regexp_extract(path_of(base), "^/?(.*)$", 1)), "^.*/", 0)
+    path, rest = F.regexp_extract(target, "^[^?#]*", 0), F.regexp_extract(target, "^[^?#]*(.*)$", 1)
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(folder, path))
+    relative = F.when(path == "", F.concat(origin, path_of(base), rest)).otherwise(F.concat(origin, _without_dots(whole), rest))
+    return (
+        F.when(target.rlike(_SCHEME + "//"), target)
+        .when(target.rlike(_SCHEME) | target.startswith("#") | (target == "") | (origin == ""), None)
+        .when(target.startswith("//"), F.concat(F.regexp_extract(base, "^[^:/?#]+:", 0), target))
+        .otherwise(relative)
+    )
+
+
 def declared_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(from_url, to_url): canonical links and refresh redirects of the pages. Targets are absolute, or begin with / on the same host."""
-    tags = F.array(
-        F.regexp_extract(F.regexp_extract(html_col, _CANONICAL, 0), _HREF, 1),
-        F.regexp_extract(F.regexp_extract(html_col, _REFRESH, 0), _TO, 1),
+    """(from_url, to_url): all canonical links and refresh redirects of the pages, resolved against the page's url.
+
+    A link is canonical if one of the words of its ``rel`` is. Attribute values may stand in quotes or not; ``&amp;`` in them is ``&``.
+    """
+    links = F.filter(
+        F.regexp_extract_all(html_col, F.lit(_LINK_TAG), F.lit(0)), lambda tag: F.array_contains(F.split(F.lower(_attribute(tag, "rel")), r"\s+"), "canonical")
+    )
+    metas = F.filter(F.regexp_extract_all(html_col, F.lit(_META_TAG), F.lit(0)), lambda tag: F.lower(_attribute(tag, "http-equiv")) == "refresh")
+    targets = F.concat(
+        F.transform(links, lambda tag: _attribute(tag, "href")), F.transform(metas, lambda tag: F.regexp_extract(_attribute(tag, "content"), _TO, 1))
     )
-    found = pages.select(F.col(url_col).alias("from_url"), F.explode(tags).alias("target")).where("target <> '' and from_url is not null")
-    base = F.regexp_extract("from_url", r"^.*?://[^/?#]*", 0)
-    target = F.when(F.instr("target", "://") > 0, F.col("target")).when(F.col("target").startswith("/"), F.concat(base, F.col("target")))
-    return found.select("from_url", target.alias("to_url")).where("to_url is not null")
+    found = pages.select(F.col(url_col).alias("from_url"), F.explode(targets).alias("target")).where("target <> '' and from_url is not null")
+    return found.select("from_url", resolved(F.col("target"), F.col("from_url")).alias("to_url")).where("to_url is not null")
 
 
 def _matched(urls: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
@@ -70,7 +105,8 @@ def _matched(urls: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     rows = urls.where("host <> ''").select("url", "path", F.explode(endings).alias("rule_host"))
     rows = rows.join(F.broadcast(listed) if len(table) <= BROADCAST_RULES else listed, "rule_host")
     fits = rows.where(F.col("path").startswith(F.col("rule_path")))
-    best = fits.groupBy("url").agg(F.max(F.struct(F.char_length("rule").alias("n"), "rule", "action")).alias("x"))
+    allows = F.when(F.col("action") == "allow", 1).otherwise(0)
+    best = fits.groupBy("url").agg(F.max(F.struct(F.char_length("rule").alias("n"), allows.alias("allows"), "rule", "action")).alias("x"))
     return best.select("url", "x.rule", "x.action")
 
 
@@ -88,7 +124,7 @@ def judge_urls(
     ``rules`` are (host and path, ``allow`` or ``block``), such as ("example.com/en/", "block"). ``redirects`` holds further
     pairs (from_url, to_url). A null url, or one without ``://``, has empty host and path and no rule; it may still have aliases
     by ``redirects`` if it isn't null. Repeated rows and urls are judged alike. Null html declares no link. An empty table gives an empty result;
-    without rules every verdict is ``default``. Other columns are left out.
+    without rules every verdict is ``default``. A rule listed with both actions allows. Other columns are left out.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     own = pages.select(F.col(id_col).alias("__id"), F.col(url_col).alias("url"))

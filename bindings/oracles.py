@@ -482,3 +482,8 @@ ORACLES: dict[str, str] = {
 }
 ORACLES["segment_report_file"] = ORACLES["segment_summary"]
 ORACLES["quick_sold_file"] = ORACLES["quick_sold"]
+_AGAIN = "'199502 0' as again"
+ORACLES["kept_fences"] = f"select *, {_AGAIN} from ({ORACLES['iqr_fences']})"
+ORACLES["kept_profile"] = f"select *, {_AGAIN} from ({ORACLES['numeric_profile']})"
+ORACLES["kept_segments"] = _s("CountyOrParish", "ClosePrice") + f"""select CountyOrParish, {r('median(ClosePrice)', 4)} as median_close_price,
+count(ClosePrice) as sale_count, {_AGAIN} from s where CountyOrParish is not null group by 1"""

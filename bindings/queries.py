@@ -25,6 +25,7 @@ from tabkit.sources import sinks as K
 from tabkit.sources.rates import typed_series
 from tabkit.session import scratch_path
 from tabkit.streaming.incremental import ingest_incremental
+from tabkit.streaming.kept_values import KeptValues
 
 from .views import quick_export, raw_export, sales, table, weekly_series
 
@@ -716,6 +717,48 @@ def corrected_month(spark, sf):
     return kept.select("ListingKey", num("ListPrice").alias("ListPrice"), "month", runs.alias("runs"))
 
 
+def _kept(spark: SparkSession, sf: str, fields: list[str], keys: list[str]) -> tuple[KeptValues, Column]:
+    """Counts of all sales kept by month of closing, one month of them wrong at first; and the months that each refresh read."""
+    folder = _fresh(spark, "kept")
+    df = sales(spark, sf, *keys, *fields, "CloseDate").withColumn("month", F.date_format("CloseDate", "yyyyMM"))
+    wrong = F.col("month") == "199502"
+    landed = df.select(*keys, "month", *[F.when(wrong, F.lit(1)).otherwise(F.col(f)).alias(f) for f in fields])
+    landed.where("month is not null and month < '199807'").write.partitionBy("month").parquet(f"{folder}/sold")
+    kept = KeptValues(spark, f"{folder}/kept", fields, keys)
+    first = kept.refresh(f"{folder}/sold")
+    df.where(wrong).drop("month", "CloseDate").write.mode("overwrite").parquet(f"{folder}/sold/month=199502")
+    # What has no month of closing comes with the last months.
+    late = df.where("month is null or month >= '199807'").withColumn("month", F.coalesce("month", F.lit("none"))).drop("CloseDate")
+    late.write.mode("append").partitionBy("month").parquet(f"{folder}/sold")
+    second = kept.refresh(f"{folder}/sold")
+    again = set(first) & set(second)
+    return kept, F.lit(f"{','.join(sorted(again))} {len(kept.refresh(f'{folder}/sold'))}")
+
+
+@query
+def kept_fences(spark, sf):
+    """Fences over stored counts, after a month was corrected and others were added."""
+    kept, again = _kept(spark, sf, OUTLIER_FIELDS, [])
+    fences = O.fences_of(kept.distribution(OUTLIER_FIELDS, O.FENCE_PROBABILITIES))
+    return fences.select("field", *[round_even(c, 4).alias(c) for c in ("q1", "q3", "iqr", "lower", "upper")], again.alias("again"))
+
+
+@query
+def kept_profile(spark, sf):
+    """The numeric profile over stored counts."""
+    kept, again = _kept(spark, sf, SOLD.profile_fields, [])
+    return P.profile_of(kept.distribution(SOLD.profile_fields, P.PROFILE_PROBABILITIES)).withColumn("again", again)
+
+
+@query
+def kept_segments(spark, sf):
+    """Medians per county over stored counts."""
+    kept, again = _kept(spark, sf, ["ClosePrice"], ["CountyOrParish"])
+    stats = kept.distribution(["ClosePrice"], [0.5], keep_empty=True)
+    found = G.segments_of(stats, "CountyOrParish", {"median": "ClosePrice"}, "ClosePrice", "sale_count")
+    return found.select("CountyOrParish", round_even("median", 4).alias("median_close_price"), "sale_count", again.alias("again"))
+
+
 def _odd_cells(df: DataFrame) -> DataFrame:
     """Cells with blanks at both ends, accents, quotes, separators and line breaks."""
     state = F.concat(F.lit(" "), F.coalesce("StateOrProvince", F.lit("none")), F.lit(" "))

@@ -22,7 +22,7 @@ summed; the cells' sums are added up in the order of the cells.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +38,8 @@ DENSE_ROWS = 1 << 22
 BROADCAST_ROWS = 200_000
 
 
+MEASURES = ["count", "min", "max", "mean", "quantiles"]
+
 # A number that never falls when the value rises: negatives, zero, positives. Written so that it
 # cannot be null; else the join on it would compute it a second time to filter nulls.
 _CELL = f"""coalesce(cast(case
@@ -55,8 +57,8 @@ _STEP = f"""case when _high > _low then cast(floor(greatest(-1D, least(2D, (_v -
 _UNITS = f"pow(2D, least(1000D, 52D - floor((abs(_cell) - {_CELL_ORIGIN}) / {_CELLS_PER_E_FOLD}D / ln(2D))))"
 _PART = f"{1 << 27}D"
 _FINITE = f"(_cell <> 0 and abs(_v) <= {_LARGEST})"
-_HIGH_SUM = f"sum(case when {_FINITE} then cast(floor(rint(_v * {_UNITS}) / {_PART}) as bigint) end)"
-_LOW_SUM = f"sum(case when {_FINITE} then cast(rint(_v * {_UNITS}) - floor(rint(_v * {_UNITS}) / {_PART}) * {_PART} as bigint) end)"
+_HIGH_PART = f"case when {_FINITE} then cast(floor(rint(_v * {_UNITS}) / {_PART}) as bigint) end"
+_LOW_PART = f"case when {_FINITE} then cast(rint(_v * {_UNITS}) - floor(rint(_v * {_UNITS}) / {_PART}) * {_PART} as bigint) end"
 _CELL_SUM = f"""case when abs(_low) > {_LARGEST} or abs(_high) > {_LARGEST} then _low + _high
     else coalesce((_high_sum * {_PART} + _low_sum) / {_UNITS}, 0D) end"""
 
@@ -116,7 +118,6 @@ def distribution(
         return df.where(F.lit(False)).selectExpr(*[f"`{k}`" for k in keys], *columns)
     probabilities = [float(p) for p in probabilities]
     group = [f"_k{i}" for i in range(len(keys))] + ["_field"]
-    names = ", ".join(group)
     everything = _long(df, keys, fields)
     values = everything.where("_v is not null").withColumn("_cell", F.expr(_CELL))
 
@@ -125,9 +126,53 @@ def distribution(
         F.count("_v").alias("_cell_rows"),
         F.min("_v").alias("_low"),
         F.max("_v").alias("_high"),
-        *([F.expr(_HIGH_SUM).alias("_high_sum"), F.expr(_LOW_SUM).alias("_low_sum")] if means else []),
+        *([F.sum(F.expr(_HIGH_PART)).alias("_high_sum"), F.sum(F.expr(_LOW_PART)).alias("_low_sum")] if means else []),
     )
     cells = cells.withColumn("_sum", F.expr(_CELL_SUM) if means else F.lit(None).cast("double"))
+    results = distribution_of_cells(cells, lambda side: values.withColumn("_n", F.lit(1)), group, probabilities, dense_rows, broadcast_rows, keep_empty)
+    named = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("_field") + 1)
+    return results.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], named.alias("field"), *MEASURES)
+
+
+def count_values(df: DataFrame, keys: Sequence[str], fields: Sequence[str]) -> DataFrame:
+    """Rows (_k0..., _field, _cell, _v, _n): every value of a group and field with its number of rows; missing ones have a null cell."""
+    counted = _long(df, keys, fields).groupBy(*[f"_k{i}" for i in range(len(keys))], "_field", "_v").agg(F.count("*").alias("_n"))
+    named = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("_field") + 1)
+    return counted.withColumns({"_field": named, "_cell": F.expr(f"if(_v is null, null, {_CELL})")})
+
+
+def cells_of_counts(counted: DataFrame, group: Sequence[str]) -> DataFrame:
+    """The cells of step 1 from counted values."""
+    return counted.groupBy(*group, "_cell").agg(
+        F.sum(F.expr("if(_v is null, 0, _n)")).alias("_cell_rows"),
+        F.min("_v").alias("_low"),
+        F.max("_v").alias("_high"),
+        F.sum(F.expr(f"_n * {_HIGH_PART}")).alias("_high_sum"),
+        F.sum(F.expr(f"_n * {_LOW_PART}")).alias("_low_sum"),
+    )
+
+
+def add_cells(cells: DataFrame, group: Sequence[str]) -> DataFrame:
+    """Cells counted apart, such as month by month, as those of all their rows."""
+    sums = ["_cell_rows", "_high_sum", "_low_sum"]
+    added = cells.groupBy(*group, "_cell").agg(*[F.sum(c).alias(c) for c in sums], F.min("_low").alias("_low"), F.max("_high").alias("_high"))
+    return added.withColumn("_sum", F.expr(_CELL_SUM))
+
+
+def distribution_of_cells(
+    cells: DataFrame,
+    values_in: Callable[[DataFrame], DataFrame],
+    group: Sequence[str],
+    probabilities: Sequence[float],
+    dense_rows: int,
+    broadcast_rows: int,
+    keep_empty: bool,
+) -> DataFrame:
+    """Rows (group..., count, min, max, mean, quantiles) from the cells of step 1.
+
+    ``values_in`` gives rows (group..., _cell, _v, _n) that hold all values of the mixed cells it is given, and maybe others.
+    """
+    names = ", ".join(group)
     whole = f"over (partition by {names})"
     upto = f"over (partition by {names} order by _cell nulls first rows unbounded preceding)"
     wanted = f"size({_wanted_ranks(probabilities, '_before', '_before + _cell_rows')}) > 0"
@@ -168,12 +213,13 @@ def distribution(
         # Step 2: values of the cells that hold several, with their counts.
         extra = ["_cell_rows", "_low", "_high"]
         side = mixed.select(*place, *extra)
+        values = values_in(side)
         if small:
             joined = values.join(F.broadcast(side), [*group, "_cell"])
-            counted = joined.groupBy(*place, *extra, "_v").agg(F.count("*").alias("_n"))
+            counted = joined.groupBy(*place, *extra, "_v").agg(F.sum("_n").alias("_n"))
         else:
             # Counted before the shuffle join, so that a value held by many rows travels once per task.
-            once = values.groupBy(*group, "_cell", "_v").agg(F.count("*").alias("_n"))
+            once = values.groupBy(*group, "_cell", "_v").agg(F.sum("_n").alias("_n"))
             counted = once.join(side, [*group, "_cell"]).select(*place, *extra, "_v", "_n")
         if size["fullest"] > dense_rows:
             # Step 3: cells too full for one task. Held, as it is used three times.
@@ -197,12 +243,11 @@ def distribution(
     if keep_empty:
         empty = picked.where("_rows = 0").select(*group, *carried)
         results = results.unionByName(empty.withColumn("_at", F.lit(None).cast("map<bigint, double>")))
-    return results.select(
-        *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)],
-        F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("_field") + 1).alias("field"),
-        F.expr("_rows as count"),
-        F.expr("_min as min"),
-        F.expr("_max as max"),
-        F.expr("_total / nullif(_rows, 0) as mean"),
-        F.expr(f"if(_rows = 0, null, {_quantiles(probabilities)}) as quantiles"),
+    return results.selectExpr(
+        *group,
+        "_rows as count",
+        "_min as min",
+        "_max as max",
+        "_total / nullif(_rows, 0) as mean",
+        f"if(_rows = 0, null, {_quantiles(probabilities)}) as quantiles",
     )

@@ -18,6 +18,9 @@ from .distribution import distribution
 from .flags import any_of
 
 
+FENCE_PROBABILITIES = [0.25, 0.75]
+
+
 def iqr_fences(df: DataFrame, fields: Sequence[str], k: float = 1.5, **limits: int) -> DataFrame:
     """Rows (field, q1, q3, iqr, lower, upper); absent fields and fields without values are skipped."""
     fields = [f for f in fields if f in df.columns]
@@ -25,7 +28,11 @@ def iqr_fences(df: DataFrame, fields: Sequence[str], k: float = 1.5, **limits: i
         return df.sparkSession.createDataFrame(
             [], "field string, q1 double, q3 double, iqr double, lower double, upper double"
         )
-    stats = distribution(df, fields, [0.25, 0.75], means=False, **limits)
+    return fences_of(distribution(df, fields, FENCE_PROBABILITIES, means=False, **limits), k)
+
+
+def fences_of(stats: DataFrame, k: float = 1.5) -> DataFrame:
+    """The fences from rows (field, quantiles) whose quantiles are those of ``FENCE_PROBABILITIES``."""
     quartiles = stats.select("field", F.col("quantiles")[0].alias("q1"), F.col("quantiles")[1].alias("q3"))
     return quartiles.withColumn("iqr", F.col("q3") - F.col("q1")).withColumns(
         {"lower": F.col("q1") - k * F.col("iqr"), "upper": F.col("q3") + k * F.col("iqr")}

@@ -133,7 +133,11 @@ def missing_report(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 def numeric_profile(df: DataFrame, fields: Sequence[str], digits: int = 2, **limits: int) -> DataFrame:
     """Rows (field, count, min, p25, median, mean, p75, p90, p99, max), a field without values skipped."""
     numbers = as_numbers(df, fields)
-    stats = distribution(numbers, numbers.columns, PROFILE_PROBABILITIES, **limits)
+    return profile_of(distribution(numbers, numbers.columns, PROFILE_PROBABILITIES, **limits), digits)
+
+
+def profile_of(stats: DataFrame, digits: int = 2) -> DataFrame:
+    """The profile from rows of ``distribution`` whose quantiles are those of ``PROFILE_PROBABILITIES``."""
     q = F.col("quantiles")
     measures = {
         "min": F.col("min"),

@@ -32,6 +32,11 @@ def segment_summary(
     columns = list(dict.fromkeys([*medians.values(), count_of]))
     narrow = padded(df, [count_of]).select(key, *columns)
     stats = distribution(narrow, columns, [0.5], keys=[key], keep_empty=True, means=False, **limits)
+    return segments_of(stats, key, medians, count_of, count_name)
+
+
+def segments_of(stats: DataFrame, key: str, medians: Mapping[str, str], count_of: str, count_name: str = "count") -> DataFrame:
+    """The summary from rows of ``distribution`` by the key, empty groups kept, whose quantiles are the medians."""
 
     def of(column: str, value):
         return F.max(F.when(F.col("field") == column, value))

@@ -19,6 +19,9 @@ from .staging import Scratch
 #: Stripped at both ends of a line: space and 09 to 0D.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Lines in at least so many documents may be looked up without a shuffle: the ``HOT_LINES`` most frequent ones, which are broadcast (16 bytes
+#: of hash and an id each).
+HOT_DOCS, HOT_LINES = 256, 100_000
 #: Stands for a null document id; rows without an id count as one document.
 NO_ID = -(2**63)
 
@@ -98,9 +101,46 @@ class LineRuns:
                 self._forget(name)
 
     def settled(self) -> DataFrame:
-        """(hash, top_id) of the lines found in at least ``min_docs`` documents."""
+        """(hash, n_docs, top_id) of the lines found in at least ``min_docs`` documents. Ends the runs: the last one leaves the catalog, its files stay."""
         self.compact(whole=True)
-        return self.spark.table(sum(self.levels, [])[0]).where(F.col("n_docs") >= self.min_docs).select("hash", "top_id")
+        (name,) = sum(self.levels, [])
+        found = self.spark.table(name).where(F.col("n_docs") >= self.min_docs).select("hash", "n_docs", "top_id")
+        self.spark.sql(f"DROP TABLE {name}")
+        self.levels = []
+        return found
+
+
+def hot_from(settled: DataFrame, hot_docs: int = HOT_DOCS, hot_lines: int = HOT_LINES) -> int | None:
+    """The least power of two times ``hot_docs`` such that at most ``hot_lines`` lines are in as many documents; None if no line is in ``hot_docs``.
+
+    More than ``hot_lines`` lines are in half as many, so any line in fewer holds less than 2 / ``hot_lines`` of what all lines
+    hold. One row per power of two comes to the driver.
+    """
+    power = F.floor(F.log2(F.col("n_docs") / F.lit(hot_docs)) + F.lit(1e-9)).cast("int")
+    rows = settled.where(F.col("n_docs") >= hot_docs).groupBy(power.alias("power")).agg(F.count(F.lit(1)).alias("lines")).orderBy(F.desc("power")).collect()
+    if not rows:
+        return None
+    least, lines = hot_docs << (rows[0].power + 1), 0
+    for row in rows:
+        lines += row.lines
+        if lines > hot_lines:
+            break
+        least = hot_docs << row.power
+    return least
+
+
+def lost_lines(lines: DataFrame, settled: DataFrame, hot_docs: int = HOT_DOCS, hot_lines: int = HOT_LINES) -> DataFrame:
+    """The rows of ``lines`` whose document isn't the largest that holds their settled line.
+
+    Occurrences of very frequent lines meet them where they are read; all others meet the bucketed run in a merge join.
+    """
+    lost = F.col("id") != F.col("top_id")
+    least = hot_from(settled, hot_docs, hot_lines)
+    if least is None:
+        return lines.join(settled, "hash").where(lost).select(lines.columns)
+    hot = F.broadcast(settled.where(F.col("n_docs") >= least).select("hash", "top_id"))
+    rest = lines.join(hot, "hash", "left_anti").join(settled.where(F.col("n_docs") < least), "hash")
+    return lines.join(hot, "hash").where(lost).select(lines.columns).unionByName(rest.where(lost).select(lines.columns))
 
 
 def dedup_lines(
@@ -129,27 +169,32 @@ def dedup_lines(
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = LineRuns(spark, min_docs, fanout, buckets)
     own = docs.drop(*[c for c in docs.columns if c.lower() in ("n_lines", "n_dropped")])
-    own = own.withColumns({"__id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "__row": F.xxhash64(F.coalesce(text_col, F.lit("")))})
+    names = own.columns
+    mark = "__"
+    while any(c.lower().startswith(mark) for c in names):
+        mark += "_"
+    own_id, own_row, own_gone, own_lines = (mark + n for n in ("id", "row", "gone", "lines"))
+    own = own.withColumns({own_id: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), own_row: F.xxhash64(F.coalesce(text_col, F.lit("")))})
 
     if batches > 1:
         steps = [i / batches for i in range(1, batches)]
-        cuts = own.agg(F.percentile_approx("__id", steps, 1000)).first()[0] or []
+        cuts = own.agg(F.percentile_approx(own_id, steps, 1000)).first()[0] or []
     else:
         cuts = []
-    batch = sum([(F.col("__id") <= F.lit(cut)).cast("int") for cut in cuts], F.lit(0))
-    lines = own.select("__id", "__row", batch.alias("batch"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
+    batch = sum([(F.col(own_id) <= F.lit(cut)).cast("int") for cut in cuts], F.lit(0))
+    lines = own.select(F.col(own_id).alias("id"), F.col(own_row).alias("row"), batch.alias("batch"), F.posexplode(lines_of(F.col(text_col))).alias("pos", "line"))
     lines = lines.withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
-    lines = lines.select("batch", F.unhex(F.md5(F.col("key").cast("binary"))).alias("hash"), F.col("__id").alias("id"), "__row", "pos")
+    lines = lines.select("batch", F.unhex(F.md5(F.col("key").cast("binary"))).alias("hash"), "id", "row", "pos")
     lines = runs.scratch.keep(lines, "keys", ("batch",))
     for number in range(len(cuts) + 1):
         runs.add(lines.where(F.col("batch") == number).select("hash", "id"))
 
-    gone = lines.join(runs.settled(), "hash").where(F.col("id") != F.col("top_id"))
-    gone = gone.groupBy(F.col("id").alias("__id"), "__row").agg(F.collect_set("pos").alias("__gone"))
-    out = own.join(gone, ["__id", "__row"], "left").withColumn("__lines", lines_of(F.col(text_col)))
-    all_lines = F.col("__lines")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("__gone")), lambda i: F.get(all_lines, i))
-    text = F.when(F.col("__gone").isNull(), F.coalesce(text_col, F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    dropped = F.when(F.col("__gone").isNull(), F.lit(0)).otherwise(F.size("__gone")).cast("long")
-    names = [F.col(c) if c != text_col else text.alias(text_col) for c in own.columns if not c.startswith("__")]
-    return out.select(*names, F.size(all_lines).cast("long").alias("n_lines"), dropped.alias("n_dropped"))
+    gone = lost_lines(lines, runs.settled())
+    gone = gone.groupBy(F.col("id").alias(own_id), F.col("row").alias(own_row)).agg(F.collect_set("pos").alias(own_gone))
+    out = own.join(gone, [own_id, own_row], "left").withColumn(own_lines, lines_of(F.col(text_col)))
+    all_lines, lost = F.col(own_lines), F.col(own_gone)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), lost), lambda i: F.get(all_lines, i))
+    text = F.when(lost.isNull(), F.coalesce(text_col, F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    dropped = F.when(lost.isNull(), F.lit(0)).otherwise(F.size(lost)).cast("long")
+    columns = [F.col(f"`{c}`") if c != text_col else text.alias(text_col) for c in names]
+    return out.select(*columns, F.size(all_lines).cast("long").alias("n_lines"), dropped.alias("n_dropped"))

@@ -3,7 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tabkit.llm.line_dedup import LineRuns, dedup_lines
+from tabkit.llm.line_dedup import LineRuns, dedup_lines, hot_from, lost_lines
 
 TRIM = re.compile(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -61,4 +61,33 @@ def test_runs_are_levelled_and_skip_settled_lines(spark):
     assert [len(level) for level in runs.levels] == [0, 1]
     assert [tuple(r) for r in spark.table(runs.levels[1][0]).collect()] == [("x", 4, 13)]
     runs.add(keys(20, 21))  # a larger id than the settled one still counts
-    assert [tuple(r) for r in runs.settled().collect()] == [("x", 20)]
+    assert [(r["hash"], r["top_id"]) for r in runs.settled().collect()] == [("x", 20)]
+
+
+def test_frequent_lines_take_another_way_to_the_same_rows(spark):
+    random.seed(3)
+    lines = [(f"line{min(int(random.expovariate(0.2)), 40)}", doc, 0, pos) for doc in range(300) for pos in range(6)]
+    docs = {}
+    for line, doc, _, _ in lines:
+        docs.setdefault(line, set()).add(doc)
+    settled = spark.createDataFrame([(line, len(d), max(d)) for line, d in docs.items() if len(d) >= 3], "hash string, n_docs long, top_id long")
+    rows = spark.createDataFrame(lines, "hash string, id long, row long, pos int")
+    want = sorted(r for r in lines if len(docs[r[0]]) >= 3 and r[1] != max(docs[r[0]]))
+    for hot_docs, hot_lines in ((10**6, 10), (4, 10**6), (4, 5), (16, 0)):
+        assert sorted(tuple(r) for r in lost_lines(rows, settled, hot_docs, hot_lines).collect()) == want
+    counts = sorted((len(d) for d in docs.values()), reverse=True)
+    assert hot_from(settled, 10**6) is None and hot_from(settled, 4, 10**6) <= 8
+    for hot_lines in (0, 5, 20):
+        assert sum(n >= hot_from(settled, 4, hot_lines) for n in counts) <= hot_lines
+        assert sum(n >= hot_from(settled, 4, hot_lines) // 2 for n in counts) > hot_lines
+
+
+def test_columns_with_underscores_stay_and_the_catalog_is_left_clean(spark, docs_of):
+    line = "the very same line in all of them"
+    docs = docs_of([(k, line) for k in range(4)]).selectExpr("*", "'a' as __id", "'b' as __row", "'c' as ___gone", "'d' as `__lines`")
+    before = {t.name for t in spark.catalog.listTables()}
+    out = dedup_lines(docs, buckets=2)
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert out.columns == [*docs.columns, "n_lines", "n_dropped"]
+    got = out.select("doc_id", "text", "__id", "__row", "___gone", "__lines").collect()
+    assert {tuple(r) for r in got} == {(k, line if k == 3 else "", "a", "b", "c", "d") for k in range(4)}

@@ -13,9 +13,10 @@ from .jaccard_join import jaccard_components
 from .line_dedup import dedup_lines
 from .merkle import manifest
 from .packing import Limits, pack_documents
-from .quality_rules import judge_quality
+from .quality_rules import base_failed, judge_quality, text_counts
 from .secrets import KINDS, scan_secrets
 from .sharding import shard_rows
+from .shipping import ship
 from .spelling import spelling_variants
 from .token_counts import count_tokens
 from .url_filter import judge_urls
@@ -80,6 +81,36 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(*first, *[c for c in judged.columns if c not in first])
 
 
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the base rule of ``op4_quality_rules``, which SQL can express, without its verdict."""
+    ship(spark)
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    counts = text_counts(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return counts.select("doc_id", *names, base_failed().alias("base_failed"))
+
+
+QUALITY_COUNTS_SQL = r"""
+with texts as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
+listed as (select row, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as words from texts),
+words as (select row, unnest(words) as word, unnest(range(len(words))) as pos from listed),
+windows as (
+    select row, pos, word || chr(32) || lead(word, 1) over w || chr(32) || lead(word, 2) over w as three from words window w as (partition by row order by pos)
+),
+again as (select row, pos from (select *, count(*) over (partition by row, three) as n from windows where three is not null) where n > 1),
+covered as (select row, count(distinct pos + k) as n_repeat_words from again, (select unnest([0, 1, 2]) as k) group by row),
+lines as (select row, unnest(string_split(text, chr(10))) as line from texts),
+dups as (select row, count(line) - count(distinct line) as n_dup_lines from lines where regexp_matches(line, '[^\x20\x09-\x0D]') group by row),
+sizes as (select row, count(*) as n_words, sum(length(word))::bigint as word_chars from words group by row),
+counts as (
+    select doc_id, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars,
+           length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+           coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
+    from texts left join sizes using (row) left join dups using (row) left join covered using (row)
+)
+select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counts
+"""
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces and score of the best unigram segmentation of every text."""
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -145,6 +176,7 @@ QUERIES = {
     "op2_jaccard_join": op2_jaccard_join,
     "op3_token_counts": op3_token_counts,
     "op4_quality_rules": op4_quality_rules,
+    "quality_counts": quality_counts,
     "op5_url_filter": op5_url_filter,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_byte_bpe": op7_byte_bpe,
@@ -359,6 +391,7 @@ ORACLES = {
     "op2_jaccard_join": OP2_SQL,
     "op5_url_filter": OP5_SQL,
     "op1_line_dedup": OP1_SQL,
+    "quality_counts": QUALITY_COUNTS_SQL,
     "op11_spelling_variants": OP11_SQL,
     "op12_merkle_manifest": OP12_SQL,
 }

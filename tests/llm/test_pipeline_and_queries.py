@@ -15,7 +15,7 @@ def test_query_agrees_with_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES if name.startswith("op")) == list(range(1, 14))
 
 
 def test_stages_one_by_one(spark, tmp_path):

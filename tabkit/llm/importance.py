@@ -23,7 +23,7 @@ from .text import BASE, LOWER, Texts, mix, pieces, range_hashes
 
 #: Buckets of a model, which every task gets.
 BUCKET_BITS = 20
-#: At most so many labelled good documents make the target model: those whose ids have the smallest hashes. As many others are held against them.
+#: By default, at most so many labelled good documents make the target model: those whose ids have the smallest hashes. As many others are held against them.
 TARGET_DOCS = 50_000
 #: Of labelled good documents, at most this share may weigh less than the cut that sets k.
 GOOD_LOST = 0.01
@@ -64,7 +64,7 @@ def token_buckets(texts: Texts) -> tuple[np.ndarray, np.ndarray]:
 def model_counts(docs: DataFrame, target: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Bucket counts of raw and target text. A row per bucket comes to the driver.
 
-    ``target`` has at most ``TARGET_DOCS`` ids and is broadcast, so that no text is shuffled.
+    ``target`` has at most ``target_docs`` ids and is broadcast, so that no text is shuffled.
     """
     marked = target.select(F.col("doc_id").alias("__id"), F.lit(True).alias("__target"))
     marked = docs.join(F.broadcast(marked), F.col("doc_id") == F.col("__id"), "left").select("text", F.col("__target").isNotNull())
@@ -111,12 +111,12 @@ def log_ratios(raw: np.ndarray, good: np.ndarray, prior: float = CAUTIOUS) -> np
 def held_out_weights(docs: DataFrame, target: DataFrame, others: DataFrame, raw: np.ndarray, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every document of ``target`` and ``others`` whether it is the target's, and its log weight by each of ``PRIORS``.
 
-    A document of the target is weighed by the model without its own n-grams. Two tables of at most ``TARGET_DOCS`` ids are
-    broadcast; a row per document comes to the driver.
+    A document of the target is weighed by the model without its own n-grams. Two tables of at most ``target_docs`` ids are
+    broadcast; a row per id comes to the driver, with the least weights of an id's rows.
     """
     marked = target.select(F.col("doc_id").alias("__id"), F.lit(True).alias("__target"))
     marked = marked.union(others.select("doc_id", F.lit(False)))
-    marked = docs.join(F.broadcast(marked), F.col("doc_id") == F.col("__id")).select("text", "__target")
+    marked = docs.join(F.broadcast(marked), F.col("doc_id") == F.col("__id")).select("text", "__target", "__id")
     models = docs.sparkSession.sparkContext.broadcast((raw, good, good.sum() / raw.sum()))
 
     def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,12 +132,14 @@ def held_out_weights(docs: DataFrame, target: DataFrame, others: DataFrame, raw:
                 rest = good[grams] - own * is_target[texts.first_row + row]
                 for k, prior in enumerate(PRIORS):
                     out[k, texts.first_row : texts.first_row + n] = np.bincount(row, own * shrunk_ratios(raw[grams], rest, share, prior), n)
-            columns = [pa.array(is_target), *[pa.array(weights) for weights in out]]
-            yield pa.RecordBatch.from_arrays(columns, names=["target", *[f"w{k}" for k in range(len(PRIORS))]])
+            columns = [batch.column(2).cast(pa.int64()), pa.array(is_target), *[pa.array(weights) for weights in out]]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "target", *names])
 
-    got = marked.mapInArrow(weighed, ", ".join(["target boolean", *[f"w{k} double" for k in range(len(PRIORS))]])).toArrow()
+    names = [f"w{k}" for k in range(len(PRIORS))]
+    rows = marked.mapInArrow(weighed, ", ".join(["id long", "target boolean", *[f"{name} double" for name in names]]))
+    got = rows.groupBy("id", "target").agg(*[F.min(name).alias(name) for name in names]).toArrow()
     models.unpersist()
-    weights = np.array([got[f"w{k}"].to_numpy() for k in range(len(PRIORS))])
+    weights = np.array([got[name].to_numpy() for name in names])
     return got["target"].to_numpy().astype(bool), weights
 
 
@@ -207,13 +209,13 @@ def kth_largest(keys: DataFrame, column: str, k: int) -> float | None:
     return low
 
 
-def _fit(docs: DataFrame, labels: DataFrame):
+def _fit(docs: DataFrame, labels: DataFrame, target_docs: int):
     """The broadcast log ratios, and the cut between labelled good and other documents."""
     usable = labels.where(F.col("doc_id").isNotNull())
     marks = usable.groupBy("doc_id").agg(F.min(F.coalesce("quality", F.lit(0))).alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t"))
     is_good = (F.col("q") == 1) & (F.col("t") == 0)
     first = [F.xxhash64("doc_id"), F.col("doc_id")]
-    target, others = (marks.where(side).select("doc_id").orderBy(*first).limit(TARGET_DOCS) for side in (is_good, ~is_good))
+    target, others = (marks.where(side).select("doc_id").orderBy(*first).limit(target_docs) for side in (is_good, ~is_good))
     raw, good = model_counts(docs, target)
     best = best_cut(*held_out_weights(docs, target, others, raw, good)) if good.sum() else None
     prior, cut = best or (CAUTIOUS, None)
@@ -231,27 +233,28 @@ def _draw(weights: DataFrame, cut: float | None, seed: int, share: float | None)
     return kth_largest(weights.select((F.col("log_weight") + gumbel(F.col("doc_id"), seed)).alias("key")), "key", k)
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 7, share: float | None = None) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, seed: int = 7, share: float | None = None, target_docs: int = TARGET_DOCS) -> DataFrame:
     """doc_id, ``log_weight``, ``gumbel_key`` and ``kept`` of every document.
 
-    Without labelled good documents every ratio is 1; then, without ``share``, all are kept. Null and empty texts have
+    ``target_docs`` bounds the labelled good documents that make the target model, and the others held against them.
+    Without labelled good documents every log ratio is 0; then, without ``share``, all are kept. Null and empty texts have
     log weight 0. Repeated rows are weighed alike and drawn alike; so a draw may hold a few rows more than k, where keys tie.
     A document with several labels is good if none says otherwise; null labels count as bad. Other columns are left out.
     """
     scratch = Scratch(docs.sparkSession, "importance")
     own = docs.select("doc_id", "text")
-    ratios, cut = _fit(own, labels)
+    ratios, cut = _fit(own, labels, target_docs)
     weights = scratch.keep(log_weights(own, ["doc_id"], ratios, "text"), "weights")
     least = _draw(weights, cut, seed, share)
     key = F.col("log_weight") + gumbel(F.col("doc_id"), seed)
     return weights.select("doc_id", "log_weight", key.alias("gumbel_key"), (key >= least if least is not None else F.lit(True)).alias("kept"))
 
 
-def keep_drawn(docs: DataFrame, labels: DataFrame, seed: int = 7, share: float | None = None) -> DataFrame:
+def keep_drawn(docs: DataFrame, labels: DataFrame, seed: int = 7, share: float | None = None, target_docs: int = TARGET_DOCS) -> DataFrame:
     """The rows of ``docs`` that ``resample`` keeps, with their columns; texts are weighed anew instead of shuffled."""
     scratch = Scratch(docs.sparkSession, "importance")
     own = docs.select("doc_id", "text")
-    ratios, cut = _fit(own, labels)
+    ratios, cut = _fit(own, labels, target_docs)
     weights = scratch.keep(log_weights(own, ["doc_id"], ratios, "text"), "weights")
     least = _draw(weights, cut, seed, share)
     scratch.drop(weights)

@@ -1,6 +1,11 @@
+import math
 import random
+import re
+import struct
+from collections import Counter
 
 import numpy as np
+import xxhash
 from pyspark.sql import functions as F
 
 from tabkit.llm.importance import KIND, PRIORS, best_cut, gumbel, keep_drawn, kth_largest, log_ratios, resample, token_buckets
@@ -55,6 +60,76 @@ def test_weights_against_brute_force(spark, docs_of):
         assert abs(got[doc] - float(ratio[grams[k]].astype(float).sum())) < 1e-6
 
 
+def ngrams(text):
+    """Lower-cased words and runs of marks, and pairs of neighbours."""
+    tokens = re.findall(r"[a-z0-9\x80-\U0010ffff]+|[^a-z0-9\x80-\U0010ffff\x09-\x0d ]+", (text or "").lower())
+    return Counter(tokens) + Counter(zip(tokens, tokens[1:], strict=False))
+
+
+def key_noise(doc, seed=7):
+    hashed = xxhash.xxh64_intdigest(struct.pack("<i", seed), xxhash.xxh64_intdigest(struct.pack("<q", doc), 42))
+    return -math.log(-math.log(((hashed >> 11) + 0.5) / 2**53))
+
+
+def drawn_by_hand(rows, good_ids, other_ids):
+    """Weight, key and verdict of every document by counts of the n-grams themselves, all cuts tried, and a sort of all keys."""
+    grams = {i: ngrams(t) for i, t in rows}
+    raw, good = sum(grams.values(), Counter()), sum((grams[i] for i in good_ids), Counter())
+    share = good.total() / raw.total()
+
+    def ratio(n, k, prior):
+        told = (k * math.log(k / n / share) if k else 0) + ((n - k) * math.log((1 - k / n) / (1 - share)) if n > k else 0)
+        odds = told - 0.5 * math.log(n + 1) + math.log(prior / (1 - prior))
+        return math.log((k + 1) / (n * share + 1)) / (1 + math.exp(-odds))
+
+    def weight(i, prior, own):
+        return sum(c * ratio(raw[g], good[g] - own * c, prior) for g, c in grams[i].items())
+
+    best = None
+    for prior in (1e-3, 1e-2, 1e-4, 1e-5, 1e-6):
+        of_good = sorted(weight(i, prior, 1) for i in good_ids)
+        of_others = [weight(i, prior, 0) for i in other_ids]
+        for cut in of_good:
+            lost = sum(w < cut for w in of_good)
+            if lost <= 0.01 * len(of_good):
+                gain = sum(w < cut for w in of_others) / len(of_others) - lost / len(of_good)
+                if best is None or gain > best[0] + 1e-12:
+                    best = (gain, prior, cut)
+    _, prior, cut = best
+    weights = {i: weight(i, prior, 0) for i in grams}
+    k = sum(w >= cut for w in weights.values())
+    keys = {i: w + key_noise(i) for i, w in weights.items()}
+    return weights, keys, set(sorted(keys, key=keys.get, reverse=True)[:k])
+
+
+def test_draw_against_brute_force(spark, docs_of):
+    """Few different words, so that no two n-grams share a bucket; nothing of the module is used for what is expected."""
+    rng = random.Random(12)
+    plain, foul = [f"w{k}" for k in range(12)], ["vile", "scum", "Éh", "!!"]
+    clean = [(k, " ".join(rng.choice(plain) for _ in range(rng.randint(5, 60)))) for k in range(300)]
+    mixed = [(1000 + k, "\n".join(rng.choice(plain + foul * 2) for _ in range(rng.randint(5, 60)))) for k in range(80)]
+    rows = clean + mixed + [(5000, None), (5001, ""), (5002, "W1,w2.W1")]
+    good, others = [i for i, _ in clean[::2]], [i for i, _ in mixed[::2]]
+    weights, keys, kept = drawn_by_hand(rows, good, others)
+    marks = labels(spark, [(i, 1, 0) for i in good] + [(i, k % 2, 1) for k, i in enumerate(others)])
+    got = {r.doc_id: r for r in resample(docs_of(rows), marks).collect()}
+    assert got.keys() == weights.keys() and 40 < len(weights) - len(kept) < 120
+    for i, row in got.items():
+        assert abs(row.log_weight - weights[i]) < 1e-3 and abs(row.gumbel_key - keys[i]) < 1e-3
+    assert {i for i, row in got.items() if row.kept} == kept
+    assert {r.doc_id for r in keep_drawn(docs_of(rows), marks).collect()} == kept
+
+
+def test_repeated_labelled_rows(spark, docs_of):
+    """An id of many rows weighs once when the cut is set, and all its rows are judged alike."""
+    clean, junk, _ = corpus(240)
+    rows = clean + junk + [clean[0]] * 30 + [junk[0]] * 30
+    marks = labels(spark, [(i, 1, 0) for i, _ in clean[:120]] + [(i, 0, 0) for i, _ in junk])
+    found = resample(docs_of(rows), marks).groupBy("doc_id").agg(F.count("kept").alias("n"), F.countDistinct("kept").alias("ways")).collect()
+    assert sum(r.n for r in found) == len(rows) and all(r.ways == 1 for r in found)
+    assert resample(docs_of(rows), marks, target_docs=20).count() == len(rows)
+
+
 def test_tokens_split_words_from_marks():
     assert KIND[ord("a")] == KIND[0xC3] == 1 and KIND[ord("!")] == 2 and LOWER[ord("Q")] == ord("q")
     piece = next(pieces(__import__("pyarrow").array(["Ab!! cd", None, "ab"])))

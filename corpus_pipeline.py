@@ -23,36 +23,58 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the cutoffs of their language keep."""
+    """Documents that the base rules and the cutoffs of their language keep.
+
+    Null and empty texts have no words and go. Repeated rows, and equal texts of a language, are judged alike; a null language is one of its own.
+    Without labels the base rules alone decide. An empty table gives an empty one; further columns stay, whatever their names.
+    """
     return keep_good(docs, _labels(spark, sf_dir))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by importance."""
+    """Documents drawn by importance.
+
+    Null and empty texts weigh nothing, so that their noise alone decides. Repeated rows are drawn alike, and so are equal keys at the border.
+    Without labelled good documents all rows stay. An empty table gives an empty one; further columns stay, whatever their names.
+    """
     return keep_drawn(docs, _labels(spark, sf_dir))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document without the lines that it shares with at least two others, but for the largest id; ``n_chars`` follows."""
-    kept = dedup_lines(docs).drop("n_lines", "n_dropped")
-    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """Every document without the lines that it shares with at least two others, but for the largest id; ``n_chars`` follows.
+
+    A null text comes back empty. Every row stays; repeated rows count as one document and keep or lose the same lines. Rows without an id
+    count as no document and lose the lines that others share. An empty table gives an empty one; further columns stay, whatever their names.
+    """
+    # dedup_lines adds two counts, which columns of these names in ``docs`` must outlive.
+    clash = {c: f"__own_{c}" for c in docs.columns if c.lower() in ("n_lines", "n_dropped")}
+    kept = dedup_lines(docs.withColumnsRenamed(clash)).withColumn("n_chars", F.char_length("text").cast("long"))
+    return kept.select(*[F.col(f"`{clash.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (5-word shingles, similarity 0.8 or more), the rows of the smallest id.
 
-    Rows without an id come after all ids, those with equal texts as one document.
+    Rows without an id come after all ids, those with equal texts as one document. Null texts and texts without words are like nothing and
+    stay. Repeated rows share an id and stay or go together. An empty table gives an empty one; further columns stay, whatever their names.
     """
+    key = "__id"
+    while key.lower() in {c.lower() for c in docs.columns}:
+        key = "_" + key
     # 2**62 and up: beyond the ids of documents.
     own_id = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62))
-    keyed = docs.withColumn("__id", own_id)
-    found = jaccard_components(keyed, id_col="__id", shingle=5, num=4, den=5)
-    gone = found.where("__id <> component_id").select("__id").distinct()
-    return keyed.join(gone, "__id", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn(key, own_id)
+    found = jaccard_components(keyed, id_col=key, shingle=5, num=4, den=5)
+    gone = found.where(F.col(key) != F.col("component_id")).select(key).distinct()
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of at most 4096 tokens."""
+    """The pieces of sequences of at most 4096 tokens.
+
+    A null or empty text is the end token alone; every row, repeated or without an id, is packed whole. An empty table gives no pieces;
+    further columns are left out.
+    """
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, limits=Limits(4096, 256, 4096))
 
 

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -221,6 +221,18 @@ def _candidates(one: DataFrame, entries: DataFrame, num: int, den: int) -> DataF
     )
 
 
+def _picked(minor: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` members of every list: all of a shorter one, else the one that is shared most of each of ``most`` parts by hash.
+
+    Which members are picked decides on the work alone. A list is never sorted or gathered: its parts are summed up where they lie.
+    """
+    size = F.when(F.col("c") == 1, F.col("g")).otherwise(F.col("g") - F.col("c"))
+    columns = ["token", "set", "n", "pos", "root"]
+    part = F.pmod(F.xxhash64("set"), F.lit(most)).alias("part")
+    tops = minor.where(size > most).groupBy("token", part).agg(F.max(F.struct("weight", "set", "n", "pos", "root")).alias("top"))
+    return minor.where(size <= most).select(*columns).union(tops.select("token", "top.set", "top.n", "top.pos", "top.root"))
+
+
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, num: int = 4, den: int = 5
 ) -> DataFrame:
@@ -265,8 +277,7 @@ def jaccard_components(
         last = turn == MAX_ROUNDS or (turn > 0 and left <= 4.0 * n_entries)
         minor = lists.where((F.col("root") != F.col("top_root")) | (F.col("c") == 1))
         if not last:
-            top = Window.partitionBy("token").orderBy(F.desc("weight"), "set")
-            minor = minor.withColumn("nth", F.row_number().over(top)).where(F.col("nth") <= MORE**turn)
+            minor = _picked(minor, MORE**turn)
         one = minor.select("token", F.col("set").alias("p"), F.col("n").alias("p_n"), F.col("pos").alias("p_pos"), F.col("root").alias("p_root"))
         if not last:
             one = scratch.keep(one, "picked")

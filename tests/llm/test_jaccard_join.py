@@ -73,3 +73,32 @@ def test_near_copies_without_an_id(spark, docs_of):
     assert got(docs_of(rows)) == want
     kept = corpus_pipeline.near_duplicates(spark, docs_of(rows), "")
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([rows[0], rows[4]], key=str)
+
+
+def test_members_picked_of_a_list(spark):
+    """Short lists stay whole; of a long one at most so many, the weightiest among them, none twice."""
+    rows = [(1, bytes([k, j]), k * 7 % 31, 20, 0, b"r", 1000, 1) for k in range(50) for j in range(20)]
+    rows += [(2, bytes([k]), k, 20, 0, b"r", 30, 25) for k in range(5)]
+    lists = spark.createDataFrame(rows, "token long, set binary, weight long, n int, pos int, root binary, g long, c long")
+    for most in (1, 32):
+        got = jaccard_join._picked(lists, most).collect()
+        long, short = ([bytes(r.set) for r in got if r.token == t] for t in (1, 2))
+        assert 1 <= len(long) <= most and len(set(long)) == len(long)
+        assert 30 in {row[2] for row in rows if row[1] in long}
+        assert len(short) == min(5, most)
+
+
+def test_lists_longer_than_the_first_rounds_take(docs_of, monkeypatch):
+    """Many alike sets that only chains link, in lists longer than what is picked of them."""
+    monkeypatch.setattr(jaccard_join, "MORE", 2)
+    rng = random.Random(5)
+    head = [f"h{k}" for k in range(30)]
+    rows = []
+    for chain in range(4):
+        words = [f"c{chain}_{k}" for k in range(40)]
+        for k in range(30):
+            rows.append((chain * 100 + k, " ".join(head + words)))
+            words[rng.randrange(40)] = f"x{chain}_{k}"
+    want = brute(rows, 1, 9, 10)
+    assert 4 <= len({r[2] for r in want}) < 60
+    assert got(docs_of(rows), shingle=1, num=9, den=10) == want

@@ -35,6 +35,8 @@ PARTS = 32
 #: Up to so many ids, the documents to verify are found by a broadcast, otherwise by a shuffle.
 BROADCAST_IDS = 500_000
 MAX_ROUNDS = 8
+#: About so many leaves are held against their hub's set in one task; the set of a hub with more goes to several.
+LEAVES_TOGETHER = 256
 #: A round compares so many times as many members of a list as the one before.
 MORE = 32
 
@@ -174,13 +176,22 @@ def _verified(pairs: DataFrame, nodes: DataFrame, reps: DataFrame, docs: DataFra
     """The distinct pairs (hub, leaf, need) whose sets have ``need`` shingles in common, as (a, b).
 
     Sets are long and pairs short. So the pairs go to the leaves' sets where those are made, and a leaf's set travels once
-    per pair, to its hub; there are far fewer hubs than leaves.
+    per pair, to its hub; there are far fewer hubs than leaves. The leaves of a hub that has many are dealt
+    into parts, each of which gets the hub's set, so that no task gets them all.
     """
     side = nodes.select("set", "parts")
     held = pairs.join(side.toDF("hub", "parts_a"), "hub").join(side.toDF("leaf", "parts_b"), "leaf")
     common = F.aggregate(F.zip_with("parts_a", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
     held = scratch.keep(held.where(common >= F.col("need")).select("hub", "leaf", "need"), "pairs")
-    few = held.count() <= BROADCAST_IDS
+    n_pairs = held.count()
+    few = n_pairs <= BROADCAST_IDS
+    # Hubs of more than one part: at most n_pairs / LEAVES_TOGETHER rows.
+    many = held.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / F.lit(LEAVES_TOGETHER)).alias("parts")).where("parts > 1")
+    many = scratch.keep(many, "many")
+    any_many = not many.isEmpty()
+    if n_pairs <= BROADCAST_IDS * LEAVES_TOGETHER:
+        many = F.broadcast(many)
+    parts = F.coalesce("parts", F.lit(1).cast("long"))
 
     def sent(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if few else df
@@ -191,9 +202,15 @@ def _verified(pairs: DataFrame, nodes: DataFrame, reps: DataFrame, docs: DataFra
         ids = sent(ids.withColumnRenamed("id", "__id"))
         return whole_sets(docs.join(ids, F.col("id").eqNullSafe(F.col("__id")), "left_semi").select("text"), size)
 
-    leaves = sets_of("leaf").join(sent(held), F.col("set") == F.col("leaf")).select("hub", "leaf", "need", F.col("shingles").alias("of_leaf"))
-    hubs = sets_of("hub").dropDuplicates(["set"]).select(F.col("set").alias("hub"), F.col("shingles").alias("of_hub"))
-    both = leaves.join(hubs, "hub").where(F.size(F.array_intersect("of_leaf", "of_hub")) >= F.col("need"))
+    asked, sets = held.withColumn("part", F.lit(0).cast("long")), sets_of("hub").select(F.col("set").alias("hub"), F.col("shingles").alias("of_hub"))
+    if any_many:
+        asked = held.join(many, "hub", "left").withColumn("part", F.pmod(F.xxhash64("leaf"), parts))
+        sets = sets.join(many, "hub", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    else:
+        sets = sets.withColumn("part", F.lit(0).cast("long"))
+    leaves = sets_of("leaf").join(sent(asked), F.col("set") == F.col("leaf")).select("hub", "part", "leaf", "need", F.col("shingles").alias("of_leaf"))
+    hubs = sets.select("hub", "part", "of_hub").dropDuplicates(["hub", "part"])
+    both = leaves.join(hubs, ["hub", "part"]).where(F.size(F.array_intersect("of_leaf", "of_hub")) >= F.col("need"))
     links = scratch.keep(both.select(F.least("hub", "leaf").alias("a"), F.greatest("hub", "leaf").alias("b")).distinct(), "links")
     scratch.drop(held)
     return links

@@ -34,9 +34,10 @@ def got(docs, **options):
     return sorted((tuple(r) for r in jaccard_components(docs, **options).collect()), key=str)
 
 
-@pytest.mark.parametrize("rounds", [0, 8])
-def test_against_brute_force(docs_of, edge_rows, monkeypatch, rounds):
+@pytest.mark.parametrize(("rounds", "together"), [(0, 256), (8, 256), (8, 3)])
+def test_against_brute_force(docs_of, edge_rows, monkeypatch, rounds, together):
     monkeypatch.setattr(jaccard_join, "MAX_ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "LEAVES_TOGETHER", together)
     random.seed(3)
     words = [f"w{k}" for k in range(400)]
     rows = [(1000 + k, text) for k, (_, text) in enumerate(edge_rows)] + [(None, "a b c d"), (None, "a b c d")]

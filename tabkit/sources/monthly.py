@@ -53,9 +53,14 @@ def discover_monthly(spark: SparkSession, folder: str, prefix: str) -> list[Mont
     return sorted(MonthlyFile(r["month"], r["file"]) for r in found.where("file <> ''").distinct().collect())
 
 
-def plain_path() -> Column:
+def plain_path(path: Column | str = "_metadata.file_path") -> Column:
     """The path of a row's file as it was given: the metadata column holds it with signs encoded as in a URL."""
-    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    return F.url_decode(F.replace(F.col(path) if isinstance(path, str) else path, F.lit("+"), F.lit("%2B")))
+
+
+def path_end() -> Column:
+    """The last two names of a row's path as they were given. Decoding whole paths, and searching them, takes longer than reading short records."""
+    return plain_path(F.substring_index("_metadata.file_path", "/", -2))
 
 
 def _bare(path: str) -> str:
@@ -76,29 +81,49 @@ def _header_cells(record: bytes, encoding: str) -> tuple[str, ...]:
     return tuple(next(csv.reader(io.StringIO(text, newline="")), ()))
 
 
+def _openings(lines: DataFrame) -> DataFrame:
+    """Per file the number of its first line, and whether it has an odd line.
+
+    Numbers alone are aggregated over all lines, by hashing: with lines among them, each task would sort all of its lines.
+    """
+    return lines.groupBy("path").agg(F.min(F.when(F.col("start") == 0, F.col("id"))).alias("upto"), F.max("odd").alias("odd"))
+
+
 def look_at_files(spark: SparkSession, paths: Sequence[str], encoding: str = CSV_ENCODING) -> dict[str, FileLook]:
     """Header cells of every file, and whether some line has an odd number of quotes. Empty files are left out.
 
-    One job over all files; files without an odd line can be split between tasks. One row per file comes to the driver. The header is the first
-    record, decoded from the file's bytes: where its first line leaves a quote open, it goes on up to the next line with an odd number of
-    quotes, which a second job over those files alone fetches. Line breaks inside header cells read as line feeds. The encoding
+    Two jobs over all files: one finds odd lines and where each file begins, one fetches the first lines. Files without an odd line can be split
+    between tasks. One row per file comes to the driver. The header is the first record, decoded from the file's bytes: where its first line leaves a quote open, it goes on up to the next line with an odd number of
+    quotes, which another job over those files alone fetches. Line breaks inside header cells read as line feeds. The encoding
     must write quotes and line breaks as ASCII does.
     """
     wanted = {_bare(p): p for p in paths}
     # Counted in bytes: the reader hands on a line as it is, whatever its encoding.
     odd = F.expr("octet_length(value) % 2 <> octet_length(replace(value, '\"', '')) % 2")
-    place = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
     lines = spark.read.text([_glob_name(p) for p in paths]).select(
-        plain_path().alias("file"), F.col("value").cast("binary").alias("line"), odd.alias("odd"), place.alias("place")
-    )
-    looks = lines.groupBy("file").agg(
-        F.min_by("line", "place").alias("line"), F.min_by("odd", "place").alias("goes_on"), F.min("place").alias("first"), F.max("odd").alias("odd")
+        F.col("_metadata.file_path").alias("path"), plain_path().alias("file"), F.col("value").cast("binary").alias("line"), odd.alias("odd"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"),
     )
-    rows = looks.orderBy("file").collect()
+    seen = _openings(lines).collect()
+    if not seen:
+        return {}
+    heads = lines.where("start = 0").select("path", "file", "line", F.col("odd").alias("goes_on"), "id")
+
+    def first_lines(heads: DataFrame) -> DataFrame:
+        return heads.groupBy("path").agg(*[F.min_by(c, "id").alias(c) for c in ("file", "line", "goes_on")])
+
+    upto = F.broadcast(spark.createDataFrame([(r["path"], r["upto"]) for r in seen], "path string, upto long"))
+    found_first = {r["path"]: r for r in first_lines(heads.join(upto, "path").where("id <= upto")).collect()}
+    # Lines are numbered anew by every job; where tasks were cut otherwise, a file may have none up to its number.
+    unseen = [r["path"] for r in seen if r["path"] not in found_first]
+    if unseen:
+        found_first |= {r["path"]: r for r in first_lines(heads.where(F.col("path").isin(unseen))).collect()}
+    rows = sorted(({**found_first[r["path"]].asDict(), "odd": r["odd"]} for r in seen), key=lambda r: r["file"])
     first = {r["file"]: bytes(r["line"]) for r in rows}
     longer = [r["file"] for r in rows if r["goes_on"]]
     if longer:
-        own = lines.where(F.col("file").isin(longer))
+        place = F.expr("cast(start as decimal(19, 0)) * 10000000000000000000BD + id")
+        own = lines.where(F.col("file").isin(longer)).withColumn("place", place)
         starts = own.groupBy("file").agg(F.min("place").alias("first"))
         closing = own.where("odd").join(F.broadcast(starts), "file").where("place > first").groupBy("file").agg(F.min("place").alias("end"))
         for row in starts.join(closing, "file", "left").where("end is null").select("file").collect():
@@ -157,7 +182,7 @@ _RECORD = "__record"
 
 
 def _read_group(spark: SparkSession, header: Sequence[str], paths: Sequence[str], multiline: bool, encoding: str) -> DataFrame:
-    """All records of files with one header, those that don't fit it whole in ``__record``, and the file's path in ``__file``."""
+    """All records of files with one header, those that don't fit it whole in ``__record``, the file's path in ``__file``, and the end of it in ``__end``."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*unique_names(header), _RECORD]])
     df = (
         spark.read.schema(schema)
@@ -172,7 +197,7 @@ def _read_group(spark: SparkSession, header: Sequence[str], paths: Sequence[str]
     # Nothing of the first column, named here because Spark refuses to read the record alone.
     nothing = F.substring(F.coalesce(F.col(quoted(df.columns[0])), F.lit("")), 1, 0)
     record = F.regexp_replace(F.concat(_RECORD, nothing), r"[\r\n]+$", "")
-    return df.select(*[F.col(quoted(c)) for c in df.columns[:-1]], record.alias(_RECORD), plain_path().alias("__file"))
+    return df.select(*[F.col(quoted(c)) for c in df.columns[:-1]], record.alias(_RECORD), plain_path().alias("__file"), path_end().alias("__end"))
 
 
 def _cells(record: Column) -> Column:
@@ -236,9 +261,9 @@ def read_monthly_csv(
     frames = []
     for df, columns in read:
         df = _fitting(df, columns, fill, strict=not rejects)
-        kept = [F.col(quoted(c)) for c in df.columns[:-2]]
+        kept = [F.col(quoted(c)) for c in df.columns[:-3]]
         if source:
-            kept.append(F.regexp_extract("__file", r"([^/]+[0-9]{6}\.csv)(/[^/]*)?$", 1).alias(source))
+            kept.append(F.regexp_extract("__end", r"([^/]+[0-9]{6}\.csv)(/[^/]*)?$", 1).alias(source))
         frames.append(df.select(*kept))
     if drop_copies:
         frames = [drop_second_copies(f) for f in frames]

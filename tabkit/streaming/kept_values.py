@@ -18,7 +18,7 @@ from ..operators.distribution import (
 )
 from ..operators.profile import padded
 from ..session import cut_lineage
-from ..sources.monthly import _glob_name, plain_path
+from ..sources.monthly import _glob_name, path_end
 from .incremental import _exists
 
 _SEEN = "file string, length long, changed timestamp, month string"
@@ -94,7 +94,7 @@ class KeptValues:
         there = [m for m in changed if m in present]
         if there:
             rows = self.spark.read.option("mergeSchema", True).option("basePath", folder).parquet(*[_glob_name(f"{folder}/month={m}") for m in there])
-            month = F.regexp_extract(plain_path(), "/month=([^/]*)/[^/]*$", 1)
+            month = F.regexp_extract(path_end(), "^month=([^/]*)/[^/]*$", 1)
             wanted = [*self.keys, *self.fields]
             own = padded(self.typed(rows.select("*", month.alias("_month"))), wanted)
             counted = count_values(own.select("_month", *wanted), ["_month", *self.keys], self.fields)

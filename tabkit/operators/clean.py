@@ -88,6 +88,16 @@ def coercion_counts(df: DataFrame, typing: Typing) -> dict[str, Column]:
     return {c: F.count_if(F.col(c).isNotNull() & e.isNull()) for c, e in typing.expressions(df).items()}
 
 
+def coerce_beside(df: DataFrame, typing: Typing) -> tuple[DataFrame, dict[str, Column], list[str]]:
+    """The typed frame with the texts beside the typed columns, the aggregates over it that a coercion report is made of, and the names of the texts.
+
+    So each text is parsed once, where counts over the untyped frame parse it a second time.
+    """
+    texts = {c: f"__text_{i}_{c}" for i, c in enumerate(typing.expressions(df))}
+    typed = coerce(df.withColumns({text: F.col(c) for c, text in texts.items()}), typing)
+    return typed, {c: F.count_if(F.col(text).isNotNull() & F.col(c).isNull()) for c, text in texts.items()}, list(texts.values())
+
+
 def coercion_from(counts: DataFrame, columns: Sequence[str]) -> DataFrame:
     return counts.unpivot([], list(columns), "column", "new_nulls")
 

@@ -48,18 +48,22 @@ def resample_monthly(
     )
 
 
+def _with_month(df: DataFrame, date: str) -> DataFrame:
+    """Adds ``year_month``. The day is a column of its own on the way, so that its text is parsed once."""
+    return df.withColumn("__day_of_month_key", as_day(df, date)).withColumn("year_month", month_key("__day_of_month_key")).drop("__day_of_month_key")
+
+
 def enrich_monthly_rate(df: DataFrame, monthly: DataFrame, date: str, value: str = RATE) -> DataFrame:
     """Left join of the monthly series on the month of ``date``; row count is preserved.
 
     The monthly side has one row per calendar month, at most 120,000 for all years a date can
     hold, so it is safe to broadcast.
     """
-    keyed = df.withColumn("year_month", month_key(as_day(df, date)))
-    return keyed.join(F.broadcast(monthly.select("year_month", value)), "year_month", "left")
+    return _with_month(df, date).join(F.broadcast(monthly.select("year_month", value)), "year_month", "left")
 
 
 def enrich_or_null(df: DataFrame, monthly: DataFrame | None, date: str, value: str = RATE) -> DataFrame:
     """As ``enrich_monthly_rate``; without a series the value column is null and the month key stays."""
     if monthly is not None:
         return enrich_monthly_rate(df, monthly, date, value)
-    return df.withColumns({"year_month": month_key(as_day(df, date)), value: F.lit(None).cast("double")})
+    return _with_month(df, date).withColumn(value, F.lit(None).cast("double"))

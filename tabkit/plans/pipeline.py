@@ -207,8 +207,8 @@ class PipelineRun:
     def cleaned(self) -> DataFrame:
         if not self._written("cleaned"):
             return clean(self.pruned, self.cfg)
-        untyped = self._counting("coercion", self.pruned, C.coercion_counts(self.pruned, TYPING))
-        typed = C.coerce(untyped, TYPING)
+        beside, lost, texts = C.coerce_beside(self.pruned, TYPING)
+        typed = self._counting("coercion", beside, lost).drop(*texts)
         typed = self._counting("ledger", typed, C.ledger_counts(C.rule_steps(typed, row_rules(self.cfg))))
         df = Q.quality_flags(C.apply_rules(typed, row_rules(self.cfg)))
         present = [f for f in QUALITY_FLAGS if f in df.columns]

@@ -723,13 +723,14 @@ def _kept(spark: SparkSession, sf: str, fields: list[str], keys: list[str]) -> t
     df = sales(spark, sf, *keys, *fields, "CloseDate").withColumn("month", F.date_format("CloseDate", "yyyyMM"))
     wrong = F.col("month") == "199502"
     landed = df.select(*keys, "month", *[F.when(wrong, F.lit(1)).otherwise(F.col(f)).alias(f) for f in fields])
-    landed.where("month is not null and month < '199807'").write.partitionBy("month").parquet(f"{folder}/sold")
+    # Rows are dealt by month first: else every task leaves a file in every month, and their number grows with that of the tasks.
+    K.write_stage(landed.where("month is not null and month < '199807'"), f"{folder}/sold", partition_by=["month"])
     kept = KeptValues(spark, f"{folder}/kept", fields, keys)
     first = kept.refresh(f"{folder}/sold")
     df.where(wrong).drop("month", "CloseDate").write.mode("overwrite").parquet(f"{folder}/sold/month=199502")
     # What has no month of closing comes with the last months.
     late = df.where("month is null or month >= '199807'").withColumn("month", F.coalesce("month", F.lit("none"))).drop("CloseDate")
-    late.write.mode("append").partitionBy("month").parquet(f"{folder}/sold")
+    late.hint("rebalance", F.col("month")).write.mode("append").partitionBy("month").parquet(f"{folder}/sold")
     second = kept.refresh(f"{folder}/sold")
     again = set(first) & set(second)
     return kept, F.lit(f"{','.join(sorted(again))} {len(kept.refresh(f'{folder}/sold'))}")

@@ -389,7 +389,7 @@ def _learned(rows: DataFrame, secrets: int, others: int) -> Network:
     for turn in range(1 if parts == 1 else EPOCHS):
         learn = turn_of(turn, EPOCHS if parts == 1 else 1, training)
         # One network of fixed size per part comes to the driver.
-        states = dealt.groupBy("part").applyInArrow(learn, "part long, n long, state binary").orderBy("part").collect()
+        states = sorted(dealt.groupBy("part").applyInArrow(learn, "part long, n long, state binary").collect(), key=lambda r: r["part"])
         training = sum(np.frombuffer(r["state"]) * r["n"] for r in states) / sum(r["n"] for r in states) if parts > 1 else np.frombuffer(states[0]["state"])
     return Training.unpacked(training).net
 

@@ -103,11 +103,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _joined(spark: SparkSession, sf_dir: str, needs: set[str]) -> DataFrame:
-    df = table(spark, sf_dir, "lineitem")
-    for name, condition in JOINS.items():
-        if name in needs:
-            df = df.join(table(spark, sf_dir, name), F.expr(condition))
-    return df
+    """Sales beside the tables they need. Customers and nations are joined to the orders first, so that sales are shuffled by order and part alone."""
+
+    def beside(df: DataFrame, name: str, other: DataFrame | None = None) -> DataFrame:
+        return df.join(table(spark, sf_dir, name) if other is None else other, F.expr(JOINS[name])) if name in needs else df
+
+    df = beside(table(spark, sf_dir, "lineitem"), "part")
+    if "orders" not in needs:
+        return df
+    return beside(df, "orders", beside(beside(table(spark, sf_dir, "orders"), "customer"), "nation"))
 
 
 def sales(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

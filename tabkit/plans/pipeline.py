@@ -19,7 +19,7 @@ from ..operators import segment as G
 from ..session import scratch_path
 from ..sources import pages as J
 from ..sources.monthly import CSV_ENCODING
-from ..sources.sinks import Counts, checkpoint_stage, write_month, write_report, write_stage
+from ..sources.sinks import Counts, checkpoint_stage, slices_for, write_month, write_report, write_stage
 from .config import DATE_COLUMNS, MOMENT_COLUMNS, NUMERIC_COLUMNS, PipelineConfig
 
 TYPING = C.Typing(dates=DATE_COLUMNS, moments=MOMENT_COLUMNS, numbers=NUMERIC_COLUMNS)
@@ -143,16 +143,22 @@ class PipelineRun:
     def _written(self, name: str) -> bool:
         return bool(self.out) and name in self.stages
 
+    def _path(self, name: str) -> str:
+        return f"{self.out}/{self.cfg.name}_{name}"
+
     def _stage(self, name: str, df: DataFrame) -> DataFrame:
         if not self._written(name):
             return df
         periods = ["year_month", f"{self.cfg.time_prefix}_yrmo"]
         options = {"period_columns": periods} if self.stage_format == "csv" else {}
-        path = f"{self.out}/{self.cfg.name}_{name}"
+        path = self._path(name)
         # The curated tables are laid out by month, so that a reader of one month opens one folder.
         by = [periods[1]] if name in ("flagged", "final") and periods[1] in df.columns else []
         dealt = name == "final" and self._written("flagged")
-        return checkpoint_stage(df.sparkSession, df, path, self.stage_format, by, dealt, **options)
+        # Flagged rows are cleaned rows with more columns, so that they can be dealt slice by slice.
+        sliced = name == "flagged" and by and self._written("cleaned")
+        slices = slices_for(df.sparkSession, self._path("cleaned")) if sliced else 1
+        return checkpoint_stage(df.sparkSession, df, path, self.stage_format, by, dealt, slices, **options)
 
     def _counting(self, name: str, df: DataFrame, counted: dict[str, Column]) -> DataFrame:
         """The frame, counted while the stage made from it is written."""
@@ -317,10 +323,11 @@ def run_pipeline(
     """
     run = PipelineRun(raw, cfg, rates, out, as_of, stages, stage_format)
     if out:
-        _ = run.final
+        # These reports read stages up to the cleaned one: their shuffles are gone before the last two tables take room.
         write_report(run.missing, f"{out}/reports/{cfg.name}_missing_value_report", index="column")
         write_report(run.report("numeric_distribution"), f"{out}/reports/{cfg.name}_numeric_distribution")
         write_report(run.report("segment_summary"), f"{out}/reports/{cfg.name}_county_summary")
+        _ = run.final
     return run
 
 
